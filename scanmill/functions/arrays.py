@@ -1,4 +1,11 @@
-"""Small array-expression helpers: everything stays in the JVM as higher-order functions."""
+"""Small array-expression helpers: everything stays in the JVM as higher-order functions.
+
+Two habits keep these plans cheap. Arrays that a lambda looks into are bound with
+:func:`let`, because the optimizer may inline a column into the lambda and then
+compute it once per element. Computed arrays are exploded with the outer form,
+because for the inner form the optimizer adds a ``size(...) > 0`` filter that
+computes the whole array a second time; rows of empty arrays are dropped after.
+"""
 
 from __future__ import annotations
 

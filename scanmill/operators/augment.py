@@ -190,7 +190,7 @@ def draw_rects(images: DataFrame, seed: int, epoch: int, params: AugmentParams)
     ).otherwise(0)
     u = lambda salt: uniform(salt, seed, F.lit(epoch), key, F.col("rect"))
     low, high = params.erase_bound
-    rects = images.select("image_id", "h", "w", F.explode(indices(n)).alias("rect"))
+    rects = images.select("image_id", "h", "w", F.explode_outer(indices(n)).alias("rect")).filter("rect IS NOT NULL")
     return rects.select(
         "image_id",
         _between(u("x0"), 0, F.col("w")).alias("x0"),
@@ -284,8 +284,8 @@ def rescale_sparse_points(lines: DataFrame, fx: Column, fy: Column, disp: str =
         lambda c: F.coalesce(c["m"].cast("double") >= 0.5, F.lit(False)),
     )
     px = lines.select(
-        "image_id", "y", "h", "w", fx.alias("fx"), fy.alias("fy"), F.explode(cells).alias("c")
-    )
+        "image_id", "y", "h", "w", fx.alias("fx"), fy.alias("fy"), F.explode_outer(cells).alias("c")
+    ).filter("c IS NOT NULL")
     placed = px.select(
         "image_id",
         F.rint(F.col("y") * F.col("fy")).cast("int").alias("ty"),
@@ -312,7 +312,7 @@ def rescale_sparse(lines: DataFrame, fx: Column, fy: Column, disp: str = "disp",
         F.floor((F.col("y") + 1) * new_h / F.col("h")).cast("int").alias("hi"),
     )
     grid = rows.filter("hi > lo").select(
-        "image_id", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("y"), "h", "w"
+        "image_id", F.explode_outer(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("y"), "h", "w"
     )
     joined = grid.join(per_line, ["image_id", "y"], "left")
     hits = F.transform(
@@ -322,7 +322,7 @@ def rescale_sparse(lines: DataFrame, fx: Column, fy: Column, disp: str = "disp",
     blanks = F.transform(
         indices(F.col("w")), lambda x: F.struct(x.alias("x"), F.lit(1).alias("miss"), F.lit(0.0).alias("v"))
     )
-    dense = joined.withColumn("__d", run_firsts(F.array_sort(F.concat(hits, blanks)), "x"))
+    dense = joined.withColumn("__d", run_firsts(F.sort_array(F.concat(hits, blanks)), "x"))
     return dense.select(
         "image_id", "y", "h", "w",
         F.transform("__d", lambda p: p["v"]).alias("disp"),

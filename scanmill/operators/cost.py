@@ -17,7 +17,7 @@ from scanmill.operators.stencil import pool_pairs, with_rows_around
 def feature_lines(features: DataFrame) -> DataFrame:
     """(image_id, y, left, right): feature vectors of both views, by column."""
     side = lambda s: F.transform(
-        F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("x", "vec")))), lambda e: e["vec"]
+        F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct("x", "vec")))), lambda e: e["vec"]
     )
     return features.groupBy("image_id", "y").agg(side("left").alias("left"), side("right").alias("right"))
 
@@ -75,7 +75,7 @@ def row_correlation(lines: DataFrame, scale: bool = True, plan: str = "line") ->
         table = let(F.col("right"), lambda rs: F.transform("left", lambda l: against(l, rs)))
         return lines.select("image_id", "y", table.alias("corr"))
     if plan == "pixel":
-        px = lines.select("image_id", "y", F.posexplode("left").alias("x", "vec"), "right")
+        px = lines.select("image_id", "y", F.posexplode_outer("left").alias("x", "vec"), "right")
         return px.select("image_id", "y", "x", against(F.col("vec"), F.col("right")).alias("corr"))
     raise ValueError(f"unknown plan: {plan}")
 
@@ -148,7 +148,7 @@ def lookup_features(
         "image_id",
         "y",
         *[f"__f{i}" for i in range(levels)],
-        F.posexplode(F.arrays_zip(F.col("left").alias("l"), F.col(coords).alias("c"))).alias("x", "e"),
+        F.posexplode_outer(F.arrays_zip(F.col("left").alias("l"), F.col(coords).alias("c"))).alias("x", "e"),
     )
     taps = []
     for i in range(levels):
@@ -201,7 +201,7 @@ def combined_lookup(
 
 def _volume(lines: DataFrame, maxdisp: int, cell, absent) -> DataFrame:
     """One row per left pixel; ``cost`` runs over d = 0 .. maxdisp-1."""
-    px = lines.select("image_id", "y", F.posexplode("left").alias("x", "__l"), "right")
+    px = lines.select("image_id", "y", F.posexplode_outer("left").alias("x", "__l"), "right")
     cost = F.transform(
         F.sequence(F.lit(0), F.lit(maxdisp - 1)),
         lambda d: F.when(
@@ -227,7 +227,7 @@ def corr_volume(lines: DataFrame, maxdisp: int) -> DataFrame:
 
 def concat_volume(lines: DataFrame, maxdisp: int) -> DataFrame:
     """Left features always, right features zero off the image."""
-    px = lines.select("image_id", "y", F.posexplode("left").alias("x", "__l"), "right")
+    px = lines.select("image_id", "y", F.posexplode_outer("left").alias("x", "__l"), "right")
     zeros = F.array_repeat(F.lit(0.0), F.size("__l"))
     cost = F.transform(
         F.sequence(F.lit(0), F.lit(maxdisp - 1)),
@@ -241,10 +241,10 @@ def concat_volume(lines: DataFrame, maxdisp: int) -> DataFrame:
 
 def band_pairs(lines: DataFrame, maxdisp: int) -> DataFrame:
     """Pairs within the disparity band, ``maxdisp`` rows per left pixel at most."""
-    px = lines.select("image_id", "y", F.posexplode("left").alias("x", "l"), "right")
+    px = lines.select("image_id", "y", F.posexplode_outer("left").alias("x", "l"), "right")
     reach = F.least(F.col("x"), F.lit(maxdisp - 1))
     return px.select(
-        "image_id", "y", "x", "l", "right", F.explode(F.sequence(F.lit(0), reach)).alias("d")
+        "image_id", "y", "x", "l", "right", F.explode_outer(F.sequence(F.lit(0), reach)).alias("d")
     ).select("image_id", "y", "x", "d", "l", F.get("right", F.col("x") - F.col("d")).alias("r"))
 
 
@@ -292,7 +292,7 @@ def convex_upsample(
         ),
     )
     rows = near.select(
-        "image_id", "ch", "h", "w", F.explode(F.sequence(F.col("y") * factor, F.col("y") * factor + factor - 1)).alias("y"),
+        "image_id", "ch", "h", "w", F.explode_outer(F.sequence(F.col("y") * factor, F.col("y") * factor + factor - 1)).alias("y"),
         nine.alias("__nine"),
     )
     joined = rows.join(weights, ["image_id", "y"])

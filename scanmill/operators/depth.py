@@ -142,7 +142,7 @@ def nearest_fill(lines: DataFrame, hole: str = "hole", fill_value: float | None
             ),
         ),
     )
-    marked = near.select("image_id", "ch", "y", F.explode(marks).alias("e")).select(
+    marked = near.select("image_id", "ch", "y", F.explode_outer(marks).alias("e")).filter("e IS NOT NULL").select(
         "image_id", "ch", "y", "e.x", "e.known", "e.v"
     )
     column = Window.partitionBy("image_id", "ch", "x").orderBy("y")
@@ -161,7 +161,7 @@ def nearest_fill(lines: DataFrame, hole: str = "hole", fill_value: float | None
     chosen = F.when(use_above, a).otherwise(b)
     vertical = found.select("image_id", "ch", "y", "x", chosen.alias("s"))
     per_line = vertical.groupBy("image_id", "ch", "y").agg(
-        F.array_sort(F.collect_list(F.struct("x", F.col("s.y").alias("sy"), F.col("s.v").alias("v")))).alias("__holes")
+        F.sort_array(F.collect_list(F.struct("x", F.col("s.y").alias("sy"), F.col("s.v").alias("v")))).alias("__holes")
     )
 
     joined = lines.join(per_line, ["image_id", "ch", "y"], "left")
@@ -173,7 +173,7 @@ def nearest_fill(lines: DataFrame, hole: str = "hole", fill_value: float | None
             F.filter(F.transform(flags, lambda h, x: F.when(~h, x)), lambda x: x.isNotNull()),
             lambda x: F.struct(x.alias("x"), y.alias("sy"), F.get(vals, x).alias("v")),
         )
-        both = F.array_sort(F.concat(spots, holes))
+        both = F.sort_array(F.concat(spots, holes))
         return both
 
     def fill(vals: Column, flags: Column, cells: Column) -> Column:

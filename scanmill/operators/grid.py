@@ -23,15 +23,15 @@ def to_pixels(lines: DataFrame, cols: Sequence[str] = ("vals",), names: Sequence
     """One row per pixel; several line arrays become several pixel columns."""
     keys = [c for c in LINE_KEY if c in lines.columns]
     if len(cols) == 1:
-        return lines.select(*keys, F.posexplode(cols[0]).alias("x", names[0]))
+        return lines.select(*keys, F.posexplode_outer(cols[0]).alias("x", names[0]))
     zipped = F.arrays_zip(*[F.col(c).alias(n) for c, n in zip(cols, names)])
-    out = lines.select(*keys, F.posexplode(zipped).alias("x", "__p"))
+    out = lines.select(*keys, F.posexplode_outer(zipped).alias("x", "__p"))
     return out.select(*keys, "x", *[F.col("__p").getField(n).alias(n) for n in names])
 
 
 def to_lines(pixels: DataFrame, value: str = "v") -> DataFrame:
     """Collect pixels to lines; a line is bounded by the image width."""
-    ordered = F.array_sort(F.collect_list(F.struct("x", F.col(value).alias("v"))))
+    ordered = F.sort_array(F.collect_list(F.struct("x", F.col(value).alias("v"))))
     lines = pixels.groupBy(*LINE_KEY).agg(F.transform(ordered, lambda p: p["v"]).alias("vals"))
     return lines.withColumn("w", F.size("vals"))
 
@@ -43,8 +43,8 @@ def heights(lines: DataFrame) -> DataFrame:
 
 def coords_grid(images: DataFrame) -> DataFrame:
     """All (y, x) of each image header row (image_id, h, w)."""
-    rows = images.select("image_id", "w", F.explode(indices(F.col("h"))).alias("y"))
-    return rows.select("image_id", "y", F.explode(indices(F.col("w"))).alias("x"))
+    rows = images.select("image_id", "w", F.explode_outer(indices(F.col("h"))).alias("y"))
+    return rows.select("image_id", "y", F.explode_outer(indices(F.col("w"))).alias("x"))
 
 
 def flip_x(lines: DataFrame, col: str = "vals") -> DataFrame:
@@ -75,7 +75,7 @@ def channels_to_columns(lines: DataFrame, names: Sequence[str] = ("r", "g", "b")
 
 def columns_to_channels(df: DataFrame, names: Sequence[str] = ("r", "g", "b")) -> DataFrame:
     packed = F.array(*[F.struct(F.lit(i).alias("ch"), F.col(n).alias("vals")) for i, n in enumerate(names)])
-    return df.select("image_id", "y", "h", "w", F.explode(packed).alias("c")).select(
+    return df.select("image_id", "y", "h", "w", F.explode_outer(packed).alias("c")).select(
         "image_id", F.col("c.ch").alias("ch"), "y", "h", "w", F.col("c.vals").alias("vals")
     )
 
@@ -118,7 +118,7 @@ def pad(lines: DataFrame, k: int, mode: str = "even") -> DataFrame:
     return lines.select(
         "image_id",
         "ch",
-        F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("y"),
+        F.explode_outer(F.sequence(first.cast("int"), last.cast("int"))).alias("y"),
         (F.col("h") + top + bottom).cast("int").alias("h"),
         (F.col("w") + p["left"] + p["right"]).cast("int").alias("w"),
         wide.alias("vals"),
@@ -174,9 +174,9 @@ def split_tiles(lines: DataFrame, p: int) -> DataFrame:
         across.alias("__across"),
         "h",
         "w",
-        F.explode(pieces).alias("__t"),
+        F.explode_outer(pieces).alias("__t"),
     )
-    rows = F.array_sort(F.collect_list(F.struct("__row", F.col("__t.part").alias("part"))))
+    rows = F.sort_array(F.collect_list(F.struct("__row", F.col("__t.part").alias("part"))))
     return (
         parts.groupBy("image_id", "ch", "tile_y", F.col("__t.tile_x").alias("tile_x"), "__across", "h", "w")
         .agg(F.flatten(F.transform(rows, lambda r: r["part"])).alias("vals"))
@@ -191,8 +191,8 @@ def join_tiles(tiles: DataFrame, p: int) -> DataFrame:
         indices(F.lit(p)),
         lambda r: F.struct(r.alias("row"), F.slice("vals", r * p + 1, F.lit(p)).alias("part")),
     )
-    parts = tiles.select("image_id", "ch", "tile_y", "tile_x", "h", "w", F.explode(rows).alias("__r"))
-    across = F.array_sort(F.collect_list(F.struct("tile_x", F.col("__r.part").alias("part"))))
+    parts = tiles.select("image_id", "ch", "tile_y", "tile_x", "h", "w", F.explode_outer(rows).alias("__r"))
+    across = F.sort_array(F.collect_list(F.struct("tile_x", F.col("__r.part").alias("part"))))
     y = (F.col("tile_y") * p + F.col("__r.row")).cast("int").alias("y")
     return parts.groupBy("image_id", "ch", y, "h", "w").agg(
         F.flatten(F.transform(across, lambda r: r["part"])).alias("vals")
@@ -270,9 +270,10 @@ def resize(
         )
         span = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
         served = F.filter(span, lambda t: _nearest_index(t, h, ry) == F.col("y"))
-        return sized.select(
-            "image_id", "ch", F.explode(served).alias("y"), oh.alias("h"), ow.alias("w"), wide.alias("vals")
-        )
+        picked = sized.select("image_id", "ch", "__oh", "__ow", served.alias("__served"), wide.alias("vals"))
+        return picked.select(
+            "image_id", "ch", F.explode_outer("__served").alias("y"), oh.alias("h"), ow.alias("w"), "vals"
+        ).filter("y IS NOT NULL")
 
     def at(source: Column, vs: Column) -> Column:
         base = F.floor(source).cast("int")
@@ -315,13 +316,21 @@ def resize(
         return let(_source(t, h, oh, ry, rule), of)
 
     targets = F.filter(F.transform(span, hits), lambda s: s["wt"] != 0)
-    spread = sized.select(
-        "image_id", "ch", "y", oh.alias("h"), ow.alias("w"), wide.alias("vals"), F.explode(targets).alias("__t")
-    ).select(
-        "image_id", "ch", F.col("__t.t").alias("t"), "h", "w", F.struct("y", F.col("__t.wt").alias("wt"), "vals").alias("src")
+    shares = sized.select("image_id", "ch", "y", "__oh", "__ow", wide.alias("__wide"), targets.alias("__targets"))
+    spread = (
+        shares.select("image_id", "ch", "y", "__oh", "__ow", "__wide", F.explode_outer("__targets").alias("__t"))
+        .filter("__t IS NOT NULL")
+        .select(
+            "image_id",
+            "ch",
+            F.col("__t.t").alias("t"),
+            oh.alias("h"),
+            ow.alias("w"),
+            F.struct("y", F.col("__t.wt").alias("wt"), F.col("__wide").alias("vals")).alias("src"),
+        )
     )
     # at most four source lines per target line
-    rows = F.array_sort(F.collect_list("src"))
+    rows = F.sort_array(F.collect_list("src"))
     return (
         spread.groupBy("image_id", "ch", "t", "h", "w")
         .agg(rows.alias("__rows"))

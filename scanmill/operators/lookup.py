@@ -57,6 +57,6 @@ def lookup_join(
 
     spread = [f.name for f in big.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     salted = big.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = renamed.withColumn("__r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = renamed.withColumn("__r_salt", F.explode_outer(F.sequence(F.lit(0), F.lit(salts - 1))))
     match = (salted["__salt"] == copies["__r_salt"]) & condition(salted, copies)
     return salted.join(copies, match, how).drop("__salt", "__r_salt", *drop)

@@ -198,7 +198,7 @@ def photometric(lines: DataFrame, a: str, b: str, beta: float = 0.85, out: str =
     stacked = mixed.groupBy("image_id", "y").agg(
         F.max("h").alias("h"),
         F.max("w").alias("w"),
-        F.array_sort(F.collect_list(F.struct("ch", F.col(out).alias("v")))).alias("__c"),
+        F.sort_array(F.collect_list(F.struct("ch", F.col(out).alias("v")))).alias("__c"),
     )
     averaged = F.aggregate(
         F.col("__c"),

@@ -49,7 +49,7 @@ def with_rows_around(
         F.greatest(F.floor((y - radius) / band), F.lit(0)).cast("int"),
         F.least(F.floor((y + radius) / band), last_band).cast("int"),
     )
-    spread = lines.withColumn("__band", F.explode(bands))
+    spread = lines.withColumn("__band", F.explode_outer(bands))
     around = (
         Window.partitionBy(*keys, "__band").orderBy("y").rowsBetween(-radius, radius)
     )
@@ -172,16 +172,25 @@ def avg_pool(lines: DataFrame, k: int, stride: int, padding: int) -> DataFrame:
     low = F.greatest(F.ceil((F.col("y") + padding - (k - 1)) / stride), F.lit(0)).cast("int")
     high = F.least(F.floor((F.col("y") + padding) / stride), out_size(F.col("h")) - 1).cast("int")
     targets = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-    spread = lines.select(
+    pooled = lines.select(
         "image_id",
         "ch",
-        F.explode(targets).alias("__oy"),
-        out_size(F.col("h")).alias("h"),
-        out_size(F.col("w")).alias("w"),
-        F.struct("y", x_sums.alias("vals")).alias("src"),
+        "y",
+        x_sums.alias("__sums"),
+        targets.alias("__targets"),
+        out_size(F.col("h")).alias("__h"),
+        out_size(F.col("w")).alias("__w"),
     )
+    spread = pooled.select(
+        "image_id",
+        "ch",
+        F.explode_outer("__targets").alias("__oy"),
+        F.col("__h").alias("h"),
+        F.col("__w").alias("w"),
+        F.struct("y", F.col("__sums").alias("vals")).alias("src"),
+    ).filter("__oy IS NOT NULL")
     grouped = spread.groupBy("image_id", "ch", "__oy", "h", "w").agg(
-        F.array_sort(F.collect_list("src")).alias("__rows")  # at most k lines
+        F.sort_array(F.collect_list("src")).alias("__rows")  # at most k lines
     )
     summed = F.aggregate(
         F.col("__rows"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scanmill.functions.arrays import clip, let, run_firsts
 
 NO_SOURCE = 10000.0  # fixed value: weight of a target no source pixel reached
+_COLUMN_BITS = 21  # widest line the packed entries can hold: two million columns
 WEIGHT_FLOOR = 1e-7  # fixed value: keeps the weight sum away from zero
 
 
@@ -23,27 +24,39 @@ def non_occlusion(shift: Column) -> Column:
     two or more columns to its right falls in the same bin. It is kept when its
     position is positive and at least one of its bins is not covered.
 
-    Instead of comparing all pairs, (bin, column) entries are sorted: columns
-    within a bin are distinct, so a later hit two or more columns away shows in
-    one of the next two entries.
+    Instead of comparing all pairs, (bin, column) entries are packed into whole
+    numbers and sorted: columns within a bin are distinct, so a later hit two or
+    more columns away shows in one of the next two entries.
     """
+    zero = F.lit(0).cast("long")
 
-    def bins(s: Column, x: Column) -> Column:
-        low, high = F.floor(s), F.ceil(s)
-        entry = lambda b: F.struct(b.cast("long").alias("b"), x.alias("x"))
-        return F.when(low == high, F.array(entry(low))).otherwise(F.array(entry(low), entry(high)))
+    def entry(code: Column, x: Column) -> Column:
+        return code * (1 << _COLUMN_BITS) + x
 
-    by_bin = F.array_sort(F.flatten(F.transform(shift, bins)))
+    # bins left of the image cannot keep a pixel, nor can the second bin of a whole position
+    near = lambda s: F.least(s, F.lit(1e12))  # keeps infinite positions within whole numbers
+    low = F.transform(shift, lambda s, x: entry(F.greatest(F.floor(near(s)) + 1, zero), x))
+    high = F.transform(
+        shift,
+        lambda s, x: entry(F.when(F.ceil(s) == F.floor(s), zero).otherwise(F.greatest(F.ceil(near(s)) + 1, zero)), x),
+    )
 
-    def covered(e: Column, i: Column, s: Column) -> Column:
-        one, two = F.get(s, i + 1), F.get(s, i + 2)
-        hit = ((one["b"] == e["b"]) & (one["x"] >= e["x"] + 2)) | (two["b"] == e["b"])
-        return F.struct(e["x"].alias("x"), F.coalesce(hit, F.lit(False)).alias("covered"))
+    def tested(e: Column, i: Column, sorted_entries: Column) -> Column:
+        code = lambda v: F.shiftright(v, _COLUMN_BITS)
+        one, two = F.get(sorted_entries, i + 1), F.get(sorted_entries, i + 2)
+        hit = ((code(one) == code(e)) & (one - e >= 2)) | (code(two) == code(e))
+        free = (code(e) > 0) & ~F.coalesce(hit, F.lit(False))
+        return e.bitwiseAND(F.lit((1 << _COLUMN_BITS) - 1)) * 2 + F.when(free, 0).otherwise(1)
 
-    flagged = let(by_bin, lambda s: F.transform(s, lambda e, i: covered(e, i, s)))
-    # false sorts first: the first entry of a column tells whether some bin of it is free
-    best = run_firsts(F.array_sort(flagged), "x")
-    return F.zip_with(best, shift, lambda e, s: ~e["covered"] & (s > 0))
+    flagged = let(
+        F.sort_array(F.concat(low, high)),
+        lambda es: F.transform(es, lambda e, i: tested(e, i, es)),
+    )
+    # two entries per column, a free one first
+    return let(
+        F.sort_array(flagged),
+        lambda fs: F.transform(shift, lambda s, x: (s > 0) & (F.get(fs, x * 2) == x * 2)),
+    )
 
 
 def _plane(values: Column, moved: Column, width: Column, upper: bool) -> Column:
@@ -71,7 +84,7 @@ def _plane(values: Column, moved: Column, width: Column, upper: bool) -> Column:
             t.alias("t"), F.lit(NO_SOURCE).alias("wt"), F.lit(0).alias("later"), F.lit(0.0).alias("c")
         ),
     )
-    return run_firsts(F.array_sort(F.concat(found, empty)), "t")
+    return run_firsts(F.sort_array(F.concat(found, empty)), "t")
 
 
 def forward_warp(
@@ -120,7 +133,7 @@ def inpaint_mask(lines: DataFrame, compat: str = "reference") -> DataFrame:
     return forward_warp(lines, compat).select("image_id", "ch", "y", "h", "w", "mask_inpaint")
 
 
-def gather(values: Column, positions: Column, width: Column, pad: str = "border", mode: str = "bilinear") -> Column:
+def gather(values: Column, positions: Column, pad: str = "border", mode: str = "bilinear") -> Column:
     """Sample one line at fractional columns.
 
     ``border`` clamps positions to the line, ``zeros`` gives 0 for samples
@@ -128,6 +141,8 @@ def gather(values: Column, positions: Column, width: Column, pad: str = "border"
     """
 
     def sample(p: Column, line: Column) -> Column:
+        width = F.size(line)
+
         def inside(i: Column) -> Column:
             ok = (i >= 0) & (i < width)
             return F.when(ok, F.get(line, F.when(ok, i).cast("int"))).otherwise(F.lit(0.0))
@@ -148,7 +163,7 @@ def gather(values: Column, positions: Column, width: Column, pad: str = "border"
 
 def backward_warp(values: Column, disp: Column, pad: str = "border", mode: str = "bilinear") -> Column:
     """Fetch each pixel of one view from the other at ``x - disp``."""
-    return gather(values, shifted(disp), F.size(values), pad, mode)
+    return gather(values, shifted(disp), pad, mode)
 
 
 def warped_real_mask(mask_inpaint: Column, disp: Column) -> Column:

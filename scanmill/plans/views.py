@@ -12,9 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a scan with fewer splits than cores a task per core.
+
+    Only inputs too small to fill the cluster are shuffled; a large scan already
+    has enough splits and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image lines from ``embeddings``: 64 consecutive vectors make an image, the last may be short."""
-    emb = table(spark, sf_dir, "embeddings")
+    emb = spread(table(spark, sf_dir, "embeddings"), "vec_id")
     last = emb.agg(F.max("vec_id")).first()[0]
     image = F.expr(f"vec_id div {SIDE}")
     return emb.select(
