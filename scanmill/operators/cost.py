@@ -176,6 +176,22 @@ def lookup_features(
     return px.select("image_id", "y", "x", F.flatten(F.array(*taps)).alias(out))
 
 
+def groups_first(cost: Column, groups: int) -> Column:
+    """Turn an array over d of group vectors into one array over d per group."""
+    return let(
+        cost,
+        lambda cs: F.transform(indices(F.lit(groups)), lambda g: F.transform(cs, lambda c: F.get(c, g))),
+    )
+
+
+def group_pyramid(costs: DataFrame, levels: int, col: str = "geo") -> DataFrame:
+    """:func:`pyramid` for a volume with groups: each group is halved along d."""
+    out = costs.withColumn(f"{col}_l0", F.col(col))
+    for i in range(1, levels):
+        out = out.withColumn(f"{col}_l{i}", F.transform(f"{col}_l{i - 1}", pool_pairs))
+    return out
+
+
 def _group_taps(groups: Column, center: Column, steps: Column) -> Column:
     return F.transform(groups, lambda g: _taps(g, center, steps))
 

@@ -236,7 +236,7 @@ def sequence_loss(
     return per_iter.groupBy(*by).agg(F.sum(weight * F.col("m")).alias("loss"))
 
 
-def _zero_loss_terms(
+def _confidence_loss_terms(
     preds: DataFrame, maps: DataFrame, views: DataFrame, max_disp: float, smooth: bool
 ) -> DataFrame:
     """Per iteration: mean confidence-weighted error and mean photometric error.
@@ -285,27 +285,27 @@ def _zero_loss_terms(
     return per_line.groupBy("iter").agg(_mean("ds", "dn").alias("d_loss"), _mean("ps", "pn").alias("p_loss"))
 
 
-def zero_loss_flow(
+def confidence_loss_flow(
     preds: DataFrame, maps: DataFrame, views: DataFrame, n: int,
     gamma: float = 0.9, mu: float = 0.1, max_disp: float = 700.0,
 ) -> DataFrame:
     """Confidence-weighted loss for flow predictions (negative disparities)."""
     flipped = preds.withColumn("disp", F.transform("disp", lambda v: -v))
-    terms = _zero_loss_terms(flipped, maps, views, max_disp, smooth=False)
+    terms = _confidence_loss_terms(flipped, maps, views, max_disp, smooth=False)
     weight = iteration_weight(F.col("iter"), F.lit(n), gamma)
     return terms.agg(F.sum(weight * (F.col("d_loss") + mu * F.col("p_loss"))).alias("loss"))
 
 
-def zero_loss_disp(
+def confidence_loss_disp(
     init: DataFrame, preds: DataFrame, maps: DataFrame, views: DataFrame, n: int,
     gamma: float = 0.9, mu: float = 0.1, max_disp: float = 700.0,
 ) -> DataFrame:
     """The same for disparity predictions, plus a smooth-L1 term of the initial one."""
-    start = _zero_loss_terms(
+    start = _confidence_loss_terms(
         init.withColumn("iter", F.lit(0)), maps, views, max_disp, smooth=True
     ).select((F.col("d_loss") + 0.1 * F.col("p_loss")).alias("part"))
     weight = iteration_weight(F.col("iter"), F.lit(n), gamma)
-    later = _zero_loss_terms(preds, maps, views, max_disp, smooth=False).select(
+    later = _confidence_loss_terms(preds, maps, views, max_disp, smooth=False).select(
         (weight * (F.col("d_loss") + mu * F.col("p_loss"))).alias("part")
     )
     return start.unionByName(later).agg(F.sum("part").alias("loss"))

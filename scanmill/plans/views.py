@@ -70,6 +70,6 @@ PAIR = """pr AS (
   SELECT l.image_id, l.y, l.x, l.v AS l, r.v AS r
   FROM px l JOIN px r ON r.image_id = l.image_id + 1 AND r.y = l.y AND r.x = l.x)"""
 FEAT = """ft AS (
-  SELECT image_id, y, CAST(x // 8 AS INTEGER) AS x, list(l ORDER BY x) AS l, list(r ORDER BY x) AS r
-  FROM pr GROUP BY ALL)""".replace("GROUP BY ALL", "GROUP BY image_id, y, x // 8")
+  SELECT image_id, y, CAST(c // 8 AS INTEGER) AS x, list(l ORDER BY c) AS l, list(r ORDER BY c) AS r
+  FROM (SELECT image_id, y, x AS c, l, r FROM pr) GROUP BY image_id, y, c // 8)"""
 SHIFT = "sh AS (SELECT image_id, y, x, v, floor((v + 0.6) * 40) / 4 AS d, x - floor((v + 0.6) * 40) / 4 AS s FROM px)"
