@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from scanmill.functions.arrays import clip, indices, let, run_firsts
 from scanmill.functions.scalar import normal, uniform
-from scanmill.operators.grid import crop, resize
+from scanmill.operators.grid import channels_to_columns, columns_to_channels, crop, resize
 from scanmill.operators.lookup import lookup_join
 from scanmill.operators.stencil import gauss_blur
 
@@ -126,13 +126,13 @@ def _hue_shift(p: Column, shift: Column) -> Column:
     return F.struct(channel(5).alias("r"), channel(3).alias("g"), channel(1).alias("b"))
 
 
-def color_jitter(colors: DataFrame, factors: dict[str, Column]) -> DataFrame:
+def color_jitter(colors: DataFrame, factors: dict[str, Column], whole: bool = True) -> DataFrame:
     """Brightness, contrast, saturation, hue, in that order, on 0..255 values.
 
     ``colors(image_id, view, y, h, w, r, g, b)`` with one array per channel. The
     contrast step pulls towards the mean gray of the brightened image, or of both
     views together when they share one draw. The order is fixed here so that
-    results can be reproduced.
+    results can be reproduced. ``whole`` rounds the result to whole values.
     """
     named = colors.withColumns({f"__{k}": v for k, v in factors.items()})
     lit = named.withColumns(
@@ -164,7 +164,10 @@ def color_jitter(colors: DataFrame, factors: dict[str, Column]) -> DataFrame:
 
     done = with_mean.withColumn("__p", F.transform(pixels, recolor))
     return done.withColumns(
-        {c: F.transform(F.col("__p").getField(c), lambda v: F.rint(v)) for c in ("r", "g", "b")}
+        {
+            c: F.transform(F.col("__p").getField(c), lambda v: F.rint(v) if whole else v)
+            for c in ("r", "g", "b")
+        }
     ).drop("__p", "__mean", "__owner", *[f"__{k}" for k in factors])
 
 
@@ -368,8 +371,6 @@ def augment(
         )
     left = out["left"]
     if "color" in params.steps:
-        from scanmill.operators.grid import channels_to_columns, columns_to_channels
-
         truncated = lambda df: df.withColumn("vals", F.transform("vals", lambda v: F.floor(v).cast("double")))
         view = lambda df, name: channels_to_columns(truncated(df)).withColumn("view", F.lit(name))
         both = view(left, "left").unionByName(view(right, "right"))
