@@ -47,8 +47,9 @@ def dilate3(spark, sf_dir):
 @query(
     "sobel_edges",
     f"""WITH {PX}, {HT},
-    st AS (SELECT a.image_id, a.y, a.x, dy, dx, b.v FROM px a JOIN ht USING (image_id) {OFFS.format(r=1)}
-      JOIN px b ON b.image_id = a.image_id AND b.y = greatest(0, least(h - 1, a.y + dy)) AND b.x = greatest(0, least(63, a.x + dx)))
+    nb AS MATERIALIZED (SELECT a.image_id, a.y, a.x, dy, dx, greatest(0, least(h - 1, a.y + dy)) AS ny, greatest(0, least(63, a.x + dx)) AS nx
+      FROM px a JOIN ht USING (image_id) {OFFS.format(r=1)}),
+    st AS (SELECT nb.image_id, nb.y, nb.x, dy, dx, b.v FROM nb JOIN px b ON b.image_id = nb.image_id AND b.y = nb.ny AND b.x = nb.nx)
     SELECT image_id, y, x,
       {r6_sql('sqrt((pow(sum(dx * (2 - abs(dy)) * v) / 4, 2) + pow(sum(dy * (2 - abs(dx)) * v) / 4, 2)) / 2)')} AS magnitude
     FROM st GROUP BY image_id, y, x""",

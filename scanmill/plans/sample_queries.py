@@ -20,10 +20,10 @@ from scanmill.sources import sinks
     "disparity_readers",
     f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_extendedprice AS p, l_partkey % 256 AS m FROM lineitem)
     SELECT l_orderkey, l_linenumber,
-      {r6_sql('80 / q')} AS tartanair, {r6_sql('p / 32')} AS crestereo, {r6_sql('768.2::DOUBLE * 6 * 100 / q')} AS falling_things,
+      {r6_sql('80 / q')} AS tartanair, p / 32 AS crestereo, {r6_sql('768.2::DOUBLE * 6 * 100 / q')} AS falling_things,
       {r6_sql('CASE WHEN CAST(CAST(p / 100 AS FLOAT) AS DOUBLE) < 655 THEN 0.532725::DOUBLE * 725.0087::DOUBLE / CAST(CAST(p / 100 AS FLOAT) AS DOUBLE) ELSE 0 END')} AS vkitti2,
       CAST(CAST(p / 100 AS FLOAT) AS DOUBLE) < 655 AS vkitti2_valid,
-      {r6_sql('p / 256')} AS kitti, m > 0 AS mask_all, m = 255 AS mask_noc, q < 1024 AS default_valid, q - 25 > 0 AS training_valid,
+      p / 256 AS kitti, m > 0 AS mask_all, m = 255 AS mask_noc, q < 1024 AS default_valid, q - 25 > 0 AS training_valid,
       q >= 10 AND p < 40000 AS loss_valid, {r6_sql('CASE WHEN abs(q / 25 - 1) < 1 THEN 0.5 * (q / 25 - 1) * (q / 25 - 1) ELSE abs(q / 25 - 1) - 0.5 END')} AS smooth_l1
     FROM r""",
 )
@@ -35,10 +35,10 @@ def readers(spark, sf_dir):
     return items.select(
         "l_orderkey", "l_linenumber",
         r6(scalar.tartanair(q)[0]).alias("tartanair"),
-        r6(scalar.crestereo(p)[0]).alias("crestereo"),
+        scalar.crestereo(p)[0].alias("crestereo"),
         r6(scalar.falling_things(q, F.lit(768.2))[0]).alias("falling_things"),
         r6(vk).alias("vkitti2"), vk_valid.alias("vkitti2_valid"),
-        r6(scalar.kitti(p)[0]).alias("kitti"),
+        scalar.kitti(p)[0].alias("kitti"),
         mode("all").alias("mask_all"), mode("noc").alias("mask_noc"),
         scalar.default_valid(F.lit(None).cast("boolean"), q).alias("default_valid"),
         scalar.training_valid(q - 25).alias("training_valid"),
@@ -235,7 +235,7 @@ _NEAREST = """arg_min(k.v, (CAST((h.y - k.y) * (h.y - k.y) + (h.x - k.x) * (h.x
     fl AS (SELECT a.image_id, a.y, a.x, a.v AS a, b.v * (1 + 0.01::DOUBLE * b.x) AS b
       FROM px a JOIN px b ON a.image_id = b.image_id AND a.y = b.y AND b.x = 63 - a.x),
     r AS (SELECT image_id, min(a) AS la, max(a) AS ha, min(b) AS lb, max(b) AS hb FROM fl GROUP BY image_id),
-    c AS (SELECT image_id, y, x, (a - la) / (ha - la) AS n, 1 - abs((a - la) / (ha - la) - (b - lb) / (hb - lb)) AS c FROM fl JOIN r USING (image_id)),
+    c AS MATERIALIZED (SELECT image_id, y, x, (a - la) / (ha - la) AS n, 1 - abs((a - la) / (ha - la) - (b - lb) / (hb - lb)) AS c FROM fl JOIN r USING (image_id)),
     q AS (SELECT image_id, min(c) AS lc, max(c) AS hc FROM c GROUP BY image_id),
     dr AS (SELECT DISTINCT image_id, (image_id * 37 % 100) / 100.0 AS u1, (image_id * 61 % 100) / 100.0 AS u2 FROM px),
     k AS (SELECT image_id, CASE WHEN u1 < 0.1 THEN 0.0 WHEN u1 > 0.9 THEN 0.15 ELSE 0.05 END * 64.0::DOUBLE AS lo,
@@ -244,9 +244,9 @@ _NEAREST = """arg_min(k.v, (CAST((h.y - k.y) * (h.y - k.y) + (h.x - k.x) * (h.x
     dl AS MATERIALIZED (SELECT a.image_id, a.y, a.x, max(b.v) AS v FROM d0 a JOIN d0 b
       ON a.image_id = b.image_id AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1
       WHERE abs(a.y - b.y) + abs(a.x - b.x) <= 1 GROUP BY a.image_id, a.y, a.x),
-    st AS (SELECT a.image_id, a.y, a.x, dy, dx, b.v FROM dl a JOIN ht USING (image_id)
-      CROSS JOIN (SELECT unnest([-1,0,1]) AS dy) CROSS JOIN (SELECT unnest([-1,0,1]) AS dx)
-      JOIN dl b ON b.image_id = a.image_id AND b.y = greatest(0, least(h - 1, a.y + dy)) AND b.x = greatest(0, least(63, a.x + dx))),
+    nb AS MATERIALIZED (SELECT a.image_id, a.y, a.x, dy, dx, greatest(0, least(h - 1, a.y + dy)) AS ny, greatest(0, least(63, a.x + dx)) AS nx
+      FROM dl a JOIN ht USING (image_id) CROSS JOIN (SELECT unnest([-1,0,1]) AS dy) CROSS JOIN (SELECT unnest([-1,0,1]) AS dx)),
+    st AS (SELECT nb.image_id, nb.y, nb.x, dy, dx, b.v FROM nb JOIN dl b ON b.image_id = nb.image_id AND b.y = nb.ny AND b.x = nb.nx),
     mg AS MATERIALIZED (SELECT image_id, y, x, sqrt((pow(sum(dx * (2 - abs(dy)) * v) / 4, 2) + pow(sum(dy * (2 - abs(dx)) * v) / 4, 2)) / 2) > 3 AS hole
       FROM st GROUP BY image_id, y, x),
     kn AS (SELECT dl.* FROM dl JOIN mg USING (image_id, y, x) WHERE NOT hole), ho AS (SELECT image_id, y, x FROM mg WHERE hole),
@@ -256,7 +256,7 @@ _NEAREST = """arg_min(k.v, (CAST((h.y - k.y) * (h.y - k.y) + (h.x - k.x) * (h.x
     hit AS (SELECT a.image_id, a.y, a.x, bool_or(floor(b.s) = floor(a.s) OR ceil(b.s) = floor(a.s)) AS dn,
         bool_or(floor(b.s) = ceil(a.s) OR ceil(b.s) = ceil(a.s)) AS up
       FROM sh a JOIN sh b ON a.image_id = b.image_id AND a.y = b.y AND b.x >= a.x + 2 GROUP BY a.image_id, a.y, a.x),
-    nocc AS (SELECT image_id, y, x, v, s, s > 0 AND (NOT coalesce(dn, false) OR NOT coalesce(up, false)) AS keep FROM sh LEFT JOIN hit USING (image_id, y, x)),
+    nocc AS MATERIALIZED (SELECT image_id, y, x, v, s, s > 0 AND (NOT coalesce(dn, false) OR NOT coalesce(up, false)) AS keep FROM sh LEFT JOIN hit USING (image_id, y, x)),
     mv AS (SELECT image_id, y, x, v, CASE WHEN keep THEN s ELSE -64.0 END AS p FROM nocc),
     t AS (SELECT image_id, y, x, v, p, greatest(0, least(63, ceil(p))) AS tu, greatest(0, least(63, floor(p))) AS td FROM mv),
     up AS (SELECT image_id, y, tu AS t, tu - p AS wu, v AS vu FROM t QUALIFY row_number() OVER (PARTITION BY image_id, y, tu ORDER BY tu - p, x DESC) = 1),

@@ -82,11 +82,12 @@ def adaptive(spark, sf_dir):
 @query(
     "cut_edges",
     f"""WITH {PX}, {HT},
-    dl AS (SELECT a.image_id, a.y, a.x, max(b.v * 40) AS v FROM px a JOIN px b
-      ON a.image_id = b.image_id AND abs(a.y - b.y) + abs(a.x - b.x) <= 1 GROUP BY ALL),
-    st AS (SELECT a.image_id, a.y, a.x, dy, dx, b.v FROM dl a JOIN ht USING (image_id)
-      CROSS JOIN (SELECT unnest([-1,0,1]) AS dy) CROSS JOIN (SELECT unnest([-1,0,1]) AS dx)
-      JOIN dl b ON b.image_id = a.image_id AND b.y = greatest(0, least(h - 1, a.y + dy)) AND b.x = greatest(0, least(63, a.x + dx))),
+    dl AS MATERIALIZED (SELECT a.image_id, a.y, a.x, max(b.v * 40) AS v FROM px a JOIN px b
+      ON a.image_id = b.image_id AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1
+      WHERE abs(a.y - b.y) + abs(a.x - b.x) <= 1 GROUP BY a.image_id, a.y, a.x),
+    nb AS MATERIALIZED (SELECT a.image_id, a.y, a.x, dy, dx, greatest(0, least(h - 1, a.y + dy)) AS ny, greatest(0, least(63, a.x + dx)) AS nx
+      FROM dl a JOIN ht USING (image_id) CROSS JOIN (SELECT unnest([-1,0,1]) AS dy) CROSS JOIN (SELECT unnest([-1,0,1]) AS dx)),
+    st AS (SELECT nb.image_id, nb.y, nb.x, dy, dx, b.v FROM nb JOIN dl b ON b.image_id = nb.image_id AND b.y = nb.ny AND b.x = nb.nx),
     mg AS (SELECT image_id, y, x, sqrt((pow(sum(dx * (2 - abs(dy)) * v) / 4, 2) + pow(sum(dy * (2 - abs(dx)) * v) / 4, 2)) / 2) AS m
       FROM st GROUP BY ALL)
     SELECT d.image_id, d.y, d.x, m > 3 AS hole, {r6_sql('CASE WHEN m > 3 THEN 0 ELSE v END')} AS v
