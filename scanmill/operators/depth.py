@@ -120,6 +120,7 @@ def nearest_fill(lines: DataFrame, hole: str = "hole", fill_value: float | None
     and a hole only looks as far sideways as its own vertical distance.
     A hole of an image without known pixels gets ``fill_value`` (null by default).
     """
+    rest = [c for c in lines.columns if c not in ("image_id", "ch", "y")]
     base = lines.withColumn("__known", F.transform(hole, lambda h: ~h))
     near = with_rows_around(base, ["__known"], 1, "none")
     up, down = F.get("__known_rows", F.lit(0)), F.get("__known_rows", F.lit(2))
@@ -142,29 +143,44 @@ def nearest_fill(lines: DataFrame, hole: str = "hole", fill_value: float | None
             ),
         ),
     )
-    marked = near.select("image_id", "ch", "y", F.explode_outer(marks).alias("e")).filter("e IS NOT NULL").select(
-        "image_id", "ch", "y", "e.x", "e.known", "e.v"
+    # The line itself travels with its marks, under a column number of its own, so
+    # that what comes before this step is computed once and not joined back.
+    itself = F.array(
+        F.struct(
+            (-1 - F.col("y")).alias("x"), F.lit(None).cast("boolean").alias("known"), F.lit(None).cast("double").alias("v")
+        )
     )
-    column = Window.partitionBy("image_id", "ch", "x").orderBy("y")
-    source = F.when(F.col("known"), F.struct("y", "v"))
-    above = F.last(source, ignorenulls=True).over(
-        column.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = (
+        near.withColumn("__line", F.struct(*rest))
+        .select("image_id", "ch", "y", "__line", F.explode_outer(F.concat(itself, marks)).alias("e"))
+        .select(
+            "image_id", "ch", "y", "e.x", "e.known", "e.v", F.when(F.col("e.x") < 0, F.col("__line")).alias("__line")
+        )
     )
-    below = F.first(source, ignorenulls=True).over(
-        column.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    column = Window.partitionBy("image_id", "ch", "x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    source = F.when(F.col("known"), F.struct("y", "v"))
+    # both directions look back over a growing frame, which costs one step per row
+    found = (
+        marked.withColumn("__source", source)
+        .withColumn("a", F.last("__source", ignorenulls=True).over(column.orderBy("y")))
+        .withColumn("b", F.last("__source", ignorenulls=True).over(column.orderBy(F.col("y").desc())))
+        .filter((F.col("x") < 0) | ~F.col("known"))
     )
-    found = marked.select("image_id", "ch", "y", "x", "known", above.alias("a"), below.alias("b")).filter(~F.col("known"))
     gap = lambda s: (F.col("y") - s["y"]).cast("long")
     a, b = F.col("a"), F.col("b")
     # of two equally far pixels of a column the upper one wins
     use_above = a.isNotNull() & (b.isNull() | (F.abs(gap(a)) <= F.abs(gap(b))))
     chosen = F.when(use_above, a).otherwise(b)
-    vertical = found.select("image_id", "ch", "y", "x", chosen.alias("s"))
-    per_line = vertical.groupBy("image_id", "ch", "y").agg(
-        F.sort_array(F.collect_list(F.struct("x", F.col("s.y").alias("sy"), F.col("s.v").alias("v")))).alias("__holes")
+    answer_of = F.when(F.col("x") >= 0, F.struct("x", F.col("s.y").alias("sy"), F.col("s.v").alias("v")))
+    joined = (
+        found.select("image_id", "ch", "y", "x", "__line", chosen.alias("s"))
+        .groupBy("image_id", "ch", "y")
+        .agg(
+            F.first("__line", ignorenulls=True).alias("__line"),
+            F.sort_array(F.collect_list(answer_of)).alias("__holes"),
+        )
+        .select("image_id", "ch", "y", *[F.col("__line").getField(c).alias(c) for c in rest], "__holes")
     )
-
-    joined = lines.join(per_line, ["image_id", "ch", "y"], "left")
     y = F.col("y")
 
     def dense(vals: Column, flags: Column, holes: Column) -> Column:
@@ -211,7 +227,7 @@ def nearest_fill(lines: DataFrame, hole: str = "hole", fill_value: float | None
         ),
     )
     return joined.withColumn(
-        "vals", F.when(F.col("__holes").isNull(), F.col("vals")).otherwise(filled)
+        "vals", F.when(F.size("__holes") == 0, F.col("vals")).otherwise(filled)
     ).drop("__holes")
 
 

@@ -8,6 +8,7 @@ the data. Looking left and right is an array expression.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -125,17 +126,24 @@ def sobel(lines: DataFrame, out: str = "magnitude") -> DataFrame:
     """Gradient magnitude: smoothed differences in x and y, borders repeated, root mean square."""
     near = with_rows_around(lines, ["vals"], 1, "edge")
     up, mid, down = (F.get("vals_rows", F.lit(i)) for i in range(3))
-
-    def at(x: Column) -> Column:
-        left = _edge(x - 1, F.col("w")).cast("int")
-        right = _edge(x + 1, F.col("w")).cast("int")
-        smooth_y = lambda i: (F.get(up, i) + 2 * F.get(mid, i) + F.get(down, i)) / 4
-        smooth_x = lambda r: (F.get(r, left) + 2 * F.get(r, x) + F.get(r, right)) / 4
-        gx = smooth_y(right) - smooth_y(left)
-        gy = smooth_x(down) - smooth_x(up)
-        return F.sqrt((gx * gx + gy * gy) / 2)
-
-    return near.withColumn(out, F.transform(indices(F.col("w")), at)).drop("vals_rows")
+    # down the rows first: a smoothed and a differenced line, then across
+    smooth = let(
+        up, lambda u: let(down, lambda d: F.transform(mid, lambda m, x: F.get(u, x) + 2 * m + F.get(d, x)))
+    )
+    steep = F.zip_with(down, up, lambda d, u: d - u)
+    staged = near.withColumns({"__smooth": smooth, "__steep": steep})
+
+    def at(x: Column, s: Column, t: Column) -> Column:
+        left, right = F.greatest(x - 1, F.lit(0)), F.least(x + 1, F.col("w") - 1)
+        gx = (F.get(s, right) - F.get(s, left)) / 4
+        gy = (F.get(t, left) + 2 * F.get(t, x) + F.get(t, right)) / 4
+        return F.hypot(gx, gy) / math.sqrt(2.0)
+
+    slope = let(
+        F.col("__smooth"),
+        lambda s: let(F.col("__steep"), lambda t: F.transform(indices(F.col("w")), lambda x: at(x, s, t))),
+    )
+    return staged.withColumn(out, slope).drop("vals_rows", "__smooth", "__steep")
 
 
 def pool_pairs(values: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanmill.functions.arrays import clip, let, run_firsts
+from scanmill.functions.arrays import clip, indices, let
 
 NO_SOURCE = 10000.0  # fixed value: weight of a target no source pixel reached
 _COLUMN_BITS = 21  # widest line the packed entries can hold: two million columns
@@ -17,74 +17,115 @@ def shifted(disp: Column) -> Column:
     return F.transform(disp, lambda d, x: x.cast("double") - d)
 
 
-def non_occlusion(shift: Column) -> Column:
+def _last_hits(shift: Column) -> Column:
+    """For each bin 0 .. w: the rightmost pixel whose floor or ceiling is that bin, -1 if none.
+
+    (bin, column) pairs are packed into whole numbers, one empty entry added per
+    bin, and sorted; the last entry of each bin is its answer.
+    """
+    width = F.size(shift)
+    pack = lambda code, x: code * (1 << _COLUMN_BITS) + x
+    # bins left of the image share code 0, bins right of it the code after the last
+    code = lambda b: F.least(F.greatest(b + 1, F.lit(0).cast("long")), (width + 2).cast("long"))
+    near = lambda s: clip(s, -1e12, 1e12)  # keeps infinite positions within whole numbers
+    low = F.transform(shift, lambda s, x: pack(code(F.floor(near(s))), x + 1))
+    high = F.transform(shift, lambda s, x: pack(code(F.ceil(near(s))), x + 1))
+    none = F.transform(F.sequence(F.lit(1).cast("long"), (width + 1).cast("long")), lambda c: pack(c, F.lit(0)))
+    bin_of = lambda e: F.shiftright(e, _COLUMN_BITS)
+
+    def lasts(es: Column) -> Column:
+        ends = F.filter(
+            es,
+            lambda e, i: (bin_of(e) > 0)
+            & (bin_of(e) <= width + 1)
+            & (bin_of(e) != F.coalesce(bin_of(F.get(es, i + 1)), F.lit(-1))),
+        )
+        return F.transform(ends, lambda e: (e.bitwiseAND(F.lit((1 << _COLUMN_BITS) - 1)) - 1).cast("int"))
+
+    return let(F.sort_array(F.concat(low, high, none)), lasts)
+
+
+def _free(s: Column, x: Column, hits: Column) -> Column:
+    """Not covered in the floor or not covered in the ceiling bin."""
+    uncovered = lambda b: F.get(hits, b.cast("int")) - x < 2
+    return uncovered(F.floor(s)) | uncovered(F.ceil(s))
+
+
+def non_occlusion(shift: Column, hits: Column | None = None) -> Column:
     """Which pixels stay visible, from the shifted positions of one line.
 
     A pixel is covered in a bin (floor or ceiling of its position) when a pixel
-    two or more columns to its right falls in the same bin. It is kept when its
-    position is positive and at least one of its bins is not covered.
-
-    Instead of comparing all pairs, (bin, column) entries are packed into whole
-    numbers and sorted: columns within a bin are distinct, so a later hit two or
-    more columns away shows in one of the next two entries.
+    two or more columns to its right falls in the same bin, that is when the
+    rightmost pixel of the bin is that far away. It is kept when its position is
+    positive and at least one of its bins is not covered. ``hits`` is
+    :func:`_last_hits` of the line where it is at hand.
     """
-    zero = F.lit(0).cast("long")
 
-    def entry(code: Column, x: Column) -> Column:
-        return code * (1 << _COLUMN_BITS) + x
+    def kept(line: Column, hits: Column) -> Column:
+        beyond = F.size(line).cast("double")
+        # a bin right of the image: compare with its own pixels only
+        far = lambda s, x: _covered_far(line, s, x)
+        return F.transform(
+            line,
+            lambda s, x: F.when(s <= 0, False).when(s > beyond, ~far(s, x)).otherwise(_free(s, x, hits)),
+        )
 
-    # bins left of the image cannot keep a pixel, nor can the second bin of a whole position
-    near = lambda s: F.least(s, F.lit(1e12))  # keeps infinite positions within whole numbers
-    low = F.transform(shift, lambda s, x: entry(F.greatest(F.floor(near(s)) + 1, zero), x))
-    high = F.transform(
-        shift,
-        lambda s, x: entry(F.when(F.ceil(s) == F.floor(s), zero).otherwise(F.greatest(F.ceil(near(s)) + 1, zero)), x),
-    )
+    if hits is not None:
+        return kept(shift, hits)
+    return let(shift, lambda line: let(_last_hits(line), lambda found: kept(line, found)))
 
-    def tested(e: Column, i: Column, sorted_entries: Column) -> Column:
-        code = lambda v: F.shiftright(v, _COLUMN_BITS)
-        one, two = F.get(sorted_entries, i + 1), F.get(sorted_entries, i + 2)
-        hit = ((code(one) == code(e)) & (one - e >= 2)) | (code(two) == code(e))
-        free = (code(e) > 0) & ~F.coalesce(hit, F.lit(False))
-        return e.bitwiseAND(F.lit((1 << _COLUMN_BITS) - 1)) * 2 + F.when(free, 0).otherwise(1)
 
-    flagged = let(
-        F.sort_array(F.concat(low, high)),
-        lambda es: F.transform(es, lambda e, i: tested(e, i, es)),
-    )
-    # two entries per column, a free one first
-    return let(
-        F.sort_array(flagged),
-        lambda fs: F.transform(shift, lambda s, x: (s > 0) & (F.get(fs, x * 2) == x * 2)),
+def _covered_far(line: Column, s: Column, x: Column) -> Column:
+    """Both bins of a position right of the image are hit later (only negative disparities go there)."""
+    hit = lambda b: F.exists(
+        F.transform(line, lambda r, i: (i >= x + 2) & ((F.floor(r) == b) | (F.ceil(r) == b))), lambda h: h
     )
+    return hit(F.floor(s)) & hit(F.ceil(s))
 
 
-def _plane(values: Column, moved: Column, width: Column, upper: bool) -> Column:
-    """Best candidate for each target column in the ceiling or the floor plane."""
+def _plane(moved: Column, hits: Column, hidden: Column, width: Column, upper: bool) -> Column:
+    """Best (weight, column) per target in the ceiling or the floor plane, null where none.
+
+    A kept pixel is the rightmost of one of its two bins or the one before it, so
+    a target has four candidates at most. Two kinds of pixels come on top:
+    ``hidden``, the rightmost occluded pixel when those are sent to column 0, and
+    pixels right of the image, which all go to the last column.
+    """
+
     last = (width - 1).cast("long")
-    zero = F.lit(0).cast("long")
-
-    def candidate(m: Column, x: Column) -> Column:
-        up = F.least(F.greatest(F.ceil(m), zero), last)
-        down = F.least(F.greatest(F.floor(m), zero), last)
-        w_up = up.cast("double") - m
-        return F.struct(
-            (up if upper else down).alias("t"),
-            (w_up if upper else 1 - w_up).alias("wt"),
-            (-x).alias("later"),  # ties go to the larger source column
-            F.get(values, x).alias("c"),
+
+    def candidate(x: Column, t: Column) -> Column:
+        s = F.get(moved, x)
+        lands = (F.ceil(s) if upper else F.floor(s)) == t
+        weight = t - s if upper else 1 - (F.least(F.ceil(s), last) - s)
+        return F.when(lands, F.struct(weight.alias("wt"), (-x).alias("later")))
+
+    def best(t: Column) -> Column:
+        near = F.get(hits, t - 1 if upper else t + 1)
+        own = F.get(hits, t)
+        # smallest weight, then the larger column; least passes over nulls
+        return F.least(candidate(near, t), candidate(near - 1, t), candidate(own, t), candidate(own - 1, t))
+
+    def outside() -> Column:
+        """Best of the pixels whose position is clipped to the last column."""
+        clipped = F.transform(
+            moved,
+            lambda s, x: F.when(
+                (F.ceil(s) if upper else F.floor(s)) > last,
+                F.struct((last - s if upper else 1 - (last - s)).alias("wt"), (-x).alias("later")),
+            ),
         )
+        return F.array_min(F.filter(clipped, lambda e: e["wt"] < NO_SOURCE))
 
-    found = F.filter(
-        F.transform(moved, candidate), lambda e: e["wt"].isNotNull() & (e["wt"] < NO_SOURCE)
-    )
-    empty = F.transform(
-        F.sequence(zero, last),
-        lambda t: F.struct(
-            t.alias("t"), F.lit(NO_SOURCE).alias("wt"), F.lit(0).alias("later"), F.lit(0.0).alias("c")
-        ),
-    )
-    return run_firsts(F.sort_array(F.concat(found, empty)), "t")
+    def edge(t: Column, found: Column) -> Column:
+        quirk = F.when(
+            (t == 0) & (hidden >= 0) & (width < NO_SOURCE if upper else F.lit(True)),
+            F.struct((width if upper else 1 - width).cast("double").alias("wt"), (-hidden).alias("later")),
+        )
+        spill = F.when((t == width - 1) & (F.array_max(moved) > width - 1), outside())
+        return F.when((t == 0) | (t == width - 1), F.least(found, quirk, spill)).otherwise(found)
+
+    return F.transform(indices(width), lambda t: edge(t, best(t)))
 
 
 def forward_warp(
@@ -100,32 +141,40 @@ def forward_warp(
     if compat not in ("reference", "strict"):
         raise ValueError(f"unknown mode: {compat}")
     width = F.size(values)
-    base = lines.withColumn("__shift", shifted(F.col(disp))).withColumn(
-        "mask_nocc", non_occlusion(F.col("__shift"))
-    )
-    hidden = (-width).cast("double") if compat == "reference" else F.lit(None).cast("double")
-    moved = F.zip_with("__shift", "mask_nocc", lambda s, keep: F.when(keep, s).otherwise(hidden))
-    base = base.withColumn("__moved", moved)
-    planes = base.withColumns(
-        {
-            "__up": _plane(F.col(values), F.col("__moved"), width, True),
-            "__down": _plane(F.col(values), F.col("__moved"), width, False),
-        }
+    base = (
+        lines.withColumn("__shift", shifted(F.col(disp)))
+        .withColumn("__hits", _last_hits(F.col("__shift")))
+        .withColumn("mask_nocc", non_occlusion(F.col("__shift"), F.col("__hits")))
     )
-
-    def blend(u: Column, d: Column) -> Column:
-        norm = u["wt"] + d["wt"] + WEIGHT_FLOOR
-        hole = (u["wt"] == NO_SOURCE) & (d["wt"] == NO_SOURCE)
-        mixed = u["c"] * (d["wt"] / norm) + d["c"] * (u["wt"] / norm)
+    moved = F.zip_with("__shift", "mask_nocc", lambda s, keep: F.when(keep, s))
+    occluded = F.array_max(F.transform("mask_nocc", lambda keep, x: F.when(~keep, x)))
+    hidden = F.coalesce(occluded, F.lit(-1)) if compat == "reference" else F.lit(-1)
+    base = base.withColumns({"__moved": moved, "__hidden": hidden})
+
+    def blend(u: Column, d: Column, line: Column) -> Column:
+        w_up, w_down = F.coalesce(u["wt"], F.lit(NO_SOURCE)), F.coalesce(d["wt"], F.lit(NO_SOURCE))
+        color = lambda e: F.coalesce(F.get(line, -e["later"]), F.lit(0.0))
+        mixed = (color(u) * w_down + color(d) * w_up) / (w_up + w_down + WEIGHT_FLOOR)
+        hole = u.isNull() & d.isNull()
         return F.struct(F.when(hole, 0.0).otherwise(mixed).alias("v"), hole.alias("hole"))
 
-    out = planes.withColumn("__out", F.zip_with("__up", "__down", blend))
+    def splat(line: Column, m: Column, hits: Column) -> Column:
+        plane = lambda upper: _plane(m, hits, F.col("__hidden"), width, upper)
+        return F.zip_with(plane(True), plane(False), lambda u, d: blend(u, d, line))
+
+    out = base.withColumn(
+        "__out",
+        let(
+            F.col(values),
+            lambda line: let(F.col("__moved"), lambda m: splat(line, m, F.col("__hits"))),
+        ),
+    )
     return out.withColumns(
         {
             values: F.transform("__out", lambda o: o["v"]),
             "mask_inpaint": F.transform("__out", lambda o: o["hole"]),
         }
-    ).drop("__shift", "__moved", "__up", "__down", "__out")
+    ).drop("__shift", "__hits", "__moved", "__hidden", "__out")
 
 
 def inpaint_mask(lines: DataFrame, compat: str = "reference") -> DataFrame:
@@ -141,20 +190,18 @@ def gather(values: Column, positions: Column, pad: str = "border", mode: str = "
     """
 
     def sample(p: Column, line: Column) -> Column:
-        width = F.size(line)
-
-        def inside(i: Column) -> Column:
-            ok = (i >= 0) & (i < width)
-            return F.when(ok, F.get(line, F.when(ok, i).cast("int"))).otherwise(F.lit(0.0))
-
-        q = clip(p, 0.0, (width - 1).cast("double")) if pad == "border" else p
+        # two columns outside the line nothing is reached any more
+        margin = 0.0 if pad == "border" else 2.0
+        q = clip(p, -margin, (F.size(line) - 1).cast("double") + margin)
+        inside = lambda i: F.coalesce(F.get(line, i.cast("int")), F.lit(0.0))
         if mode == "nearest":
-            return let(F.rint(q), inside)
+            return inside(F.rint(q))
 
         def linear(r: Column) -> Column:
-            base = F.floor(r).cast("double")
-            frac = r - base
-            return inside(base) * (1 - frac) + inside(base + 1) * frac
+            def mix(base: Column) -> Column:
+                return inside(base) * (base + 1 - r) + inside(base + 1) * (r - base)
+
+            return let(F.floor(r), mix)
 
         return let(q, linear)
 
