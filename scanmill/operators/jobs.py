@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanmill.functions.paths import basename, status_prefix
+from scanmill.session import ship_package
 
 STATUS_SCHEMA = "filename string, status string"
 SUCCESS = "SUCCESS"
@@ -59,6 +60,7 @@ def map_items(
                 names.append(label)
             yield pd.DataFrame({"filename": names, "status": states})
 
+    ship_package(items.sparkSession)
     return items.mapInPandas(run, STATUS_SCHEMA)
 
 
@@ -106,6 +108,7 @@ def map_with_scale(
             frame = pd.DataFrame(out, columns=["filename", "status", "scale"])
             yield frame.astype({"scale": "Int32"})
 
+    ship_package(items.sparkSession)
     return items.mapInPandas(run, STATUS_SCHEMA + ", scale int")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,3 +83,28 @@ def pin_and_measure(df: DataFrame) -> tuple[DataFrame, int, int]:
     pinned = pin(watched)
     seen = size.get
     return pinned, int(seen["rows"]), int(seen["bytes"])
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Mappers that run inside tasks refer to functions of the package, which an
+    executor does not have unless it was installed there.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="scanmill-package-")
+    archive = os.path.join(folder, "scanmill.zip")
+    with zipfile.ZipFile(archive, "w") as bundle:
+        for base, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(base, name)
+                    bundle.write(path, os.path.join("scanmill", os.path.relpath(path, package)))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)

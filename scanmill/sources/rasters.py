@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanmill.functions.paths import local_path
+from scanmill.session import ship_package
 
 LINES_SCHEMA = "path string, ch int, y int, h int, w int, vals array<double>, error string"
 _CHUNK = 256  # lines handed to Arrow at a time
@@ -147,6 +148,7 @@ def _decode_files(decoder: Decoder) -> Callable[[Iterator[pd.DataFrame]], Iterat
 
 def read_lines(spark: SparkSession, paths: str | list[str], decoder: Decoder, pattern: str | None = None) -> DataFrame:
     """Decode the files under ``paths`` (globs allowed) to lines keyed by path."""
+    ship_package(spark)
     reader = spark.read.format("binaryFile")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
@@ -169,6 +171,7 @@ def read_png16(spark: SparkSession, paths) -> DataFrame:
 
 def read_images(spark: SparkSession, paths, rgb: bool = True) -> DataFrame:
     """8-bit images by the built-in source, channels in RGB order or as stored (BGR)."""
+    ship_package(spark)
     image = F.col("image")
     files = spark.read.format("image").load(paths).select(
         local_path(image["origin"]).alias("path"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scanmill.functions.paths import dirname
 from scanmill.operators.lookup import lookup_join
+from scanmill.session import ship_package
 
 SETTINGS_FILE = "_camera_settings.json"  # fixed value: name of the settings file
 CAMERA_SCHEMA = "camera_settings array<struct<intrinsic_settings: struct<fx: double>>>"
@@ -40,6 +41,7 @@ def read_cameras(depth_files: DataFrame, path: str = "path") -> DataFrame:
     directories are derived from the depth files and opened inside tasks.
     """
     dirs = depth_files.select(dirname(F.col(path)).alias("dir")).distinct()
+    ship_package(depth_files.sparkSession)
     texts = dirs.mapInPandas(_read_settings, "dir string, text string")
     return texts.select("dir", focal_length(F.col("text")).alias("fx"))
 

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from scanmill.session import ship_package
+
 TASK_SCHEMA = "task_id long, filename string, content binary, uploaded_at timestamp"
 RESULT_SCHEMA = "result_id string, parent_id long, filename string, type string, content binary"
 RESULT_TYPE = "disparity_map"  # fixed value: type of a published result
@@ -101,6 +103,7 @@ def process(tasks: DataFrame, load: Callable[[], Any], apply: Callable[[Any, byt
                     kept.append((f"result-{task_id}", task_id, f"result_{filename}", RESULT_TYPE, made))
             yield pd.DataFrame(kept, columns=["result_id", "parent_id", "filename", "type", "content"])
 
+    ship_package(tasks.sparkSession)
     return tasks.select("task_id", "filename", "content").mapInPandas(run, RESULT_SCHEMA)
 
 
