@@ -55,7 +55,10 @@ def lookup_join(
     if size <= limit:
         return big.join(F.broadcast(renamed), condition(big, renamed), how).drop(*drop)
 
-    spread = [f.name for f in big.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    nested = ("array", "struct", "map", "variant", "binary")
+    plain = [f.name for f in big.schema.fields if f.dataType.typeName() not in nested]
+    # hashing long arrays is only worth it where nothing else tells rows of a key apart
+    spread = plain if set(plain) - set(on) else [f.name for f in big.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     salted = big.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = renamed.withColumn("__r_salt", F.explode_outer(F.sequence(F.lit(0), F.lit(salts - 1))))
     match = (salted["__salt"] == copies["__r_salt"]) & condition(salted, copies)

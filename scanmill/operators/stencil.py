@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanmill.functions.arrays import indices, let
+from scanmill.operators.lookup import lookup_join
 
 BAND = 64
 
@@ -251,17 +252,27 @@ def gauss_blur(lines: DataFrame, n: int = 5, std: Column | float = 1.0, border:
     return near.withColumn("vals", blurred).drop("vals_rows", "__kernel", "__std")
 
 
+ITER_BLOCK = 256
+
+
 def refine(start: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Prediction at each iteration: the start plus all updates up to it.
 
-    A key is one pixel, so its window is bounded by the number of iterations.
+    The running sum is taken in blocks of iterations, plus the total of the
+    blocks before, so a key with very many updates is spread over its blocks.
     """
+    blocked = updates.withColumn("__block", F.floor(F.col("iter") / ITER_BLOCK))
+    totals = blocked.groupBy(*keys, "__block").agg(F.sum("delta").alias("__total"))
+    earlier = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*keys, "__block", F.coalesce(F.sum("__total").over(earlier), F.lit(0.0)).alias("__before"))
     running = (
-        Window.partitionBy(*keys).orderBy("iter").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*keys, "__block").orderBy("iter").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    summed = blocked.join(before, [*keys, "__block"]).withColumn("__sum", F.sum("delta").over(running))
+    joined = lookup_join(summed, start, list(keys))
+    return joined.withColumn("disp", F.col("disp") + F.col("__before") + F.col("__sum")).drop(
+        "__sum", "__before", "__block", "delta"
     )
-    summed = updates.withColumn("__sum", F.sum("delta").over(running))
-    joined = summed.join(start, list(keys))
-    return joined.withColumn("disp", F.col("disp") + F.col("__sum")).drop("__sum", "delta")
 
 
 def final_prediction(preds: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -16,6 +16,7 @@ from scanmill.functions.scalar import (
     unit_scale,
 )
 from scanmill.operators import grid, stencil
+from scanmill.operators.ordinal import with_ordinal
 from scanmill.plans.registry import query, r6, r6_sql
 from scanmill.plans.views import HT, PX, raster, table
 
@@ -121,11 +122,9 @@ def pool_pairs(spark, sf_dir):
 )
 def running(spark, sf_dir):
     """Updates from events: the user stands for the pixel, the event order for the iteration."""
-    from pyspark.sql import Window
-
     ev = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("value").alias("delta"))
-    seen = Window.partitionBy("user_id").orderBy("event_id")
-    updates = ev.withColumn("iter", F.row_number().over(seen)).drop("event_id")
+    placed = with_ordinal(ev, ["event_id"], ["user_id"])
+    updates = placed.select("user_id", (F.col("ordinal") + 1).cast("int").alias("iter"), "delta")
     start = ev.select("user_id").distinct().withColumn("disp", F.lit(10.0))
     out = stencil.refine(start, updates, ["user_id"])
     return out.select("user_id", "iter", r6(F.col("disp")).alias("disp"))

@@ -23,6 +23,8 @@ def build_session(app_name: str = "scanmill", master: str | None = None, **conf)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # intermediate tables that are no longer referenced are removed from the checkpoint folder
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # one image line is a wide row: small Arrow batches keep decoders within memory
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     )
