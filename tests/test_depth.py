@@ -3,7 +3,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import images, lines, nearest
-from scanmill.operators.depth import adaptive_disparity, confidence, cut_edges, nearest_fill, normalize_depth
+from scanmill.operators.depth import (
+    adaptive_disparity,
+    confidence,
+    cut_edges,
+    forward_interpolate,
+    nearest_fill,
+    normalize_depth,
+)
 from scanmill.operators.stencil import dilate, sobel
 
 
@@ -74,3 +81,29 @@ def test_nearest_fill_without_known_pixels(spark):
     df = lines(spark, {0: np.ones((3, 3))}).withColumn("hole", F.transform("vals", lambda v: F.lit(True)))
     assert all(v is None for r in nearest_fill(df).collect() for v in r["vals"])
     assert all(v == 7 for r in nearest_fill(df, fill_value=7).collect() for v in r["vals"])
+
+
+@pytest.mark.parametrize("size", [1.5, 30.0])
+def test_forward_interpolate_matches_plain_search(spark, size):
+    rng = np.random.default_rng(11)
+    h, w = 24, 100
+    dx, dy = rng.normal(size=(h, w)) * size, rng.normal(size=(h, w)) * size
+    dx[:, 40:], dy[:, 40:] = 500, 500  # most of the pixels leave the image, so some holes are wide
+    df = lines(spark, {0: dx}).select("image_id", "y", "h", "w", F.col("vals").alias("dx")).join(
+        lines(spark, {0: dy}).select("image_id", "y", F.col("vals").alias("dy")), ["image_id", "y"]
+    )
+    moved = [
+        (x + dx[y, x], y + dy[y, x], y, x) for y in range(h) for x in range(w)
+        if 0 < x + dx[y, x] < w and 0 < y + dy[y, x] < h
+    ]
+    got = {r["y"]: r for r in forward_interpolate(df).collect()}
+    assert len(got) == h
+    for y in range(h):
+        for x in range(w):
+            best = min(moved, key=lambda p: ((p[0] - x) ** 2 + (p[1] - y) ** 2, p[2], p[3]))
+            assert got[y]["dx"][x] == dx[best[2], best[3]] and got[y]["dy"][x] == dy[best[2], best[3]]
+
+
+def test_forward_interpolate_when_all_leave(spark):
+    df = lines(spark, {0: np.full((3, 4), 99.0)}).select("image_id", "y", "h", "w", F.col("vals").alias("dx"), F.col("vals").alias("dy"))
+    assert all(v == 0 for r in forward_interpolate(df).collect() for v in r["dx"] + r["dy"])
