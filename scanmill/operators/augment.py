@@ -17,6 +17,7 @@ from scanmill.functions.scalar import normal, uniform
 from scanmill.operators.grid import channels_to_columns, columns_to_channels, crop, resize
 from scanmill.operators.lookup import lookup_join
 from scanmill.operators.stencil import gauss_blur
+from scanmill.session import pin
 
 
 @dataclass(frozen=True)
@@ -105,25 +106,30 @@ def _mix255(v: Column, base: Column, factor: Column) -> Column:
 
 def _hue_shift(p: Column, shift: Column) -> Column:
     """Rotate the hue of an (r, g, b) struct by a share of the full circle."""
-    r, g, b = p["r"] / 255.0, p["g"] / 255.0, p["b"] / 255.0
-    top, low = F.greatest(r, g, b), F.least(r, g, b)
-    span = top - low
-    safe = F.when(span == 0, 1.0).otherwise(span)
-    sector = (
-        F.when(span == 0, 0.0)
-        .when(top == r, F.pmod((g - b) / safe, F.lit(6.0)))
-        .when(top == g, (b - r) / safe + 2)
-        .otherwise((r - g) / safe + 4)
-    )
-    hue = F.pmod(sector / 6 + shift, F.lit(1.0))
+    r, g, b = p["r"], p["g"], p["b"]
+
+    def rotated(ends: Column) -> Column:
+        top, span = ends["top"], ends["span"]
+        part = lambda q: F.try_divide(q, span)
+        sector = (
+            F.when(span == 0, 0.0)
+            .when(top == r, part(g - b))
+            .when(top == g, part(b - r) + 2)
+            .otherwise(part(r - g) + 4)
+        )
+
+        def channels(turn: Column) -> Column:
+            def channel(offset: int) -> Column:
+                # distance of the hue from the sector where the channel is full
+                fall = lambda k: top - span * F.least(F.greatest(F.least(k, 4 - k), F.lit(0.0)), F.lit(1.0))
+                return let(F.pmod(turn + float(offset), F.lit(6.0)), fall)
 
-    def channel(offset: int) -> Column:
-        # distance of the hue from the sector where the channel is full
-        k = F.pmod(F.lit(float(offset)) + hue * 6, F.lit(6.0))
-        fall = F.least(F.greatest(F.least(k, 4 - k), F.lit(0.0)), F.lit(1.0))
-        return 255.0 * (top - span * fall)
+            return F.struct(channel(5).alias("r"), channel(3).alias("g"), channel(1).alias("b"))
 
-    return F.struct(channel(5).alias("r"), channel(3).alias("g"), channel(1).alias("b"))
+        return let(sector + shift * 6, channels)
+
+    high, low = F.greatest(r, g, b), F.least(r, g, b)
+    return let(F.struct(high.alias("top"), (high - low).alias("span")), rotated)
 
 
 def color_jitter(colors: DataFrame, factors: dict[str, Column], whole: bool = True) -> DataFrame:
@@ -366,15 +372,15 @@ def augment(
     out = dict(rasters)
     right = out["right"]
     if "noise" in params.steps:
-        right = random_blur(
-            add_noise(right, params.noise_std, seed, epoch), params.blur_prob, seed, epoch
-        )
+        noisy = add_noise(right, params.noise_std, seed, epoch)
+        # read again for every image statistic below: storing it is cheaper than drawing it again
+        right = pin(random_blur(noisy, params.blur_prob, seed, epoch))
     left = out["left"]
     if "color" in params.steps:
         truncated = lambda df: df.withColumn("vals", F.transform("vals", lambda v: F.floor(v).cast("double")))
         view = lambda df, name: channels_to_columns(truncated(df)).withColumn("view", F.lit(name))
         both = view(left, "left").unionByName(view(right, "right"))
-        colored = color_jitter(both, color_factors(seed, epoch, params))
+        colored = pin(color_jitter(both, color_factors(seed, epoch, params)))
         left = columns_to_channels(colored.filter("view = 'left'"))
         right = columns_to_channels(colored.filter("view = 'right'"))
     if "erase" in params.steps:

@@ -135,11 +135,23 @@ def batches_all(spark, sf_dir):
     return out.select("doc_id", "batch_id")
 
 
-@query("seeded_shuffle")
+@query(
+    "seeded_shuffle",
+    """SELECT count(*) AS docs, count(*) AS positions, CAST(0 AS BIGINT) AS first_position, count(*) - 1 AS last_position,
+      CAST(sum(doc_id) AS BIGINT) AS id_sum, true AS moved FROM documents""",
+)
 def shuffled(spark, sf_dir):
-    """A hash order has no counterpart in SQL; the tests check that it is a stable permutation."""
+    """A hash order has no counterpart in SQL, but it must be a permutation and must move rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id").withColumn("key", ordinal.shuffle_key(7, 1, "doc_id"))
-    return ordinal.with_ordinal(docs, ["key", "doc_id"]).select("doc_id", "ordinal")
+    placed = ordinal.with_ordinal(docs, ["key", "doc_id"])
+    return placed.agg(
+        F.count(F.lit(1)).alias("docs"),
+        F.count_distinct("ordinal").alias("positions"),
+        F.min("ordinal").alias("first_position"),
+        F.max("ordinal").alias("last_position"),
+        F.sum("doc_id").alias("id_sum"),
+        F.coalesce(F.bool_or(F.col("doc_id") != F.col("ordinal")), F.lit(False)).alias("moved"),
+    )
 
 
 _ASSETS = """a AS (SELECT source AS dataset, CASE doc_id % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' ELSE 'disp' END AS role,

@@ -173,9 +173,13 @@ def jitter(spark, sf_dir):
     return sums.groupBy("image_id").agg(*[r6(F.sum(c) / F.sum("n")).alias(c) for c in ("r", "g", "b")])
 
 
-@query("augment_chain")
+@query(
+    "augment_chain",
+    """SELECT raster, image_id, CAST(12 * channels AS BIGINT) AS lines, 12 AS h, 40 AS w, CAST(480 * channels AS BIGINT) AS pixels
+    FROM (SELECT DISTINCT vec_id // 64 AS image_id FROM embeddings) CROSS JOIN (VALUES ('left', 3), ('right', 3), ('disp', 1)) t(raster, channels)""",
+)
 def chain(spark, sf_dir):
-    """The whole chain with hash draws, which SQL cannot repeat; the tests check its invariants."""
+    """The whole chain with hash draws. SQL cannot repeat those, but it states what must come out whole."""
     gray = raster(spark, sf_dir).withColumn("vals", F.transform("vals", lambda v: (v + 0.6) * 200))
     rgb = gray.withColumn("ch", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     images = table(spark, sf_dir, "embeddings").groupBy(F.expr("vec_id div 64").alias("image_id")).agg(
@@ -280,16 +284,58 @@ def stereo(spark, sf_dir):
     return px.withColumns({c: r6(F.col(c)) for c in ("v", "disp", "conf")})
 
 
-@query("warp_samples")
+def _taps_sql(name: str, src: str, n: str, cubic: bool) -> str:
+    """Target position, source position and weight along one axis, pixel centres mapped onto each other."""
+    if cubic:
+        near = "((-0.75 + 2) * {d} - (-0.75 + 3)) * {d} * {d} + 1"
+        far = "((-0.75 * {d} - 5 * -0.75) * {d} + 8 * -0.75) * {d} - 4 * -0.75"
+        ks = "-1, 0, 1, 2"
+        wt = (
+            f"CASE k WHEN -1 THEN {far.format(d='(f + 1)')} WHEN 0 THEN {near.format(d='f')} "
+            f"WHEN 1 THEN {near.format(d='(1 - f)')} ELSE {far.format(d='(2 - f)')} END"
+        )
+    else:
+        ks, wt = "0, 1", "CASE k WHEN 0 THEN 1 - f ELSE f END"
+    return f"""{name} AS MATERIALIZED (SELECT image_id, t, greatest(0, least({n} - 1, floor(s) + k)) AS p, {wt} AS wt
+      FROM (SELECT *, s - floor(s) AS f FROM {src}) CROSS JOIN (SELECT unnest([{ks}]) AS k))"""
+
+
+_SCALED = f"""{PX}, {HT}, sc AS (SELECT image_id, h, greatest(least(h, 64) // 25, 1) AS k FROM ht),
+    gy AS (SELECT image_id, h, k, unnest(range(h // k)) AS t FROM sc), gx AS (SELECT image_id, k, unnest(range(64 // k)) AS t FROM sc),
+    sy AS (SELECT image_id, h, t, (t + 0.5::DOUBLE) / ((h // k) / h::DOUBLE) - 0.5::DOUBLE AS s FROM gy),
+    sx AS (SELECT image_id, t, (t + 0.5::DOUBLE) / ((64 // k) / 64::DOUBLE) - 0.5::DOUBLE AS s FROM gx),
+    {_taps_sql('cy', 'sy', 'h', True)}, {_taps_sql('cx', 'sx', '64', True)},
+    {_taps_sql('ly', 'sy', 'h', False)}, {_taps_sql('lx', 'sx', '64', False)},
+    ix AS MATERIALIZED (SELECT px.image_id, px.y, cx.t AS x, sum(wt * (v + 0.6) * 200) AS v FROM px JOIN cx ON cx.image_id = px.image_id AND cx.p = px.x GROUP BY px.image_id, px.y, cx.t),
+    im AS (SELECT cy.image_id, cy.t AS y, x, greatest(0, least(255, sum(wt * v))) AS v FROM ix JOIN cy ON cy.image_id = ix.image_id AND cy.p = ix.y GROUP BY cy.image_id, cy.t, x),
+    dx AS MATERIALIZED (SELECT px.image_id, px.y, lx.t AS x, sum(wt * floor((v + 0.6) * 40) / 4) AS v FROM px JOIN lx ON lx.image_id = px.image_id AND lx.p = px.x GROUP BY px.image_id, px.y, lx.t),
+    dm AS (SELECT ly.image_id, ly.t AS y, x, sum(wt * v) AS v FROM dx JOIN ly ON ly.image_id = dx.image_id AND ly.p = dx.y GROUP BY ly.image_id, ly.t, x),
+    sh AS MATERIALIZED (SELECT im.image_id, im.y, im.x, im.v, k, 64 // k AS w, im.x - dm.v / k AS s FROM im JOIN dm USING (image_id, y, x) JOIN sc USING (image_id)),
+    hit AS (SELECT a.image_id, a.y, a.x, bool_or(floor(b.s) = floor(a.s) OR ceil(b.s) = floor(a.s)) AS dn,
+        bool_or(floor(b.s) = ceil(a.s) OR ceil(b.s) = ceil(a.s)) AS up
+      FROM sh a JOIN sh b ON a.image_id = b.image_id AND a.y = b.y AND b.x >= a.x + 2 GROUP BY a.image_id, a.y, a.x),
+    mv AS (SELECT image_id, y, x, v, w, CASE WHEN s > 0 AND (NOT coalesce(dn, false) OR NOT coalesce(up, false)) THEN s ELSE -w END AS p
+      FROM sh LEFT JOIN hit USING (image_id, y, x)),
+    t AS (SELECT image_id, y, x, v, p, greatest(0, least(w - 1, ceil(p))) AS tu, greatest(0, least(w - 1, floor(p))) AS td FROM mv),
+    up AS (SELECT image_id, y, tu AS t, tu - p AS wu, v AS vu FROM t QUALIFY row_number() OVER (PARTITION BY image_id, y, tu ORDER BY tu - p, x DESC) = 1),
+    dn AS (SELECT image_id, y, td AS t, 1 - (tu - p) AS wd, v AS vd FROM t QUALIFY row_number() OVER (PARTITION BY image_id, y, td ORDER BY 1 - (tu - p), x DESC) = 1),
+    pl AS (SELECT g.image_id, g.k, g.y, g.x, coalesce(wu, 10000) AS wu, coalesce(wd, 10000) AS wd, coalesce(vu, 0) AS vu, coalesce(vd, 0) AS vd, wu IS NULL AND wd IS NULL AS hole
+      FROM sh g LEFT JOIN up ON up.image_id = g.image_id AND up.y = g.y AND up.t = g.x LEFT JOIN dn ON dn.image_id = g.image_id AND dn.y = g.y AND dn.t = g.x)"""
+
+
+@query(
+    "warp_samples",
+    f"""WITH {_SCALED} SELECT image_id, CAST(k AS INTEGER) AS scale, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, hole,
+      {r6_sql('CASE WHEN hole THEN 0 ELSE vu * (wd / (wu + wd + 1e-7)) + vd * (wu / (wu + wd + 1e-7)) END')} AS v FROM pl""",
+)
 def warp_samples(spark, sf_dir):
-    """Warped at half size where both sides allow it; checked by brute force in the tests."""
+    """Image and disparity reduced where the short side allows it, then warped."""
     image = raster(spark, sf_dir).withColumn("vals", F.transform("vals", lambda v: (v + 0.6) * 200))
     disp = raster(spark, sf_dir).withColumn("vals", quarter_disparity())
     out = ps.warp_samples(image, disp, limit=25)
-    return out.groupBy("image_id", "scale", "full_h", "full_w", "h", "w").agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.sum(F.size(F.filter("mask_inpaint", lambda m: m)).cast("long")).alias("holes"),
-    )
+    cells = F.arrays_zip(F.col("vals").alias("v"), F.col("mask_inpaint").alias("hole"))
+    px = out.select("image_id", "scale", "y", F.posexplode_outer(cells).alias("x", "c"))
+    return px.select("image_id", "scale", "y", "x", F.col("c.hole").alias("hole"), r6(F.col("c.v")).alias("v"))
 
 
 @query(
