@@ -11,6 +11,7 @@ from scanmill.functions.scalar import signed_unscale
 from scanmill.operators.depth import minmax
 from scanmill.operators.lookup import lookup_join
 
+PALETTE_SIZE = 256
 # Folder and extension of each product of a left image.
 PRODUCTS = {
     "disparity": "npy",
@@ -55,26 +56,29 @@ def write_result_files(results: DataFrame, out: str) -> None:
 def render_disparity(lines: DataFrame, palette: DataFrame, col: str = "vals") -> DataFrame:
     """Min-max scale each image and look its values up in a 256-entry palette.
 
-    ``palette(idx, r, g, b)``. The palette is folded into one array row, so lines
-    are coloured without exploding them. A constant image takes the first entry.
+    ``palette(idx, r, g, b)`` has one row per index 0..255, so it is small enough
+    to become a constant of the plan: lines are coloured without a join and
+    without exploding them. A constant image takes the first entry.
     """
-    entries = F.sort_array(F.collect_list(F.struct("idx", "r", "g", "b")))
-    table = palette.filter("idx BETWEEN 0 AND 255").agg(entries.alias("__palette"))
+    entries = {r["idx"]: r for r in palette.filter("idx BETWEEN 0 AND 255").dropDuplicates(["idx"]).collect()}
+    if len(entries) != PALETTE_SIZE:
+        raise ValueError(f"a palette needs {PALETTE_SIZE} entries, got {len(entries)}")
+    table = {
+        c: F.expr("array(" + ",".join(str(entries[i][c]) for i in range(PALETTE_SIZE)) + ")") for c in ("r", "g", "b")
+    }
     ranged = lookup_join(lines, minmax(lines, [col]), ["image_id"])
     span = F.col(f"{col}_max") - F.col(f"{col}_min")
 
     def index(v: Column) -> Column:
         scaled = F.when(span > 0, (v - F.col(f"{col}_min")) / span).otherwise(0.0)
-        return F.least(F.floor(scaled * 256), F.lit(255)).cast("int")
+        return F.least(F.floor(scaled * PALETTE_SIZE), F.lit(PALETTE_SIZE - 1)).cast("int")
 
-    # a single row of at most 256 entries: safe to broadcast
-    painted = ranged.crossJoin(F.broadcast(table)).withColumn(
-        "__c", let(F.col("__palette"), lambda p: F.transform(col, lambda v: F.get(p, index(v))))
-    )
-    return painted.select(
-        *[c for c in lines.columns if c != col],
-        F.col("__c.r").alias("r"), F.col("__c.g").alias("g"), F.col("__c.b").alias("b"),
-    )
+    indexed = ranged.withColumn("__i", F.transform(col, index))
+
+    def paint(c: str) -> Column:
+        return let(table[c], lambda t: F.transform("__i", lambda i: F.get(t, i)))
+
+    return indexed.select(*[c for c in lines.columns if c != col], *[paint(c).alias(c) for c in ("r", "g", "b")])
 
 
 def log_metrics(metrics: DataFrame, step: int, out: str) -> None:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from scanmill.operators.lookup import lookup_join
 from scanmill.session import ship_package
 
 TASK_SCHEMA = "task_id long, filename string, content binary, uploaded_at timestamp"
@@ -37,6 +38,7 @@ def submit(spark: SparkSession, folder: str, files: DataFrame) -> None:
 
 
 def read_tasks(spark: SparkSession, folder: str) -> DataFrame:
+    """All tasks once each. Where contents are not selected they are not read or shuffled."""
     return spark.read.schema(TASK_SCHEMA).parquet(folder).dropDuplicates(["task_id"])
 
 
@@ -146,5 +148,11 @@ def retry_pending(
     load: Callable[[], Any],
     apply: Callable[[Any, bytes], bytes | None],
 ) -> None:
-    """Batch run over tasks that still wait, into a folder of its own."""
-    process(pending(tasks, results), load, apply).write.mode("overwrite").parquet(f"{out}/retry={run_id}")
+    """Batch run over tasks that still wait, into a folder of its own.
+
+    What waits is found on ids alone; contents are only read for those ids, and
+    are not shuffled while the list of ids fits a broadcast.
+    """
+    waiting = pending(tasks.select("task_id"), results).distinct()
+    todo = lookup_join(tasks, waiting, ["task_id"], how="left_semi")
+    process(todo, load, apply).write.mode("overwrite").parquet(f"{out}/retry={run_id}")
