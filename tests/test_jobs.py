@@ -10,9 +10,25 @@ def files(spark, n, parts=3):
     return spark.range(n).select(F.concat(F.lit("/in/"), F.col("id").cast("string"), F.lit(".jpg")).alias("path"), "id").repartition(parts)
 
 
-def fail_odd(_, row):
-    if row["id"] % 2:
-        raise ValueError(f"a:b {row['id']}")
+def user_functions():
+    """Made inside a function, so they travel to the workers by value: test modules are not importable there."""
+
+    def fail_odd(_, row):
+        if row["id"] % 2:
+            raise ValueError(f"a:b {row['id']}")
+
+    def broken():
+        raise RuntimeError("no model")
+
+    def flaky(_, content):
+        if content == b"bad":
+            raise ValueError("cannot")
+        return content + b"!"
+
+    return fail_odd, broken, flaky
+
+
+fail_odd, broken, flaky = user_functions()
 
 
 def test_failures_are_captured_per_item(spark):
@@ -25,10 +41,6 @@ def test_failures_are_captured_per_item(spark):
     assert {r["status"] for r in jobs.status_counts(bare, prefix=False).collect()} == {"SUCCESS", "FAILED"}
 
 
-def broken():
-    raise RuntimeError("no model")
-
-
 def test_load_failure_is_one_row_per_partition_and_counts_add_up(spark):
     status = jobs.map_items(files(spark, 12, 3), broken, fail_odd)
     rows = status.collect()
@@ -133,12 +145,6 @@ def test_broadcast_limit(spark):
 # --- queue ------------------------------------------------------------------------------------
 
 
-def flaky(_, content):
-    if content == b"bad":
-        raise ValueError("cannot")
-    return content + b"!"
-
-
 def test_queue_from_submit_to_retry(spark, tmp_path):
     folder, out, check = (str(tmp_path / n) for n in ("tasks", "results", "check"))
     rows = [("/in/a.jpg", b"good"), ("/in/b.jpg", b"bad"), ("/in/c.jpg", b"fine")]
