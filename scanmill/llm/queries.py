@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, token_frames
+from . import decontaminate, exact_dedup, html_text, langid, ngram_join, packing, suffix_dedup, token_frames, toxicity, unit_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,38 @@ FROM t WINDOW g AS (PARTITION BY norm)
 """)
 def op9(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
+
+
+@query("op2_ngram_join")
+def op2(spark, sf_dir):
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op3_toxicity")
+def op3(spark, sf_dir):
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_decontamination")
+def op4(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_suffix_dedup")
+def op6(spark, sf_dir):
+    return suffix_dedup.report(table(spark, sf_dir, "documents"), length=400)
+
+
+@query("op7_language")
+def op7(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op8_html_text")
+def op8(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op10_unit_dedup")
+def op10(spark, sf_dir):
+    return unit_dedup.unit_report(table(spark, sf_dir, "documents"))

@@ -12,7 +12,8 @@ DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: splitting here never cuts a word of the tokenizer: its pattern has no white space inside a word
 _CUT = re.compile("[ \t\n\r\f\v]+")
 _UNSURE = re.compile("[\x1c-\x1f]")
-_MEMORY = 400_000
+#: words a worker remembers, about 250 MB
+_MEMORY = 1_200_000
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -25,7 +26,7 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
 class WordEncoder:
     """Encodes texts as the tokenizer does, asking it once for each word while the word is remembered.
 
-    Valid for tokenizers that drop white space and split at it first; :meth:`check` compares with whole texts.
+    Valid for tokenizers that drop white space and split at it first; the tests compare with whole texts.
     """
 
     def __init__(self, path: str):
@@ -35,22 +36,45 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {"": b""}
+        self.between_ids = self.tokenizer.encode("0", add_special_tokens=False).ids
+        self.between = self.between_ids[0] if self.between_ids else -1
 
     def encode(self, texts: Iterable[str | None], end_id: int) -> list[bytes]:
         """Ids of each text and the end id, as little-endian bytes of :attr:`dtype`; a null text is empty."""
         cut = [(_CUT.split(t) if _UNSURE.search(t) else t.split()) if t else [] for t in texts]
-        known = self.known
-        if len(known) > _MEMORY:
-            known.clear()
-            known[""] = b""
-        missing = list({w for words in cut for w in words if w not in known})
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = np.array(got.ids, dtype=self.dtype).tobytes()
+        look = self.known.get
+        parts = [list(map(look, words)) for words in cut]
+        missing = {w for words, got in zip(cut, parts) if None in got for w, p in zip(words, got) if p is None}
+        if missing:
+            fresh = self._ask(missing)
+            for words, got in zip(cut, parts):
+                if None in got:
+                    got[:] = [fresh[w] if p is None else p for w, p in zip(words, got)]
+            # the words met first are the frequent ones: once the memory is full it stays as it is
+            if len(self.known) < _MEMORY:
+                self.known.update(fresh)
         last = np.array([end_id], dtype=self.dtype).tobytes()
-        look = known.__getitem__
-        return [b"".join(map(look, words)) + last for words in cut]
+        return [b"".join(got) + last for got in parts]
+
+    def _ask(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of each word. Words go to the tokenizer many at once, with a word between them that none of them holds."""
+        plain = [w for w in words if "0" not in w and "<|" not in w]
+        out = {}
+        for at in range(0, len(plain), 2048):
+            part = plain[at : at + 2048]
+            ids = np.array(self.tokenizer.encode(" 0 ".join(part), add_special_tokens=False).ids, dtype=self.dtype)
+            ends = [*np.flatnonzero(ids == self.between).tolist(), len(ids)]
+            if len(self.between_ids) != 1 or len(ends) != len(part):
+                plain = plain[:at]
+                break
+            start = 0
+            for word, end in zip(part, ends):
+                out[word] = ids[start:end].tobytes()
+                start = end + 1
+        rest = [w for w in words if w not in out]
+        for got, word in zip(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), rest):
+            out[word] = np.array(got.ids, dtype=self.dtype).tobytes()
+        return out
 
 
 def encoder(path: str) -> WordEncoder:
