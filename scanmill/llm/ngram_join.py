@@ -7,9 +7,10 @@ their prefixes: the first ``n - ceil(threshold * n) + 1`` tokens in one order fo
 1. Equal sets are one node, the smallest id of theirs. Only nodes that share a prefix token with another go on.
 2. Similar nodes are partitioned into groups: nodes with the same least prefix token under a hash compare with one leader
    of theirs. Linked ones are a group; a group of thousands is cut into leaves of about ``leaf_size`` members.
-3. The matrix holds (prefix token, leaf). A node queries the leaves of other groups with which it shares a token and whose sizes
-   fit; the smaller group asks. Each leaf is opened only if the node's overlap with the union of the leaf's tokens reaches
-   the needed part of the node's set; then its members' overlaps are counted exactly.
+3. The matrix holds (prefix token, leaf). A node queries the leaves of other groups with which it shares a token, if their sizes
+   fit and enough tokens follow the shared one on both sides; the smaller group asks. Each leaf is opened only if the node's
+   overlap with the union of the leaf's tokens reaches the needed part of the node's set; then its members' overlaps are
+   counted exactly.
 4. Links give classes by min-label spreading with pointer jumping, as joins in the shared folder.
 
 Nothing is lost by leaving out the pairs inside a group: its members are in one class already.
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import NOT_SPACE, Bytes, mix, shingles
@@ -107,6 +108,20 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
     return labels.select("node").join(moving, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
 
+def _packed() -> Column:
+    return F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")
+
+
+def _unpacked(name: str) -> tuple[Column, Column]:
+    return F.shiftright(F.col(name), 32), F.col(name) % (1 << 32)
+
+
+def _can_link(n: Column, pos: Column, m: Column, at: Column, percent: int) -> Column:
+    """Whether sets of n and m tokens that first meet at places pos and at of their orders can reach the threshold."""
+    sizes = (100 * n >= percent * m) & (100 * m >= percent * n)
+    return sizes & ((100 + percent) * F.least(n - pos, m - at) >= percent * (n + m))
+
+
 def _pack(sets: list[np.ndarray]) -> pa.Array:
     return pa.array([s.tobytes() for s in sets], pa.binary())
 
@@ -188,8 +203,13 @@ def jaccard_classes(
     nodes = stored(
         signed.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("node"), F.first("n").alias("n")), "nodes")
     heads = signed.select("doc_id", "sid", "prefix").join(nodes.withColumnRenamed("node", "doc_id"), ["doc_id", "sid"]).select(
-        F.col("doc_id").alias("node"), "n", F.explode("prefix").alias("token")).distinct()
-    counted = heads.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("token")
+        F.col("doc_id").alias("node"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    # of a pair's smaller set, the first shared token stands among its first n - least + 1
+    leading = F.col("pos") <= F.col("n") - F.ceil(2 * percent * F.col("n") / F.lit(100.0 + percent))
+    counted = heads.groupBy("token").agg(
+        F.count(F.lit(1)).alias("c"), F.min(_packed()).alias("low"), F.max(_packed()).alias("high"), F.max(leading).alias("leads"))
+    two = _can_link(*_unpacked("low"), *_unpacked("high"), percent)
+    counted = counted.where(F.col("leads") & ((F.col("c") > 2) | ((F.col("c") == 2) & two))).select("token")
     postings = stored(heads.join(counted, "token"), "postings")
     asked = postings.select("node").distinct()
 
@@ -219,18 +239,21 @@ def jaccard_classes(
 
     # the matrix of tokens and leaves
     sizes = first.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-    placed = first.join(sizes, "comp").join(sets.select("node", "n").groupBy("node").agg(F.min("n").alias("n"), F.max("n").alias("n_most")), "node")
+    placed = first.join(sizes, "comp")
     chunks = F.ceil(F.col("members") / F.lit(float(leaf_size)))
     placed = stored(placed.withColumn("leaf", F.xxhash64("comp", F.pmod(F.xxhash64("node"), chunks))), "leaves")
-    marked = postings.select("token", "node").join(placed, "node")
-    matrix = marked.groupBy("token", "leaf", "comp", "members").agg(F.min("n").alias("low"), F.max("n_most").alias("high"))
+    marked = postings.join(placed, "node")
+    matrix = marked.groupBy("token", "leaf", "comp", "members").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"))
     # tokens of one group only ask nothing
     cells = matrix.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
     matrix = matrix.join(cells, "token")
     asks = marked.join(cells, "token").select(
-        "token", "node", F.col("comp").alias("own"), F.col("members").alias("own_members"), F.col("n").alias("n_low"), F.col("n_most").alias("n_high"))
+        "token", "node", F.col("comp").alias("own"), F.col("members").alias("own_members"), F.col("n").alias("own_n"), "pos")
     smaller = (F.col("own_members") < F.col("members")) | ((F.col("own_members") == F.col("members")) & (F.col("own") < F.col("comp")))
-    fits = (100 * F.col("n_high") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("n_low"))
+    # sizes fit, and what follows the shared token on both sides suffices
+    fits = (100 * F.col("own_n") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("own_n"))
+    fits = fits & ((100 + percent) * F.least(F.col("own_n") - F.col("pos"), "rest") >= percent * (F.col("own_n") + F.col("low")))
     candidates = stored(
         asks.join(matrix, "token").where((F.col("own") != F.col("comp")) & smaller & fits).select("node", "leaf").distinct(), "candidates")
     per_leaf = candidates.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(queries_per_task))).alias("salts"))

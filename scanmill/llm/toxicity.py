@@ -271,3 +271,10 @@ def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
     """``doc_id, held_out, score, predicted`` per document."""
     rows = score(docs.select("doc_id", F.col("text").cast("string").alias("text")), labels, threshold)
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The documents scored below the threshold, with all their columns."""
+    plain = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    rows = score(plain.select("doc_id", F.col("text").cast("string").alias("text"), "__row"), labels, threshold)
+    return rows.where("toxic_predicted = 0").select("__row.*")
