@@ -80,22 +80,41 @@ def columns_to_channels(df: DataFrame, names: Sequence[str] = ("r", "g", "b")) -
     )
 
 
-def align(rasters: dict[str, DataFrame]) -> DataFrame:
+def align(rasters: dict[str, DataFrame], missing: str = "fail") -> DataFrame:
     """Bring the single-channel rasters of a sample side by side, one array column each.
 
     One shuffle on (image_id, y) for all of them: the rasters are stacked and
-    grouped rather than joined pairwise. Lines that any raster lacks are dropped.
+    grouped rather than joined pairwise. A line that one raster lacks, or has twice, fails the
+    job; ``missing="drop"`` leaves incomplete lines out, and :func:`misaligned` names them.
     """
+    if missing not in ("fail", "drop"):
+        raise ValueError(f"missing must be fail or drop, not {missing}")
     stacked = None
     for name, lines in rasters.items():
         part = lines.select("image_id", "y", "h", "w", F.lit(name).alias("__role"), "vals")
         stacked = part if stacked is None else stacked.unionByName(part)
-    out = stacked.groupBy("image_id", "y").agg(
-        F.max("h").alias("h"),
-        F.max("w").alias("w"),
-        *[F.max(F.when(F.col("__role") == n, F.col("vals"))).alias(n) for n in rasters],
-    )
-    return out.dropna(subset=list(rasters))
+    def only(name: str) -> Column:
+        line = F.when(F.col("__role") == name, F.col("vals"))
+        place = F.concat_ws(" ", F.first("image_id").cast("string"), F.first("y").cast("string"))
+        stop = lambda what: F.raise_error(F.concat(F.lit(f"{name} {what} line of image, y: "), place)).cast("array<double>")
+        once = F.when(F.count(line) > 1, stop("has more than one")).otherwise(F.max(line))
+        return (F.coalesce(once, stop("lacks a")) if missing == "fail" else once).alias(name)
+
+    out = stacked.groupBy("image_id", "y").agg(F.max("h").alias("h"), F.max("w").alias("w"), *[only(n) for n in rasters])
+    return out if missing == "fail" else out.dropna(subset=list(rasters))
+
+
+def misaligned(rasters: dict[str, DataFrame]) -> DataFrame:
+    """Lines that not every raster has once: image_id, y and the number of lines of each raster."""
+    stacked = None
+    for name, lines in rasters.items():
+        part = lines.select("image_id", "y", F.lit(name).alias("__role"))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    counts = [F.count(F.when(F.col("__role") == n, 1)).alias(f"n_{n}") for n in rasters]
+    off = F.lit(False)
+    for n in rasters:
+        off = off | (F.col(f"n_{n}") != 1)
+    return stacked.groupBy("image_id", "y").agg(*counts).filter(off)
 
 
 # --- padding and cropping ---------------------------------------------------------------------

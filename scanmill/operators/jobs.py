@@ -64,17 +64,19 @@ def map_items(
     return items.mapInPandas(run, STATUS_SCHEMA)
 
 
-def with_retry(apply: Callable[[Any, dict, int], Any], max_scale: int = 8) -> Callable[[Any, dict], tuple[Any, int]]:
+def with_retry(
+    apply: Callable[[Any, dict, int], Any], max_scale: int, retry_on: tuple[type[BaseException], ...] = (MemoryError,)
+) -> Callable[[Any, dict], tuple[Any, int]]:
     """Repeat ``apply(model, row, scale)`` at a coarser scale while memory runs out.
 
-    Returns the result with the scale that worked.
+    ``retry_on`` names what counts as that, as devices raise errors of their own. Returns the result with the scale that worked.
     """
 
     def run(model: Any, row: dict) -> tuple[Any, int]:
         for scale in range(1, max_scale + 1):
             try:
                 return apply(model, row, scale), scale
-            except MemoryError:
+            except retry_on:
                 if scale == max_scale:
                     raise
         raise AssertionError("unreachable")
@@ -87,20 +89,31 @@ def map_with_scale(
     load: Callable[[], Any],
     apply: Callable[[Any, dict, int], str | None],
     name: str = "path",
-    max_scale: int = 8,
+    *,
+    max_scale: int,
+    retry_on: tuple[type[BaseException], ...] = (MemoryError,),
 ) -> DataFrame:
-    """Like :func:`map_items` with retries; also reports the ``scale`` that worked."""
-    attempt = with_retry(apply, max_scale)
+    """Like :func:`map_items` with retries; also reports the ``scale`` that worked.
+
+    A ``load`` that fails is the status of every item of the task.
+    """
+    attempt = with_retry(apply, max_scale, retry_on)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, loaded = None, False
+        model, loaded, broken = None, False, None
         for batch in batches:
             if not loaded:
-                model, loaded = load(), True
+                loaded = True
+                try:
+                    model = load()
+                except Exception as exc:
+                    broken = exc
             out = []
             for row in batch.to_dict("records"):
                 label = str(row[name]).rsplit("/", 1)[-1]
                 try:
+                    if broken is not None:
+                        raise broken
                     status, scale = attempt(model, row)
                     out.append((label, status or SUCCESS, scale))
                 except Exception as exc:

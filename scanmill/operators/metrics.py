@@ -102,13 +102,19 @@ def image_scores(lines: DataFrame, pred: str = "pred", gt: str = "gt", valid: st
 
 
 def evaluate(lines: DataFrame, registry: DataFrame, **cols) -> DataFrame:
-    """Bad-pixel table: per-image means, then their unweighted mean per dataset, in percent."""
-    rules = registry.select(F.col("name").alias("dataset"), "outlier_px")
-    scored = image_scores(lookup_join(lines, rules, ["dataset"]), **cols)
+    """Bad-pixel table: per-image means, then their unweighted mean per dataset, in percent.
+
+    Names match whatever their case; a dataset the registry has no rule for fails the job. ``images`` counts the
+    images with a score, which are those the means are over.
+    """
+    rules = registry.select(F.lower("name").alias("__name"), "outlier_px")
+    ruled = lookup_join(lines.withColumn("__name", F.lower("dataset")), rules, ["__name"], how="left").drop("__name")
+    unknown = F.raise_error(F.concat(F.lit("no rule for dataset "), F.coalesce("dataset", F.lit("null")))).cast("int")
+    scored = image_scores(ruled.withColumn("outlier_px", F.coalesce("outlier_px", unknown)), **cols)
     return scored.groupBy("dataset").agg(
         F.avg("epe").alias("epe"),
         (100 * F.avg("out")).alias("bad_px"),
-        F.count(F.lit(1)).alias("images"),
+        F.count("epe").alias("images"),
     )
 
 
@@ -224,7 +230,8 @@ def sequence_loss(
     """Weighted sum over iterations of the mean absolute error of the valid pixels.
 
     ``lines(iter, pred, gt, valid)``; flow predictions are negative disparities,
-    hence ``negate``.
+    hence ``negate``. The loss is null if one of the ``n`` iterations is missing or
+    has no valid pixel.
     """
     signed = lines.withColumn("pred", F.transform("pred", lambda v: -v)) if negate else lines
     err = F.col("__err")
@@ -233,7 +240,12 @@ def sequence_loss(
     )
     per_iter = per_line.groupBy(*by, "iter").agg(_mean("s", "n").alias("m"))
     weight = iteration_weight(F.col("iter"), F.lit(n), gamma)
-    return per_iter.groupBy(*by).agg(F.sum(weight * F.col("m")).alias("loss"))
+    return per_iter.groupBy(*by).agg(_complete_sum(weight * F.col("m"), n).alias("loss"))
+
+
+def _complete_sum(part: Column, n: int) -> Column:
+    """Sum of ``n`` parts; null if one is null or absent."""
+    return F.when((F.count(part) == n) & (F.count(F.lit(1)) == n), F.sum(part))
 
 
 def _confidence_loss_terms(
@@ -293,7 +305,7 @@ def confidence_loss_flow(
     flipped = preds.withColumn("disp", F.transform("disp", lambda v: -v))
     terms = _confidence_loss_terms(flipped, maps, views, max_disp, smooth=False)
     weight = iteration_weight(F.col("iter"), F.lit(n), gamma)
-    return terms.agg(F.sum(weight * (F.col("d_loss") + mu * F.col("p_loss"))).alias("loss"))
+    return terms.agg(_complete_sum(weight * (F.col("d_loss") + mu * F.col("p_loss")), n).alias("loss"))
 
 
 def confidence_loss_disp(
@@ -308,4 +320,4 @@ def confidence_loss_disp(
     later = _confidence_loss_terms(preds, maps, views, max_disp, smooth=False).select(
         (weight * (F.col("d_loss") + mu * F.col("p_loss"))).alias("part")
     )
-    return start.unionByName(later).agg(F.sum("part").alias("loss"))
+    return start.unionByName(later).agg(_complete_sum(F.col("part"), n + 1).alias("loss"))

@@ -67,13 +67,21 @@ def even_sample(df: DataFrame, order_by: Sequence[str], k: int = 500) -> DataFra
     """Keep ``k`` evenly spaced positions, truncated to whole numbers, ends included."""
     placed = with_ordinal(df, order_by)
     n = placed.count()
-    spark = df.sparkSession
-    i = F.col("id")
     step = (n - 1) / (k - 1) if k > 1 else 0.0
-    index = F.when((i == k - 1) & (i > 0), n - 1).otherwise(F.floor(i * F.lit(step)))
-    # k rows at most, so this side is safe to broadcast
-    picks = spark.range(k).select(index.cast("long").alias("ordinal")).distinct()
-    return keep_ordinals(placed, F.broadcast(picks))
+    if step <= 0:
+        return placed.filter(F.col("ordinal") == 0)
+
+    def pick(i: Column) -> Column:
+        """Position of pick ``i``."""
+        return F.when(i >= k - 1, n - 1).otherwise(F.floor(i * F.lit(step)).cast("long"))
+
+    # a row stays iff one of the picks around its place in the sample is its own position
+    near = F.floor(F.col("ordinal") / F.lit(step)).cast("long")
+    hit = F.lit(False)
+    for d in (-1, 0, 1, 2):
+        i = near + d
+        hit = hit | ((i >= 0) & (i <= k - 1) & (pick(i) == F.col("ordinal")))
+    return placed.filter(hit)
 
 
 def keep_ordinals(placed: DataFrame, picks: DataFrame) -> DataFrame:
@@ -149,14 +157,29 @@ def pair_by_position(
 
 
 def pair_by_key(assets: DataFrame, roles: Sequence[str], key: Column) -> DataFrame:
-    """Pair listings by a key derived from the path instead of by position."""
+    """Pair listings by a key derived from the path instead of by position.
+
+    Two paths of one role with the same key fail the job; keys that a role lacks are
+    left out, and :func:`unpaired_keys` names them.
+    """
+    def only(role: str) -> Column:
+        path = F.when(F.col("role") == role, F.col("path"))
+        what = F.concat(F.lit(f"two {role} paths with one key: "), F.min(path), F.lit(" and "), F.max(path))
+        return F.when(F.count(path) > 1, F.raise_error(what).cast("string")).otherwise(F.min(path))
+
     keyed = assets.filter(F.col("role").isin(*roles)).withColumn("pair_key", key)
-    paired = keyed.groupBy("dataset", "pair_key").agg(
-        *[F.min(F.when(F.col("role") == r, F.col("path"))).alias(f"{r}_path") for r in roles]
-    )
+    paired = keyed.groupBy("dataset", "pair_key").agg(*[only(r).alias(f"{r}_path") for r in roles])
     return paired.dropna(subset=[f"{r}_path" for r in roles])
 
 
+def unpaired_keys(assets: DataFrame, roles: Sequence[str], key: Column) -> DataFrame:
+    """Keys that not every role has, with the number of paths of each role."""
+    keyed = assets.filter(F.col("role").isin(*roles)).withColumn("pair_key", key)
+    counts = [F.count(F.when(F.col("role") == r, 1)).alias(f"n_{r}") for r in roles]
+    lacking = F.least(*[F.col(f"n_{r}") for r in roles]) if len(roles) > 1 else F.col(f"n_{roles[0]}")
+    return keyed.groupBy("dataset", "pair_key").agg(*counts).filter(lacking == 0)
+
+
 def first_n(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
     return df.orderBy(*order_by).limit(n)
 

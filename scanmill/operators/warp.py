@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scanmill.functions.arrays import clip, indices, let
 
 NO_SOURCE = 10000.0  # fixed value: weight of a target no source pixel reached
-_COLUMN_BITS = 21  # widest line the packed entries can hold: two million columns
+_COLUMN_BITS = 31  # an array has fewer than 2^31 entries, so bin and column fit into one whole number
 WEIGHT_FLOOR = 1e-7  # fixed value: keeps the weight sum away from zero
 
 
@@ -24,7 +24,7 @@ def _last_hits(shift: Column) -> Column:
     bin, and sorted; the last entry of each bin is its answer.
     """
     width = F.size(shift)
-    pack = lambda code, x: code * (1 << _COLUMN_BITS) + x
+    pack = lambda code, x: code.cast("long") * (1 << _COLUMN_BITS) + x
     # bins left of the image share code 0, bins right of it the code after the last
     code = lambda b: F.least(F.greatest(b + 1, F.lit(0).cast("long")), (width + 2).cast("long"))
     near = lambda s: clip(s, -1e12, 1e12)  # keeps infinite positions within whole numbers

@@ -110,6 +110,22 @@ def sequence(spark, sf_dir):
     return _rounded(metrics.sequence_loss(flow, 3), "loss")
 
 
+@query(
+    "sequence_loss_gaps",
+    f"""WITH {PX}, {PAIR}, {_ITERS}, m AS (SELECT image_id, i,
+        avg(CASE WHEN r > -0.4 AND NOT (i = 1 AND image_id % 2 = 0) THEN abs((l + 0.6) * 10 * (1 + 0.1::DOUBLE * (2 - i)) - (r + 0.6) * 10) END) AS m
+      FROM pr CROSS JOIN it GROUP BY image_id, i)
+    SELECT image_id, CASE WHEN count(m) = 3 THEN {r6_sql(f'sum({_GAMMA} * m)')} END AS loss FROM m GROUP BY image_id""",
+)
+def sequence_gaps(spark, sf_dir):
+    """Per image; the second prediction of every other image has no valid pixel, so its loss is null."""
+    lines = _scored(spark, sf_dir).withColumn("iter", F.explode_outer(F.sequence(F.lit(0), F.lit(2))))
+    flow = lines.withColumn("pred", F.transform("pred", lambda v: -v * (1 + 0.1 * (2 - F.col("iter")))))
+    gap = (F.col("iter") == 1) & (F.pmod("image_id", F.lit(2)) == 0)
+    holed = flow.withColumn("valid", F.when(gap, F.transform("valid", lambda v: F.lit(False))).otherwise(F.col("valid")))
+    return _rounded(metrics.sequence_loss(holed, 3, by=["image_id"]), "loss")
+
+
 def _mirror(i: str, n: str) -> str:
     return f"CASE WHEN {i} < 0 THEN -({i}) WHEN {i} >= {n} THEN 2 * ({n} - 1) - ({i}) ELSE {i} END"
 

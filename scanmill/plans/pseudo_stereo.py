@@ -48,13 +48,16 @@ def warp_view(image: DataFrame, maps: DataFrame, compat: str = "reference") -> D
 def fill_holes(warped: DataFrame, predict: Predictor | None = None, keys=("image_id", "ch", "y")) -> DataFrame:
     """Take predicted values where no source pixel landed, warped ones elsewhere.
 
-    ``predict`` maps the warped lines (holes are zero, ``mask_inpaint`` tells
-    where) to lines with a ``pred`` array.
+    ``predict`` takes the warped lines (holes are zero, ``mask_inpaint`` tells
+    where) and adds a ``pred`` array to them, so nothing is computed twice. One that
+    gives only keys and ``pred`` is joined, and a line without a prediction fails the job.
     """
     if predict is None:
         return warped
-    predicted = predict(warped).select(*keys, "pred")
-    both = warped.join(predicted, list(keys))
+    both = predict(warped)
+    if not set(warped.columns) <= set(both.columns):
+        lacking = F.raise_error(F.lit("a line has no prediction")).cast("array<double>")
+        both = warped.join(both.select(*keys, "pred"), list(keys), "left").withColumn("pred", F.coalesce("pred", lacking))
     cells = F.arrays_zip(F.col("vals").alias("v"), F.col("pred").alias("p"), F.col("mask_inpaint").alias("m"))
     return both.withColumn(
         "vals", F.transform(cells, lambda c: F.when(c["m"], c["p"]).otherwise(c["v"]))
@@ -150,13 +153,15 @@ def stereo_samples(
     return augment(rasters, images, params, seed, epoch) if params is not None else rasters
 
 
-def warp_samples(image: DataFrame, disp: DataFrame, limit: int = 1000, compat: str = "reference") -> DataFrame:
-    """Warp large images at a reduced size; ``scale`` and the full size allow enlarging back.
+def warp_samples(image: DataFrame, disp: DataFrame, limit: int | None = None, compat: str = "reference") -> DataFrame:
+    """Warp large images at a reduced size; ``scale`` and the full size allow enlarging back. Without ``limit`` none is reduced.
 
     ``scale`` is how often ``limit`` fits in the short side. Only images with a
     scale above one are resampled.
     """
-    scale = downscale_factor(F.floor(F.col("h") * 1000 / limit), F.floor(F.col("w") * 1000 / limit))
+    scale = F.lit(1)
+    if limit is not None:
+        scale = downscale_factor(F.floor(F.col("h") * 1000 / limit), F.floor(F.col("w") * 1000 / limit))
     sized = lambda df: df.withColumns({"scale": scale, "full_h": F.col("h"), "full_w": F.col("w")})
     img, dsp = sized(image), sized(disp)
     out_h, out_w = F.floor(F.col("h") / F.col("scale")).cast("int"), F.floor(F.col("w") / F.col("scale")).cast("int")

@@ -14,17 +14,17 @@ class Dataset:
     """One entry of the registry."""
 
     name: str
-    root: str
+    root: str | None = None
     mask_mode: str | None = None
     resolution: str | None = None
     outlier_px: int | None = None
 
 
-# Mask mode and outlier threshold of each evaluation set.
+# Mask mode and outlier threshold of each evaluation set, named as the listings name it.
 EVALUATION = (
-    Dataset("KITTI", "/data/datasets/kitti", "all", None, 3),
-    Dataset("Middlebury", "/data/datasets/middlebury", "noc", "H", 2),
-    Dataset("ETH3D", "/data/datasets/eth3d", "noc", None, 1),
+    Dataset("kitti", None, "all", None, 3),
+    Dataset("middlebury", None, "noc", "H", 2),
+    Dataset("eth3d", None, "noc", None, 1),
 )
 
 

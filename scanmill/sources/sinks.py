@@ -60,9 +60,10 @@ def render_disparity(lines: DataFrame, palette: DataFrame, col: str = "vals") ->
     to become a constant of the plan: lines are coloured without a join and
     without exploding them. A constant image takes the first entry.
     """
-    entries = {r["idx"]: r for r in palette.filter("idx BETWEEN 0 AND 255").dropDuplicates(["idx"]).collect()}
-    if len(entries) != PALETTE_SIZE:
-        raise ValueError(f"a palette needs {PALETTE_SIZE} entries, got {len(entries)}")
+    rows = palette.limit(PALETTE_SIZE + 1).collect()
+    entries = {r["idx"]: r for r in rows}
+    if len(rows) != PALETTE_SIZE or set(entries) != set(range(PALETTE_SIZE)):
+        raise ValueError(f"a palette has the entries 0 to {PALETTE_SIZE - 1} once each")
     table = {
         c: F.expr("array(" + ",".join(str(entries[i][c]) for i in range(PALETTE_SIZE)) + ")") for c in ("r", "g", "b")
     }
