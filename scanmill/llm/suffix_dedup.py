@@ -7,10 +7,11 @@ run is one suffix to sort, led by its anchor's tokens, and holds all strings of
 
 1. Anchors whose bytes occur once in all documents are dropped: counted by hash, summed in every task before the shuffle.
 2. Runs with equal bytes fall together by their digest. If all runs of an anchor are equal, they are repeated as a whole.
-3. The others are range-partitioned by sampled splitters on their leading token (the anchor's hash; then the digest, so that an
-   anchor shared by a third of all documents is still cut into even buckets). A bucket sorts the strings of its runs by a multikey
-   quicksort over (anchor, place, fingerprint words) and compares neighbours. Strings of a bucket's first and last anchor may
-   go on across its boundaries; they are compared by one more grouping over their fingerprints.
+3. The others are range-partitioned by sampled splitters on their leading token (the anchor's hash). A bucket sorts the strings of
+   its runs by a multikey quicksort over (anchor, place, fingerprint words) and compares neighbours. An anchor with more than
+   ``hot_runs`` different runs is cut into even buckets by its runs' digests. Of those runs only the blocks of ``block`` places stay
+   whose common bytes another run has too; each distinct string of such a block is then compared across the buckets' boundaries
+   by a grouping over the fingerprints, to which a bucket gives it once.
 
 A fingerprint is two 64-bit polynomials of the 400 bytes; neighbours that agree are compared byte by byte inside a bucket.
 
@@ -34,7 +35,6 @@ from .common import ready, slices, stored
 ANCHORS = "id long, sha binary, anchor long, first int, last int, at int"
 RUNS = "id long, sha binary, anchor long, digest binary, first int, last int, at int, run binary"
 FOUND = "anchor long, digest binary, low int, high int, open boolean, h1 long, h2 long"
-BUCKET_RUNS = 4000
 NO_ID = -(1 << 63)
 
 
@@ -97,8 +97,9 @@ def multikey_order(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, tied
 
 
-def compare_bucket(anchors: np.ndarray, digests: list[bytes], places: np.ndarray, runs: list[bytes], length: int, ends: tuple[int, int]):
-    """Strings of a bucket that occur in more than one of its runs, and those of the anchors ``ends`` with their fingerprints."""
+def compare_bucket(anchors: np.ndarray, digests: list[bytes], places: np.ndarray, runs: list[bytes], live: list, length: int, block: int):
+    """Strings of a bucket that occur in more than one of its runs, as intervals of places; and of the runs with ``live`` blocks
+    each distinct string of those blocks, with its run's digest if the bucket has it only there."""
     b = Bytes(pa.array(runs, pa.binary()))
     counts = b.sizes - length + 1
     owner = np.repeat(np.arange(len(runs)), counts)
@@ -110,15 +111,22 @@ def compare_bucket(anchors: np.ndarray, digests: list[bytes], places: np.ndarray
         a, z = int(start[order[k - 1]]), int(start[order[k]])
         if b.data[a : a + length].tobytes() != b.data[z : z + length].tobytes():
             raise ArithmeticError("two strings share a 128-bit fingerprint")
-    same = tied | np.append(tied[1:], False)
-    hit = np.sort(order[same])
-    edge = np.flatnonzero(np.concatenate([[True], (owner[hit][1:] != owner[hit][:-1]) | (place[hit][1:] != place[hit][:-1] + 1)])) if len(hit) else hit
-    stop = np.append(edge[1:], len(hit)) - 1 if len(hit) else hit
-    rows = [(int(anchors[owner[i]]), digests[owner[i]], int(place[i]), int(place[j]), False, 0, 0) for i, j in zip(hit[edge], hit[stop])]
-    lone = np.flatnonzero(np.isin(anchors[owner], np.array(ends)))
-    rows += [
-        (int(anchors[owner[i]]), digests[owner[i]], int(place[i]), int(place[i]), True, int(h1[i].view(np.int64)), int(h2[i].view(np.int64)))
-        for i in lone]
+    follows = np.append(tied[1:], False)
+    hit = np.sort(order[tied | follows])
+    rows = []
+    if len(hit):
+        edge = np.flatnonzero(np.append(True, (owner[hit][1:] != owner[hit][:-1]) | (place[hit][1:] != place[hit][:-1] + 1)))
+        stop = np.append(edge[1:], len(hit)) - 1
+        rows = [(int(anchors[owner[i]]), digests[owner[i]], int(place[i]), int(place[j]), False, 0, 0) for i, j in zip(hit[edge], hit[stop])]
+    blocks = [k * (1 << 20) + x + (1 << 19) for k, some in enumerate(live) for x in some or ()]
+    if blocks:
+        first = ~tied
+        alone = first & ~follows
+        wanted = np.isin(owner[order] * (1 << 20) + place[order] // block + (1 << 19), blocks)
+        # strings equal to a wanted one lie in the same block, which is live for them too
+        rows += [
+            (int(anchors[owner[i]]), digests[owner[i]] if lone else None, int(place[i]), int(place[i]), True, int(h1[i].view(np.int64)), int(h2[i].view(np.int64)))
+            for i, lone in zip(order[first & wanted], alone[first & wanted])]
     return rows
 
 
@@ -127,7 +135,9 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-def covered(docs: DataFrame, length: int = 400, chunk: int = 128) -> DataFrame:
+def covered(
+    docs: DataFrame, length: int = 400, chunk: int = 128, bucket_runs: int = 4000, hot_runs: int = 1000, block: int = 32,
+) -> DataFrame:
     """Byte spans of repeated strings: ``id, sha, start, stop``, one row per run, not merged."""
     ready(docs.sparkSession)
 
@@ -170,40 +180,63 @@ def covered(docs: DataFrame, length: int = 400, chunk: int = 128) -> DataFrame:
     some = runs.select("anchor", "digest", "first", "at", "run").join(mixed, "anchor", "left_semi")
     place = (F.col("at") - F.col("first")).alias("place")
     some = some.select("anchor", "digest", place, "run").groupBy("anchor", "digest", "place", "run").agg(F.count(F.lit(1)).alias("n"))
+    some = stored(some, "different-runs")
+    most = F.octet_length("run") - length - F.col("place")  # last place of a run; the first is -place
+    # a run that occurs twice is repeated as a whole
+    inside = some.where("n > 1").select("anchor", "digest", (-F.col("place")).alias("low"), most.cast("int").alias("high"))
+
+    hot = stored(some.groupBy("anchor").agg(F.count(F.lit(1)).alias("runs")).where(F.col("runs") > hot_runs).select("anchor"), "hot-anchors")
+    blocks = F.sequence(F.floor(-F.col("place") / F.lit(float(block))).cast("int"), F.floor(most / F.lit(float(block))).cast("int"))
+    cores = some.join(hot, "anchor", "left_semi").select("anchor", "digest", "place", "run", F.explode(blocks).alias("block"))
+    # the bytes that all strings of a block have in common
+    core = F.md5(F.substring(F.col("run"), F.col("place") + block * F.col("block") + block, F.lit(length - block + 1)))
+    cores = cores.select("anchor", "digest", "block", core.alias("core"))
+    key = ["anchor", "block", "core"]
+    shared = cores.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
+    live = cores.join(shared, key).groupBy("anchor", "digest").agg(F.collect_set("block").alias("live"))
+    none = F.lit(None).cast("array<int>")
+    few = some.join(hot, "anchor", "left_anti").select("anchor", "digest", "place", "run", none.alias("live"), F.lit(0).cast("long").alias("part"))
+    many = some.join(live, ["anchor", "digest"]).select("anchor", "digest", "place", "run", "live", F.xxhash64("digest").alias("part"))
 
     def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "digest", "low", "high", "open", "h1", "h2"]
         kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
         held: list[pa.RecordBatch] = []
 
-        def bucket():
+        def bucket(last: bool):
             t = pa.Table.from_batches(held).combine_chunks()
             held.clear()
-            anchor, place = t.column("anchor").to_numpy(), t.column("place").to_numpy()
-            digest, run, n = t.column("digest").to_pylist(), t.column("run").to_pylist(), t.column("n").to_numpy()
-            rows = compare_bucket(anchor, digest, place, run, length, (int(anchor[0]), int(anchor[-1])))
-            # a run that occurs twice is repeated as a whole
-            rows += [(int(anchor[k]), digest[k], -int(place[k]), len(run[k]) - length - int(place[k]), False, 0, 0) for k in np.flatnonzero(n > 1)]
-            return _batch(rows, names, kinds)
+            anchor = t.column("anchor").to_numpy()
+            cut = t.num_rows
+            if not last and not t.column("live")[cut - 1].is_valid:
+                # an anchor that isn't hot stays in one bucket
+                cut = int(np.searchsorted(anchor, anchor[-1]))
+                held.extend(t.slice(cut).to_batches())
+            if cut:
+                part = t.slice(0, cut)
+                yield _batch(compare_bucket(
+                    anchor[:cut], part.column("digest").to_pylist(), part.column("place").to_numpy(), part.column("run").to_pylist(),
+                    part.column("live").to_pylist(), length, block), names, kinds)
 
         for part in slices(batches, "run"):
             at = 0
             while at < part.num_rows:
-                room = BUCKET_RUNS - sum(x.num_rows for x in held)
+                room = max(bucket_runs - sum(x.num_rows for x in held), 1)
                 held.append(part.slice(at, room))
                 at += held[-1].num_rows
-                if sum(x.num_rows for x in held) >= BUCKET_RUNS:
-                    yield bucket()
+                if sum(x.num_rows for x in held) >= bucket_runs:
+                    yield from bucket(last=False)
         if held:
-            yield bucket()
+            yield from bucket(last=True)
 
-    placed = some.repartitionByRange("anchor", "digest").sortWithinPartitions("anchor", "digest")
+    placed = few.unionByName(many).repartitionByRange("anchor", "part").sortWithinPartitions("anchor", "part")
     found = stored(placed.mapInArrow(sort_buckets, FOUND), "repeated-strings")
-    inside = found.where("not open").select("anchor", "digest", "low", "high")
+    inside = inside.unionByName(found.where("not open").select("anchor", "digest", "low", "high"))
     string = ["anchor", "low", "h1", "h2"]
-    loose = found.where("open").select(*string, "digest").distinct()
-    across = loose.groupBy(string).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    inside = inside.unionByName(loose.join(across, string).select("anchor", "digest", "low", F.col("low").alias("high")))
+    loose = found.where("open").select(*string, "digest")
+    across = loose.groupBy(string).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(string)
+    alone = loose.where("digest is not null").join(across, string)
+    inside = inside.unionByName(alone.select("anchor", "digest", "low", F.col("low").alias("high")))
     spans = inside.groupBy("anchor", "digest").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     parts = runs.select("id", "sha", "anchor", "digest", "at").join(spans, ["anchor", "digest"])
     parts = parts.select("id", "sha", "at", F.explode("spans").alias("s")).select(
@@ -216,10 +249,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.unhex(F.md5(text)).alias("sha"), text.alias("text"))
 
 
-def dedup(docs: DataFrame, length: int = 400, chunk: int = 128) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 400, chunk: int = 128, **sizes) -> DataFrame:
     """Per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept`` (maximal spans, remaining bytes)."""
     rows = _keyed(docs)
-    spans = covered(rows, length, chunk).groupBy("id", "sha").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    spans = covered(rows, length, chunk, **sizes).groupBy("id", "sha").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]

@@ -118,12 +118,13 @@ def suffix_rows(seed):
 
 
 @pytest.mark.parametrize("bucket", [4000, 3])
-def test_suffix_spans(spark, monkeypatch, bucket):
+def test_suffix_spans(spark, bucket):
     texts = suffix_rows(bucket)
     docs = spark.createDataFrame([(i, t, "en", 1, "x", 2) for i, t in enumerate(texts)], SCHEMA).repartition(5)
     docs = docs.union(docs.where("doc_id = 40")).withColumnRenamed("node", "first")
-    monkeypatch.setattr(suffix_dedup, "BUCKET_RUNS", bucket)
-    got = sorted(suffix_dedup.dedup(docs, length=40, chunk=13).collect(), key=lambda r: r["doc_id"])
+    # with small sizes nearly every anchor is hot and cut into many buckets
+    sizes = {"bucket_runs": 3, "hot_runs": 2, "block": 5} if bucket == 3 else {}
+    got = sorted(suffix_dedup.dedup(docs, length=40, chunk=13, **sizes).collect(), key=lambda r: r["doc_id"])
     ids = sorted([*range(len(texts)), 40])
     data, cover = brute_spans([texts[i] for i in ids], 40)
     assert len(got) == len(ids)
