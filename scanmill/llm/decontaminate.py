@@ -1,7 +1,7 @@
 """Benchmark passages in documents, also paraphrased: latent semantic retrieval, then subsequence and answer checks.
 
 1. Words (letters only, lower case) are hashed to ``2**BITS`` terms. Document frequencies are counted over all blocks of 32 words of all
-   documents and summed per term, a table of fixed size.
+   documents and summed per term, a table of fixed size. Terms of more than a tenth of the blocks weigh nothing.
 2. The TF-IDF matrix of the benchmark's passages gets a distributed randomised SVD: each task multiplies its rows with a random
    block, partial sums are added per term, and a second round sharpens the basis. Its rank is at most ``rank``.
 3. Every document is read whole, as windows of two blocks that overlap by one. A window and an item are candidates if their cosine
@@ -55,8 +55,11 @@ def blocks_of(doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return first[doc] + within // BLOCK, first, blocks
 
 
-def inverse_frequency(docs: DataFrame) -> np.ndarray:
-    """log((blocks + 1) / (blocks with the term + 1)) + 0.05 for every term, over all documents."""
+def inverse_frequency(docs: DataFrame, max_share: float = 0.1, max_blocks: int = 1000) -> np.ndarray:
+    """log((blocks + 1) / (blocks with the term + 1)) + 0.05 for every term, over all documents.
+
+    Terms in more than ``max_share`` of the blocks, and in more than ``max_blocks``, weigh nothing, as stop words do.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, df = 0, np.zeros(1 << BITS, dtype=np.int64)
@@ -77,7 +80,9 @@ def inverse_frequency(docs: DataFrame) -> np.ndarray:
             total = n
         else:
             df[term] = n
-    return np.log((total + 1) / (df + 1)) + 0.05
+    idf = np.log((total + 1) / (df + 1)) + 0.05
+    idf[df > max(max_share * total, max_blocks)] = 0
+    return idf
 
 
 def _tfidf(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,7 +90,8 @@ def _tfidf(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     _, term, doc = word_terms(texts)
     cell, tf = np.unique((doc << BITS) | term, return_counts=True)
     term = cell & ((1 << BITS) - 1)
-    return cell >> BITS, term, tf * idf[term]
+    used = idf[term] > 0
+    return (cell >> BITS)[used], term[used], (tf * idf[term])[used]
 
 
 def randomised_basis(items: DataFrame, idf: np.ndarray, rank: int, rounds: int = 2, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +243,7 @@ def search(docs: DataFrame, items: Items, least_cosine: float, likely: float, su
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, rank: int = 192, least_cosine: float = 0.2, likely: float = 0.55, sure: float = 0.7,
+    docs: DataFrame, benchmark: DataFrame, rank: int = 192, least_cosine: float = 0.25, likely: float = 0.55, sure: float = 0.7,
     block_items: int = 2000,
 ) -> DataFrame:
     """One row per document and benchmark item found in it."""
