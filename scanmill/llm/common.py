@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from scanmill.session import ensure_checkpoint_dir, ship_package
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: bytes of text a task holds as numpy arrays at once; one longer text is a slice of its own
 SLICE_BYTES = 2 << 20
@@ -45,10 +46,18 @@ def shared_folder(spark: SparkSession, label: str) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, whoever is lost later."""
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, whoever is lost later.
+
+    Once the table stands, nothing reads the shuffle files of its job again, so Spark is asked to remove them then.
+    """
     spark = df.sparkSession
     folder = shared_folder(spark, label)
-    df.write.option("compression", "zstd").parquet(folder)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(folder)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(folder)
 
 
