@@ -80,12 +80,13 @@ def columns_to_channels(df: DataFrame, names: Sequence[str] = ("r", "g", "b")) -
     )
 
 
-def align(rasters: dict[str, DataFrame], missing: str = "fail") -> DataFrame:
+def align(rasters: dict[str, DataFrame], missing: str = "drop") -> DataFrame:
     """Bring the single-channel rasters of a sample side by side, one array column each.
 
     One shuffle on (image_id, y) for all of them: the rasters are stacked and
-    grouped rather than joined pairwise. A line that one raster lacks, or has twice, fails the
-    job; ``missing="drop"`` leaves incomplete lines out, and :func:`misaligned` names them.
+    grouped rather than joined pairwise. A line that one raster has twice fails the job. One that
+    a raster lacks is left out, and :func:`misaligned` names it; with ``missing="fail"``, as the
+    composed jobs ask, it fails the job too.
     """
     if missing not in ("fail", "drop"):
         raise ValueError(f"missing must be fail or drop, not {missing}")

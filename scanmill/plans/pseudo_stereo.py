@@ -120,7 +120,7 @@ def fill_samples(
             images, params, seed, epoch,
         )
         left, right = done["left"], done["right"]
-        checked = align({"disp": done["disp"], "valid": done["valid"]})
+        checked = align({"disp": done["disp"], "valid": done["valid"]}, missing="fail")
     warped = warp_view(left, checked, compat).select(
         "image_id", "ch", "y", "h", "w", F.col("vals").alias("warped_right"), "mask_inpaint"
     )
