@@ -142,8 +142,13 @@ class LabelModel:
         self.known = known or (np.zeros(len(patterns)), np.zeros(len(patterns)))
         fires = (patterns[:, None] >> np.arange(voters)) & 1
         start = 0.02 + 0.9 * (fires[:, :5].sum(axis=1) > 0)
-        posterior = self._fit(patterns, counts, start, steps)
-        self.cliques = self._correlated(fires, counts, posterior)
+        if known:
+            # cases of known class tell which voters copy each other; a fit that takes them for independent would not
+            posterior, (toxic, clean) = start, known
+        else:
+            posterior = self._fit(patterns, counts, start, steps)
+            toxic, clean = counts * posterior, counts * (1 - posterior)
+        self.cliques = self._correlated(fires, toxic, clean)
         self.posterior = self._fit(patterns, counts, posterior, steps)
         self.of = dict(zip(patterns.tolist(), self.posterior.tolist()))
 
@@ -170,14 +175,14 @@ class LabelModel:
         return posterior
 
     @staticmethod
-    def _correlated(fires, counts, posterior, least: float = 0.15, most: int = 4) -> list[list[int]]:
+    def _correlated(fires, toxic, clean, least: float = 0.15, most: int = 4) -> list[list[int]]:
         """Join voters whose votes correlate within the classes, the strongest first, up to ``most`` in a clique."""
         voters = fires.shape[1]
         links = []
         for a in range(voters):
             for b in range(a + 1, voters):
                 value = 0.0
-                for share in (counts * posterior, counts * (1 - posterior)):
+                for share in (toxic, clean):
                     total = max(share.sum(), 1e-9)
                     p, q = (share @ fires[:, a]) / total, (share @ fires[:, b]) / total
                     spread = np.sqrt(max(p * (1 - p) * q * (1 - q), 1e-12))
