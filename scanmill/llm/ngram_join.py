@@ -210,6 +210,8 @@ def jaccard_classes(
         F.count(F.lit(1)).alias("c"), F.min(_packed()).alias("low"), F.max(_packed()).alias("high"), F.max(leading).alias("leads"))
     two = _can_link(*_unpacked("low"), *_unpacked("high"), percent)
     counted = counted.where(F.col("leads") & ((F.col("c") > 2) | ((F.col("c") == 2) & two))).select("token")
+    # stored, so that both sides of the join are plain shuffles, which AQE splits where a token is hot
+    counted = stored(counted, "shared-tokens")
     postings = stored(heads.join(counted, "token"), "postings")
     asked = postings.select("node").distinct()
 
@@ -247,7 +249,8 @@ def jaccard_classes(
         F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"))
     # tokens of one group only ask nothing
     cells = matrix.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
-    matrix = matrix.join(cells, "token")
+    cells = stored(cells, "cells")
+    matrix = stored(matrix.join(cells, "token"), "matrix")
     asks = marked.join(cells, "token").select(
         "token", "node", F.col("comp").alias("own"), F.col("members").alias("own_members"), F.col("n").alias("own_n"), "pos")
     smaller = (F.col("own_members") < F.col("members")) | ((F.col("own_members") == F.col("members")) & (F.col("own") < F.col("comp")))

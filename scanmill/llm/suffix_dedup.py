@@ -150,7 +150,8 @@ def covered(
                 names=["id", "sha", "anchor", "first", "last", "at"])
 
     anchors = stored(docs.mapInArrow(find_anchors, ANCHORS), "anchors")
-    twice = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # stored, so that both sides of the join are plain shuffles, which AQE splits where an anchor is hot
+    twice = stored(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "shared-anchors")
     wanted = anchors.join(twice, "anchor").groupBy("id", "sha").agg(
         F.collect_set(F.struct("anchor", "first", "last", "at")).alias("runs"))
 

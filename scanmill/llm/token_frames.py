@@ -187,8 +187,9 @@ def read_tokens(spark: SparkSession, shards: DataFrame, item_bytes: int, wanted:
         spans = read_spans(spark, shards)
         source = key.join(F.broadcast(spans), (F.col("id") >= F.col("low")) & (F.col("id") <= F.col("high")))
         source = source.groupBy("shard", "path", F.pmod(F.xxhash64("id"), F.lit(16))).agg(F.collect_list("id").alias("wanted"))
-        return source.select("shard", "path", "wanted").mapInArrow(fetch, ROW_SCHEMA)
-    return source.repartition(F.col("shard")).mapInArrow(fetch, ROW_SCHEMA)
+        return source.select("shard", "path", "wanted").repartitionByRange(max(shards.count(), 1), "shard").mapInArrow(fetch, ROW_SCHEMA)
+    # a row is a path, but its task reads a file: one task a file, however small the rows are
+    return source.repartitionByRange(max(shards.count(), 1), "shard").mapInArrow(fetch, ROW_SCHEMA)
 
 
 def read_spans(spark: SparkSession, shards: DataFrame) -> DataFrame:

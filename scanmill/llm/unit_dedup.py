@@ -60,6 +60,8 @@ def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = 20, id_
     units = stored(rows.mapInArrow(cut, UNITS), "units")
     place = F.struct("id", "sha", "start")
     first = units.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
+    # stored, so that both sides of the join are plain shuffles, which AQE splits where a digest is hot
+    first = stored(first.select("digest", "first"), "first-units")
     return units.join(first, "digest").where(place != F.col("first")).select("id", "sha", "start", "stop").distinct()
 
 
