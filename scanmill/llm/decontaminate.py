@@ -243,7 +243,7 @@ def search(docs: DataFrame, items: Items, least_cosine: float, likely: float, su
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, rank: int = 192, least_cosine: float = 0.25, likely: float = 0.55, sure: float = 0.7,
+    docs: DataFrame, benchmark: DataFrame, rank: int = 192, least_cosine: float = 0.1, likely: float = 0.55, sure: float = 0.7,
     block_items: int = 2000,
 ) -> DataFrame:
     """One row per document and benchmark item found in it."""
