@@ -75,8 +75,9 @@ def row_correlation(lines: DataFrame, scale: bool = True, plan: str = "line") ->
         table = let(F.col("right"), lambda rs: F.transform("left", lambda l: against(l, rs)))
         return lines.select("image_id", "y", table.alias("corr"))
     if plan == "pixel":
-        px = lines.select("image_id", "y", F.posexplode_outer("left").alias("x", "vec"), "right")
-        return px.select("image_id", "y", "x", against(F.col("vec"), F.col("right")).alias("corr"))
+        # made on the line and exploded after, so the right line isn't copied to every left pixel
+        table = let(F.col("right"), lambda rs: F.transform("left", lambda l: against(l, rs)))
+        return lines.select("image_id", "y", F.posexplode_outer(table).alias("x", "corr"))
     raise ValueError(f"unknown plan: {plan}")
 
 
@@ -144,36 +145,25 @@ def lookup_features(
     staged = lines.withColumn("__f0", F.col("right"))
     for i in range(1, levels):
         staged = staged.withColumn(f"__f{i}", halve(F.col(f"__f{i - 1}")))
-    px = staged.select(
-        "image_id",
-        "y",
-        *[f"__f{i}" for i in range(levels)],
-        F.posexplode_outer(F.arrays_zip(F.col("left").alias("l"), F.col(coords).alias("c"))).alias("x", "e"),
-    )
-    taps = []
-    for i in range(levels):
-
-        def at(p: Column, feats: Column) -> Column:
-            def sampled(base: Column) -> Column:
-                frac = p - F.floor(p)
-                part = lambda j: F.when(
-                    (j >= 0) & (j < F.size(feats)), dot(F.get(feats, j), F.col("e.l"))
-                ).otherwise(0.0)
-                return part(base) * (1 - frac) + part(base + 1) * frac
-
-            return let(F.floor(p).cast("int"), sampled)
-
-        taps.append(
-            let(
-                F.col(f"__f{i}"),
-                lambda feats, i=i: F.transform(
-                    steps,
-                    lambda k: let(F.col("e.c") / float(2**i) + k, lambda p: at(p, feats))
-                    / F.sqrt(F.size("e.l").cast("double")),
-                ),
-            )
+    def at(p: Column, feats: Column, l: Column) -> Column:
+        def sampled(base: Column) -> Column:
+            frac = p - F.floor(p)
+            part = lambda j: F.when((j >= 0) & (j < F.size(feats)), dot(F.get(feats, j), l)).otherwise(0.0)
+            return part(base) * (1 - frac) + part(base + 1) * frac
+
+        return let(F.floor(p).cast("int"), sampled)
+
+    def level(i: int, e: Column) -> Column:
+        feats = F.col(f"__f{i}")
+        return F.transform(
+            steps,
+            lambda k: let(e["c"] / float(2**i) + k, lambda p: at(p, feats, e["l"])) / F.sqrt(F.size(e["l"]).cast("double")),
         )
-    return px.select("image_id", "y", "x", F.flatten(F.array(*taps)).alias(out))
+
+    # made on the line and exploded after, so no pixel carries the right line
+    pixels = F.arrays_zip(F.col("left").alias("l"), F.col(coords).alias("c"))
+    taps = F.transform(pixels, lambda e: F.flatten(F.array(*[level(i, e) for i in range(levels)])))
+    return staged.select("image_id", "y", F.posexplode_outer(taps).alias("x", out))
 
 
 def groups_first(cost: Column, groups: int) -> Column:
@@ -216,52 +206,48 @@ def combined_lookup(
 
 
 def _volume(lines: DataFrame, maxdisp: int, cell, absent) -> DataFrame:
-    """One row per left pixel; ``cost`` runs over d = 0 .. maxdisp-1."""
-    px = lines.select("image_id", "y", F.posexplode_outer("left").alias("x", "__l"), "right")
-    cost = F.transform(
-        F.sequence(F.lit(0), F.lit(maxdisp - 1)),
-        lambda d: F.when(
-            d <= F.col("x"), cell(F.col("__l"), F.get("right", F.col("x") - d))
-        ).otherwise(absent),
-    )
-    return px.select("image_id", "y", "x", cost.alias("cost"))
+    """One row per left pixel; ``cost`` runs over d = 0 .. maxdisp-1.
+
+    The costs are made on the line and exploded after: no row but the line holds the right features.
+    """
+    def band(l: Column, x: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(maxdisp - 1)),
+            lambda d: F.when(d <= x, cell(l, F.get("right", x - d))).otherwise(absent(l)),
+        )
+
+    return lines.select("image_id", "y", F.posexplode_outer(F.transform("left", band)).alias("x", "cost"))
 
 
 def gwc_volume(lines: DataFrame, maxdisp: int, groups: int) -> DataFrame:
     """Group-wise correlation with the right pixel ``d`` columns to the left; zero off the image."""
     zeros = F.array_repeat(F.lit(0.0), groups)
-    return _volume(lines, maxdisp, lambda l, r: group_mean_product(l, r, groups), zeros)
+    return _volume(lines, maxdisp, lambda l, r: group_mean_product(l, r, groups), lambda l: zeros)
 
 
 def norm_volume(lines: DataFrame, maxdisp: int) -> DataFrame:
-    return _volume(lines, maxdisp, norm_corr, F.lit(0.0))
+    return _volume(lines, maxdisp, norm_corr, lambda l: F.lit(0.0))
 
 
 def corr_volume(lines: DataFrame, maxdisp: int) -> DataFrame:
-    return _volume(lines, maxdisp, corr, F.lit(0.0))
+    return _volume(lines, maxdisp, corr, lambda l: F.lit(0.0))
 
 
 def concat_volume(lines: DataFrame, maxdisp: int) -> DataFrame:
     """Left features always, right features zero off the image."""
-    px = lines.select("image_id", "y", F.posexplode_outer("left").alias("x", "__l"), "right")
-    zeros = F.array_repeat(F.lit(0.0), F.size("__l"))
-    cost = F.transform(
-        F.sequence(F.lit(0), F.lit(maxdisp - 1)),
-        lambda d: F.concat(
-            F.col("__l"),
-            F.when(d <= F.col("x"), F.get("right", F.col("x") - d)).otherwise(zeros),
-        ),
-    )
-    return px.select("image_id", "y", "x", cost.alias("cost"))
+    zeros = lambda l: F.array_repeat(F.lit(0.0), F.size(l))
+    return _volume(lines, maxdisp, lambda l, r: F.concat(l, r), lambda l: F.concat(l, zeros(l)))
 
 
 def band_pairs(lines: DataFrame, maxdisp: int) -> DataFrame:
     """Pairs within the disparity band, ``maxdisp`` rows per left pixel at most."""
-    px = lines.select("image_id", "y", F.posexplode_outer("left").alias("x", "l"), "right")
-    reach = F.least(F.col("x"), F.lit(maxdisp - 1))
-    return px.select(
-        "image_id", "y", "x", "l", "right", F.explode_outer(F.sequence(F.lit(0), reach)).alias("d")
-    ).select("image_id", "y", "x", "d", "l", F.get("right", F.col("x") - F.col("d")).alias("r"))
+    def band(l: Column, x: Column) -> Column:
+        reach = F.least(x, F.lit(maxdisp - 1))
+        return F.transform(F.sequence(F.lit(0), reach), lambda d: F.get("right", x - d))
+
+    cells = F.transform("left", lambda l, x: F.struct(l.alias("l"), band(l, x).alias("r")))
+    px = lines.select("image_id", "y", F.posexplode_outer(cells).alias("x", "c"))
+    return px.select("image_id", "y", "x", "c.l", F.posexplode_outer("c.r").alias("d", "r")).select("image_id", "y", "x", "d", "l", "r")
 
 
 def softmax(values: Column) -> Column:

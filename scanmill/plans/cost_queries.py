@@ -93,18 +93,13 @@ def combined(spark, sf_dir):
     pairs = feature_pairs(spark, sf_dir)
     zeros = F.array_repeat(F.lit(0.0), 2)
     # volume and correlation of a pixel come from the same line, so one pass makes both
-    px = pairs.select("image_id", "y", F.posexplode_outer("left").alias("x", "l"), "right")
-    volume = F.transform(
+    volume = lambda l, x: F.transform(
         F.sequence(F.lit(0), F.lit(3)),
-        lambda d: F.when(
-            d <= F.col("x"), cost.group_mean_product(F.col("l"), F.get("right", F.col("x") - d), 2)
-        ).otherwise(zeros),
-    )
-    both = px.select(
-        "image_id", "y", "x",
-        F.transform("right", lambda r: cost.corr(F.col("l"), r)).alias("corr"),
-        cost.groups_first(volume, 2).alias("geo"),
+        lambda d: F.when(d <= x, cost.group_mean_product(l, F.get("right", x - d), 2)).otherwise(zeros),
     )
+    cells = F.transform("left", lambda l, x: F.struct(
+        F.transform("right", lambda r: cost.corr(l, r)).alias("corr"), cost.groups_first(volume(l, x), 2).alias("geo")))
+    both = pairs.select("image_id", "y", F.posexplode_outer(cells).alias("x", "c")).select("image_id", "y", "x", "c.corr", "c.geo")
     pyr = cost.group_pyramid(cost.pyramid(both, 2), 2)
     found = cost.combined_lookup(pyr, 1 + F.pmod("y", F.lit(3)) * 0.4, F.col("x"), radius=1, levels=2)
     return found.select("image_id", "y", "x", F.posexplode_outer("taps").alias("k", "c")).withColumn("c", r6(F.col("c")))
