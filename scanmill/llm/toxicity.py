@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .bytehash import LETTER, Bytes
 from .common import held_out, ready, slices
@@ -123,8 +124,9 @@ def mine(rows: list[np.ndarray], toxic: np.ndarray, share: float, least: float =
     texts, at ``share`` of toxic texts overall, is at least ``least``; the ``most`` surest."""
     if not toxic.any() or toxic.all():
         return np.zeros(0, dtype=np.int64)
-    count = lambda y: np.bincount(np.concatenate([r for r, t in zip(rows, toxic) if t == y]), minlength=SIZE)
-    pos, neg = count(1), count(0)
+    pos, neg = np.zeros(SIZE, dtype=np.int32), np.zeros(SIZE, dtype=np.int32)
+    for r, t in zip(rows, toxic):  # a text's numbers are distinct
+        (pos if t else neg)[r] += 1
     p, q = (pos + 0.5) / (toxic.sum() + 1), (neg + 0.5) / ((1 - toxic).sum() + 1)
     sure = np.log(p / q) - 1.64 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
     found = np.flatnonzero((sure > np.log(3)) & (share * p >= least * (share * p + (1 - share) * q)))
@@ -237,11 +239,11 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int):
     # the sample is of bounded size, so its ids may be sent to the documents instead of the texts to the ids
     rows = texts.join(F.broadcast(picked), "__id").select("toxic", "text").mapInArrow(collect, "toxic int, numbers binary, bits long").collect()
     rows.sort(key=lambda r: (r["toxic"], r["numbers"]))
-    return ([np.frombuffer(r["numbers"], dtype=np.int32).astype(np.int64) for r in rows], np.array([int(r["toxic"] == 1) for r in rows], dtype=np.int64),
+    return ([np.frombuffer(r["numbers"], dtype=np.int32) for r in rows], np.array([int(r["toxic"] == 1) for r in rows], dtype=np.int64),
             np.array([r["bits"] for r in rows], dtype=np.int64), counts.get(1, 0) / total)
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Classifier:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Classifier:
     ready(docs.sparkSession)
     rows, toxic, extra, share = _sample(docs, labels, per_class)
     share = float(np.clip(share or 0.05, 1e-3, 0.5))
@@ -257,7 +259,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Classifi
     votes = sorted((r["pattern"], r["n"]) for r in votes)  # at most one row per vote pattern
     weights, bias = np.zeros(SIZE), float(np.log(share / (1 - share)))
     model, both = None, bool(toxic.any()) and not toxic.all()
-    clues = [r[(lexicons.flag[r] & (MINED | LISTED)) > 0] for r in rows]
+    clues = [r[(lexicons.flag[r] & (MINED | LISTED)) > 0].astype(np.int64) for r in rows]
     if votes and both:
         # the sample stands for all labelled texts: each class weighs what its share says
         weight = np.where(toxic == 1, share / toxic.sum(), (1 - share) / (1 - toxic).sum())
@@ -281,95 +283,10 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Classifi
     return Classifier(lexicons, weights, bias, model)
 
 
-def score(self, texts: pa.Array) -> np.ndarray:
-        _, owner, number = self.lexicons.votes(texts)
-        total = np.bincount(owner, weights=self.weights[number], minlength=len(texts)) + self.bias
-        return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
-
-
-def _sample(docs: DataFrame, labels: DataFrame, per_class: int):
-    """Distinct feature numbers, texts' vote inputs and labels of the sample; shares of the classes over all labelled rows."""
-    marks = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
-    counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = max(sum(counts.values()), 1)
-    draw = F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("toxic") == 1, min(1.0, per_class / max(counts.get(1, 0), 1))).otherwise(
-        min(1.0, 3 * per_class / max(total - counts.get(1, 0), 1)))
-    picked = marks.where(draw < share)
-    texts = docs.select(F.col("doc_id").alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = Lexicons(np.zeros(0, dtype=np.int64))
-        for rows in slices(batches):
-            owner, number = distinct(*features(rows.column("text")))
-            ends = np.searchsorted(owner, np.arange(rows.num_rows + 1))
-            number = number.astype(np.int32)
-            bits = [b & 0b11000000 for b in listed.votes(rows.column("text"))[0].tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("toxic"), pa.array([number[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:])], pa.binary()), pa.array(bits, pa.int64())],
-                names=["toxic", "numbers", "bits"])
-
-    # the sample is of bounded size, so its ids may be sent to the documents instead of the texts to the ids
-    rows = texts.join(F.broadcast(picked), "__id").select("toxic", "text").mapInArrow(collect, "toxic int, numbers binary, bits long").collect()
-    rows.sort(key=lambda r: (r["toxic"], r["numbers"]))
-    return ([np.frombuffer(r["numbers"], dtype=np.int32).astype(np.int64) for r in rows], np.array([int(r["toxic"] == 1) for r in rows], dtype=np.int64),
-            np.array([r["bits"] for r in rows], dtype=np.int64), counts.get(1, 0) / total)
-
-
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Classifier:
-    ready(docs.sparkSession)
-    rows, toxic, extra, share = _sample(docs, labels, per_class)
-    share = float(np.clip(share or 0.05, 1e-3, 0.5))
-    lexicons = Lexicons(mine(rows, toxic, share))
-
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            pattern, n = np.unique(lexicons.votes(part.column("text"))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pattern, pa.int64()), pa.array(n, pa.int64())], names=["pattern", "n"])
-
-    texts = docs.where(~held_out(F.col("doc_id"))).select(F.col("text").cast("string").alias("text"))
-    votes = texts.mapInArrow(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
-    votes = sorted((r["pattern"], r["n"]) for r in votes)  # at most one row per vote pattern
-    weights, bias = np.zeros(SIZE), float(np.log(share / (1 - share)))
-    model, both = None, bool(toxic.any()) and not toxic.all()
-    clues = [r[(lexicons.flag[r] & (MINED | LISTED)) > 0] for r in rows]
-    if votes and both:
-        # the sample stands for all labelled texts: each class weighs what its share says
-        weight = np.where(toxic == 1, share / toxic.sum(), (1 - share) / (1 - toxic).sum())
-        owner = np.repeat(np.arange(len(clues)), [len(c) for c in clues])
-        pattern = lexicons.bits(owner, np.concatenate(clues), len(clues)) | extra
-        patterns = np.unique(np.concatenate([pattern, [v[0] for v in votes]]))
-        counts = np.zeros(len(patterns))
-        counts[np.searchsorted(patterns, [v[0] for v in votes])] = [v[1] for v in votes]
-        at = np.searchsorted(patterns, pattern)
-        known = tuple(np.bincount(at, weight * len(rows) * (toxic == y), len(patterns)) for y in (1, 0))
-        model = LabelModel(patterns, counts, share, known)
-        target = model.posterior[at]
-        used = np.unique(np.concatenate(clues))
-        x = Rows([np.searchsorted(used, c) for c in clues], [np.ones(len(c)) for c in clues])
-        w, bias = fit(x, target, weight, max(len(used), 1), "logistic", penalty=1e-4, steps=300, rate=1.0)
-        weights[used] = w[: len(used)]
-    # a listed insult the sample never held speaks as the average clue does
-    listed = lexicons.listed
-    seen = weights[listed][weights[listed] > 0]
-    weights[listed[weights[listed] == 0]] = float(seen.mean()) if len(seen) else 3.0 - bias
-    return Classifier(lexicons, weights, bias, model)
-
-
-def _pattern(lexicons: Lexicons, clues: np.ndarray) -> int:
-    """Votes of the lexicon voters from a text's distinct clues (patterns of characters need the text and stay silent)."""
-    flag, kind = lexicons.flag[clues], clues >> (BITS - 2)
-    bits = int(((flag & 2) > 0).any())
-    mined = (flag & 1) > 0
-    for k in range(KINDS):
-        bits |= int((mined & (kind == k)).any()) << (k + 1)
-    return bits | (int((mined & (kind != 0)).sum() >= 2 * len(STEMS)) << 5)
-
-
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 3000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 1500) -> DataFrame:
     """All documents with their columns and ``toxic_score``, ``toxic_predicted``."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, per_class))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    schema = StructType([*docs.schema.fields, StructField("toxic_score", DoubleType()), StructField("toxic_predicted", IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches):
@@ -378,7 +295,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class:
                 [*rows.columns, pa.array(got, pa.float64()), pa.array((got >= threshold).astype(np.int32), pa.int32())],
                 names=[*rows.schema.names, "toxic_score", "toxic_predicted"])
 
-    return docs.mapInArrow(run, f"{kinds}, toxic_score double, toxic_predicted int")
+    return docs.mapInArrow(run, schema)
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
