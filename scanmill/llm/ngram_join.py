@@ -7,10 +7,9 @@ their prefixes: the first ``n - ceil(threshold * n) + 1`` tokens in one order fo
 1. Equal sets are one node, the smallest id of theirs. Only nodes that share a prefix token with another go on.
 2. Similar nodes are partitioned into groups: nodes with the same least prefix token under a hash compare with one leader
    of theirs. Linked ones are a group; a group of thousands is cut into leaves of about ``leaf_size`` members.
-3. The matrix holds (prefix token, leaf). A node queries the leaves of other groups with which it shares a token, if their sizes
-   fit and enough tokens follow the shared one on both sides; the smaller group asks. Each leaf is opened only if the node's
-   overlap with the union of the leaf's tokens reaches the needed part of the node's set; then its members' overlaps are
-   counted exactly.
+3. The matrix holds (prefix token, leaf). A node queries the leaves of other groups with which it shares as many prefix tokens as
+   their sizes ask for; the smaller group asks. Each leaf is opened only if the node's overlap with the union of the leaf's
+   tokens reaches the needed part of the node's set; then its members' overlaps are counted exactly.
 4. Links give classes by min-label spreading with pointer jumping, as joins in the shared folder.
 
 Nothing is lost by leaving out the pairs inside a group: its members are in one class already.
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import NOT_SPACE, Bytes, mix, shingles
+from .bytehash import NOT_SPACE, Bytes, shingles
 from .common import ready, slices, stored
 
 SIGNATURES = "doc_id long, n long, sid binary, prefix array<long>"
@@ -108,18 +107,14 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
     return labels.select("node").join(moving, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
 
-def _packed() -> Column:
-    return F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")
+def _least_shared(n: Column, m: Column, percent: int) -> Column:
+    """Fewest tokens that the prefixes of linked sets of n and m tokens share.
 
-
-def _unpacked(name: str) -> tuple[Column, Column]:
-    return F.shiftright(F.col(name), 32), F.col(name) % (1 << 32)
-
-
-def _can_link(n: Column, pos: Column, m: Column, at: Column, percent: int) -> Column:
-    """Whether sets of n and m tokens that first meet at places pos and at of their orders can reach the threshold."""
-    sizes = (100 * n >= percent * m) & (100 * m >= percent * n)
-    return sizes & ((100 + percent) * F.least(n - pos, m - at) >= percent * (n + m))
+    The overlap is at least ``percent * (n + m) / (100 + percent)``. All of it that lies in the prefix which ends first in the
+    order is in both prefixes, and behind that prefix stand fewer than ``percent * max(n, m) / 100`` tokens of its set.
+    """
+    overlap = F.lit(float(percent)) * (n + m) / F.lit(100.0 + percent)
+    return F.greatest(F.lit(1.0), overlap - F.greatest(n, m) * percent / F.lit(100.0) - F.lit(1e-6))
 
 
 def _pack(sets: list[np.ndarray]) -> pa.Array:
@@ -203,13 +198,10 @@ def jaccard_classes(
     nodes = stored(
         signed.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("node"), F.first("n").alias("n")), "nodes")
     heads = signed.select("doc_id", "sid", "prefix").join(nodes.withColumnRenamed("node", "doc_id"), ["doc_id", "sid"]).select(
-        F.col("doc_id").alias("node"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    # of a pair's smaller set, the first shared token stands among its first n - least + 1
-    leading = F.col("pos") <= F.col("n") - F.ceil(2 * percent * F.col("n") / F.lit(100.0 + percent))
-    counted = heads.groupBy("token").agg(
-        F.count(F.lit(1)).alias("c"), F.min(_packed()).alias("low"), F.max(_packed()).alias("high"), F.max(leading).alias("leads"))
-    two = _can_link(*_unpacked("low"), *_unpacked("high"), percent)
-    counted = counted.where(F.col("leads") & ((F.col("c") > 2) | ((F.col("c") == 2) & two))).select("token")
+        F.col("doc_id").alias("node"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token")).drop("pos")
+    counted = heads.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("low"), F.max("n").alias("high"))
+    # a token of two sets whose sizes can't link tells nothing
+    counted = counted.where((F.col("c") > 2) | ((F.col("c") == 2) & (100 * F.col("low") >= percent * F.col("high")))).select("token")
     # stored, so that both sides of the join are plain shuffles, which AQE splits where a token is hot
     counted = stored(counted, "shared-tokens")
     postings = stored(heads.join(counted, "token"), "postings")
@@ -221,8 +213,10 @@ def jaccard_classes(
             yield pa.RecordBatch.from_arrays(
                 [part.column("node"), pa.array([len(s) for s in sets], pa.int64()), _pack(sets)], names=["node", "n", "tokens"])
 
-    texts = rows.join(asked.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("doc_id").alias("node"), "text")
-    sets = stored(texts.mapInArrow(gather, SETS), "token-sets")
+    def fetch(nodes: DataFrame) -> DataFrame:
+        """Token sets of the nodes, from their whole texts."""
+        texts = rows.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("doc_id").alias("node"), "text")
+        return stored(texts.mapInArrow(gather, SETS), "token-sets")
 
     # groups: one leader for the nodes with the same least token under each hash
     keys = [F.min(F.xxhash64("token", F.lit(k))).alias(f"key{k}") for k in range(seeds)]
@@ -231,7 +225,13 @@ def jaccard_classes(
     leader = keyed.groupBy("seed", "key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
     pairs = keyed.join(leader.drop("size"), ["seed", "key"]).where(
         (F.col("node") != F.col("lead.node")) & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")))
-    pairs = stored(pairs.select("node", F.col("lead.node").alias("leaf")).distinct(), "leader-pairs")
+    pairs = pairs.select("node", F.col("lead.node").alias("leaf")).distinct()
+    other = postings.select(F.col("node").alias("leaf"), "token", F.col("n").alias("m"))
+    met = pairs.join(postings.select("node", "token", "n"), "node").join(other, ["leaf", "token"])
+    met = met.groupBy("node", "leaf", "n", "m").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = met.where(F.col("shared") >= _least_shared(F.col("n"), F.col("m"), percent)).select("node", "leaf")
+    pairs = stored(pairs.distinct(), "leader-pairs")
+    sets = fetch(pairs.select("node").union(pairs.select("leaf")).distinct())
     zero = F.lit(0).alias("salt")
     ask = pairs.join(sets, "node").select("leaf", F.pmod("node", F.lit(64)).cast("int").alias("salt"), "node", "tokens")
     salts = pairs.select("leaf", F.pmod("node", F.lit(64)).cast("int").alias("salt")).distinct()
@@ -245,22 +245,27 @@ def jaccard_classes(
     chunks = F.ceil(F.col("members") / F.lit(float(leaf_size)))
     placed = stored(placed.withColumn("leaf", F.xxhash64("comp", F.pmod(F.xxhash64("node"), chunks))), "leaves")
     marked = postings.join(placed, "node")
-    matrix = marked.groupBy("token", "leaf", "comp", "members").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    matrix = marked.groupBy("token", "leaf", "comp", "members").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     # tokens of one group only ask nothing
     cells = matrix.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
     cells = stored(cells, "cells")
     matrix = stored(matrix.join(cells, "token"), "matrix")
     asks = marked.join(cells, "token").select(
-        "token", "node", F.col("comp").alias("own"), F.col("members").alias("own_members"), F.col("n").alias("own_n"), "pos")
+        "token", "node", F.col("comp").alias("own"), F.col("members").alias("own_members"), F.col("n").alias("own_n"))
     smaller = (F.col("own_members") < F.col("members")) | ((F.col("own_members") == F.col("members")) & (F.col("own") < F.col("comp")))
-    # sizes fit, and what follows the shared token on both sides suffices
     fits = (100 * F.col("own_n") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("own_n"))
-    fits = fits & ((100 + percent) * F.least(F.col("own_n") - F.col("pos"), "rest") >= percent * (F.col("own_n") + F.col("low")))
-    candidates = stored(
-        asks.join(matrix, "token").where((F.col("own") != F.col("comp")) & smaller & fits).select("node", "leaf").distinct(), "candidates")
+    met = asks.join(matrix, "token").where((F.col("own") != F.col("comp")) & smaller & fits)
+    met = met.groupBy("node", "leaf", F.col("own_n").alias("n")).agg(
+        F.count(F.lit(1)).alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # of the leaf's sizes, the most lopsided ones ask for the fewest shared tokens
+    least = F.least(
+        _least_shared(F.col("n"), F.greatest(F.col("low"), F.col("n") * percent / 100.0), percent),
+        _least_shared(F.col("n"), F.least(F.col("high"), F.col("n") * 100.0 / percent), percent))
+    candidates = stored(met.where(F.col("shared") >= least).select("node", "leaf").distinct(), "candidates")
     per_leaf = candidates.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(queries_per_task))).alias("salts"))
     salted = candidates.join(per_leaf, "leaf").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    opened = placed.select("node", "leaf").join(candidates.select("leaf").distinct(), "leaf", "left_semi").select("node")
+    sets = fetch(candidates.select("node").union(opened).distinct())
     ask = salted.join(sets, "node").select("leaf", "salt", "node", "tokens")
     leaves = placed.select("node", "leaf").join(per_leaf, "leaf").withColumn("salt", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))))
     hold = leaves.join(sets, "node").select("leaf", "salt", "node", "tokens")
