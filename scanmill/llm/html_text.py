@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from hashlib import blake2b
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -175,26 +176,35 @@ def _prefix(a: str, b: str) -> int:
     return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+PARSED = "page_id long, url string, host string, path string, text string, places array<byte>, lines array<string>, digests array<long>"
+
+
 def extract(pages: DataFrame, copy_share: float = 0.8, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``page_id, url, text, n_chars, shared_lines`` per page.
+    """``page_id, url, text, n_chars`` per page.
 
-    Ordered by range partitioning on (host, path, page_id), so a host with a third of all pages is cut into many ranges;
-    positions come from one count per range, and each page meets its two neighbours' line digests by position, a unique
-    key. Neither step gathers a host.
+    A page is parsed once; its text is stored if a container gives it, or else its lines. What is ordered and joined is the digests
+    of the lines: by range partitioning on (host, path, page_id), so a host with a third of all pages is cut into many
+    ranges; positions come from one count per range, and each page meets its two neighbours by position, a unique key.
+    Neither step gathers a host. Only lines of pages without a container are shuffled.
     """
     ready(pages.sparkSession)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches, "html"):
-            places, lines = [], []
+            texts, places, lines, digests = [], [], [], []
             for html in rows.column("html").to_pylist():
                 got = PageLines().read(html) if html else []
-                places.append([p for p, _ in got])
-                lines.append([t for _, t in got])
+                main = [t for p, t in got if p == MAIN]
+                whole = main or not got
+                texts.append("\n\n".join(main) if whole else None)
+                places.append(None if whole else [p for p, _ in got])
+                lines.append(None if whole else [t for _, t in got])
+                digests.append([int.from_bytes(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for _, t in got])
             yield pa.RecordBatch.from_arrays(
                 [rows.column(c) for c in ("page_id", "url", "host", "path")]
-                + [pa.array(places, pa.list_(pa.int8())), pa.array(lines, pa.list_(pa.string()))],
-                names=["page_id", "url", "host", "path", "places", "lines"])
+                + [pa.array(texts, pa.string()), pa.array(places, pa.list_(pa.int8())), pa.array(lines, pa.list_(pa.string())),
+                   pa.array(digests, pa.list_(pa.int64()))],
+                names=["page_id", "url", "host", "path", "text", "places", "lines", "digests"])
 
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
@@ -202,43 +212,44 @@ def extract(pages: DataFrame, copy_share: float = 0.8, id_col: str = "page_id",
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), path.alias("path"),
         F.col(html_col).cast("string").alias("html"))
-    kinds = "page_id long, url string, host string, path string, places array<byte>, lines array<string>"
-    parsed = stored(rows.mapInArrow(parse, kinds), "page-lines")
-    ordered = parsed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    ordered = stored(ordered.withColumns({"range": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "pages-by-url")
-    ranges = ordered.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
+    # the number of a row is stored with it, so it stays what it is
+    parsed = stored(rows.mapInArrow(parse, PARSED).withColumn("row", F.monotonically_increasing_id()), "page-lines")
+    small = parsed.select("row", "host", "path", "page_id", "digests")
+    ordered = small.repartitionByRange("host", "path", "page_id", "row").sortWithinPartitions("host", "path", "page_id", "row")
+    ordered = stored(ordered.withColumns({"range": F.spark_partition_id(), "step": F.monotonically_increasing_id()}), "pages-by-url")
+    ranges = ordered.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min("step").alias("first"))
     before, at = [], 0
     for r in ranges.orderBy("range").collect():  # one row per range
         before.append((r["range"], r["first"], at))
         at += r["n"]
-    spark = pages.sparkSession
-    offsets = spark.createDataFrame(before, "range int, first long, before long")
-    placed = ordered.join(F.broadcast(offsets), "range").withColumn("at", F.col("before") + F.col("row") - F.col("first"))
-    digests = placed.select("at", "host", "path", F.transform("lines", lambda x: F.xxhash64(x)).alias("digests"))
-    side = lambda step, name: digests.select(
+    offsets = pages.sparkSession.createDataFrame(before, "range int, first long, before long")
+    placed = ordered.join(F.broadcast(offsets), "range").withColumn("at", F.col("before") + F.col("step") - F.col("first"))
+    side = lambda step, name: placed.select(
         (F.col("at") + step).alias("at"), F.struct("host", "path", "digests").alias(name))
-    joined = placed.withColumn("digests", F.transform("lines", lambda x: F.xxhash64(x)))
-    joined = joined.join(side(1, "earlier"), "at", "left").join(side(-1, "later"), "at", "left")
+    paired = placed.join(side(1, "earlier"), "at", "left").join(side(-1, "later"), "at", "left")
 
-    def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, shared = [], []
-            for r in batch.select(["host", "path", "places", "lines", "digests", "earlier", "later"]).to_pylist():
+            shared = []
+            for r in batch.select(["host", "path", "digests", "earlier", "later"]).to_pylist():
                 near = [x for x in (r["earlier"], r["later"]) if x and x["host"] == r["host"]]
-                gone: set[int] = set()
-                if near:
-                    best = max(near, key=lambda x: _prefix(x["path"], r["path"]))
-                    gone = set(common_subsequence(r["digests"], best["digests"]))
-                shared.append(len(gone))
-                keep = [k for k, p in enumerate(r["places"]) if p == MAIN]
-                if not keep:
-                    open_lines = [k for k, p in enumerate(r["places"]) if p == OPEN]
-                    copy = len(gone.intersection(open_lines)) >= copy_share * len(open_lines)
-                    keep = open_lines if copy else [k for k in open_lines if k not in gone]
-                texts.append("\n\n".join(r["lines"][k] for k in keep))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()),
-                 pa.array(shared, pa.int64())], names=["page_id", "url", "text", "n_chars", "shared_lines"])
+                best = max(near, key=lambda x: _prefix(x["path"], r["path"])) if near else None
+                shared.append(common_subsequence(r["digests"], best["digests"]) if best else [])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(shared, pa.list_(pa.int32()))], names=["row", "shared"])
 
-    return joined.select("page_id", "url", "host", "path", "places", "lines", "digests", "earlier", "later").mapInArrow(
-        difference, "page_id long, url string, text string, n_chars long, shared_lines long")
+    aligned = paired.select("row", "host", "path", "digests", "earlier", "later").mapInArrow(align, "row long, shared array<int>")
+    aligned = aligned.where(F.size("shared") > 0)
+
+    def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for places, lines, shared in zip(*(batch.column(c).to_pylist() for c in ("places", "lines", "shared"))):
+                gone, stand = set(shared or ()), [k for k, p in enumerate(places) if p == OPEN]
+                copy = len(gone.intersection(stand)) >= copy_share * len(stand)
+                texts.append("\n\n".join(lines[k] for k in stand if copy or k not in gone))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    loose = parsed.where("text is null").join(aligned, "row", "left").select("page_id", "url", "places", "lines", "shared")
+    loose = loose.mapInArrow(difference, "page_id long, url string, text string")
+    out = parsed.where("text is not null").select("page_id", "url", "text").unionByName(loose)
+    return out.withColumn("n_chars", F.length("text").cast("long"))
