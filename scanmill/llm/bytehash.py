@@ -9,8 +9,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from .memory import remembered
+
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -33,16 +34,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    known = _powers.get(base)
+    powers = remembered("powers")
+    known = powers.get(base)
     if known is None or len(known[0]) < n:
-        size = max(n, 1 << 22)
+        size = max(n, 5 << 19)
         inverse = np.uint64(pow(int(BASES[base]), -1, 1 << 64))
         up = np.full(size, BASES[base], dtype=np.uint64)
         down = np.full(size, inverse, dtype=np.uint64)
         up[0] = down[0] = 1
         known = (np.multiply.accumulate(up), np.multiply.accumulate(down))
         if size <= 1 << 23:  # longer ones are made for one text and let go
-            _powers[base] = known
+            powers[base] = known
     return known
 
 

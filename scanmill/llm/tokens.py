@@ -8,13 +8,14 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from .memory import remembered
+
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: splitting here never cuts a word of the tokenizer: its pattern has no white space inside a word
 _CUT = re.compile("[ \t\n\r\f\v]+")
 _UNSURE = re.compile("[\x1c-\x1f]")
 #: words a worker remembers, about 250 MB
 _MEMORY = 1_200_000
-_encoders: dict[str, "WordEncoder"] = {}
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -78,6 +79,7 @@ class WordEncoder:
 
 
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    known = remembered("encoders")
+    if path not in known:
+        known[path] = WordEncoder(path)
+    return known[path]
