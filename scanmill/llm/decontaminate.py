@@ -2,16 +2,18 @@
 
 1. Words (letters only, lower case) are hashed to ``2**BITS`` terms. Document frequencies are counted over all blocks of 32 words of all
    documents and summed per term, a table of fixed size. Terms of more than a tenth of the blocks weigh nothing.
-2. The TF-IDF matrix of the benchmark's passages gets a distributed randomised SVD: each task multiplies its rows with a random
-   block, partial sums are added per term, and a second round sharpens the basis. Its rank is at most ``rank``.
+2. The benchmark is dealt into blocks of about ``rank`` items, and the TF-IDF matrix of each gets a distributed randomised SVD: each
+   task multiplies its rows with a random block, partial sums are added per term, and a second round sharpens the basis. A block's
+   rank is the number of its different texts, so the basis spans all of them and no item loses weight in it.
 3. Every document is read whole, as windows of two blocks that overlap by one. A window and an item are candidates if their cosine
-   reaches ``least_cosine``; the product is taken in the latent space, the window's length in the full one.
+   reaches ``least_cosine``, or if their product is half of what it is when one holds the other: copies of items that are far
+   shorter or far longer than a window have a small cosine.
 4. The words around a candidate are aligned with the item by longest common subsequence. It is a leak if the share of the item's
    words found in order reaches ``sure``, or reaches ``likely`` and the item's answer (column ``answer``, else its last
    sentence) is found in order too.
 
-The benchmark is taken in blocks of ``block_items`` items, each with a pass over the documents, so what is sent to the tasks has
-a bound that grows with neither table. Documents are not shuffled at all.
+A pass over the documents searches the blocks of up to ``block_items`` items and about ``PASS_BYTES`` of bases, so what is sent to
+the tasks has a bound that grows with neither table. Documents are not shuffled at all.
 
 Rows and ties: null and empty texts match nothing, nor do items without a word. An item shorter than a window needs all its
 words in it or beside it. Rows that repeat an id are searched each on its own; of several places of an item in a document the best
@@ -34,6 +36,8 @@ from .html_text import common_subsequence
 
 BITS = 18
 BLOCK = 32
+#: bytes of latent places that one pass over the documents takes along; one larger block is a pass of its own
+PASS_BYTES = 64 << 20
 LEAKS = "doc_id long, item_id long, cosine double, lcs double, answer_found boolean, word_start int, word_stop int"
 _SENTENCE = re.compile(r"[^.!?\n]*\w[^.!?\n]*")
 
@@ -94,16 +98,17 @@ def _tfidf(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return (cell >> BITS)[used], term[used], (tf * idf[term])[used]
 
 
-def randomised_basis(items: DataFrame, idf: np.ndarray, rank: int, rounds: int = 2, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Terms in use and an orthonormal basis (terms x rank) of the leading right singular vectors of the items' matrix.
+def randomised_bases(
+    items: DataFrame, idf: np.ndarray, ranks: dict[int, int], rounds: int = 2, seed: int = 7
+) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per block: terms in use and an orthonormal basis (terms x rank) of the leading right singular vectors of its items' matrix.
 
-    Each round is one job: tasks add up A'(A B) over their rows, by term; only sums per term reach the driver.
+    Each round is one job for all blocks: tasks add up A'(A B) over their rows, by block and term; only sums reach the driver.
     """
     spark = items.sparkSession
-    terms: np.ndarray | None = None
-    basis: np.ndarray | None = None
+    bases: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def start_of(term: np.ndarray) -> np.ndarray:
+    def start_of(term: np.ndarray, rank: int) -> np.ndarray:
         """Random rows that depend on the term alone, so every task draws the same ones."""
         column = np.arange(rank, dtype=np.uint64)
         x = term.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (column + np.uint64(seed)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -113,25 +118,28 @@ def randomised_basis(items: DataFrame, idf: np.ndarray, rank: int, rounds: int =
         return x.astype(np.float64) / 2.0**63 - 1.0
 
     for _ in range(rounds):
-        known = None if terms is None else spark.sparkContext.broadcast((terms, basis))
+        known = spark.sparkContext.broadcast(bases)
 
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in slices(batches):
-                row, term, weight = _tfidf(rows.column("text"), idf)
-                if not len(row):
-                    continue
-                if known is None:
-                    right = start_of(term)
-                else:
-                    right = known.value[1][np.searchsorted(known.value[0], term)]
-                edge = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                product = np.add.reduceat(right * weight[:, None], edge, axis=0)
-                back = product[np.cumsum(np.append(False, row[1:] != row[:-1]))] * weight[:, None]
-                order = np.argsort(term, kind="stable")
-                first = np.flatnonzero(np.append(True, np.diff(term[order]) != 0))
-                sums = np.add.reduceat(back[order], first, axis=0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(term[order][first], pa.int32()), pa.array([s.tobytes() for s in sums], pa.binary())], names=["term", "sums"])
+                blocks = rows.column("block").to_numpy()
+                for at in np.unique(blocks).tolist():
+                    row, term, weight = _tfidf(rows.column("text").filter(pa.array(blocks == at)), idf)
+                    if not len(row):
+                        continue
+                    if at in known.value:
+                        right = known.value[at][1][np.searchsorted(known.value[at][0], term)]
+                    else:
+                        right = start_of(term, ranks[at])
+                    edge = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                    product = np.add.reduceat(right * weight[:, None], edge, axis=0)
+                    back = product[np.cumsum(np.append(False, row[1:] != row[:-1]))] * weight[:, None]
+                    order = np.argsort(term, kind="stable")
+                    first = np.flatnonzero(np.append(True, np.diff(term[order]) != 0))
+                    sums = np.add.reduceat(back[order], first, axis=0)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(first), at), pa.int32()), pa.array(term[order][first], pa.int32()),
+                         pa.array([s.tobytes() for s in sums], pa.binary())], names=["block", "term", "sums"])
 
         def add(groups: pa.Table) -> pa.Table:
             term = groups.column("term").to_numpy()
@@ -139,16 +147,25 @@ def randomised_basis(items: DataFrame, idf: np.ndarray, rank: int, rounds: int =
             order = np.argsort(term, kind="stable")
             first = np.flatnonzero(np.append(True, np.diff(term[order]) != 0))
             sums = np.add.reduceat(value[order], first, axis=0)
-            return pa.table({"term": pa.array(term[order][first], pa.int32()), "sums": pa.array([s.tobytes() for s in sums], pa.binary())})
+            return pa.table({
+                "block": groups.column("block").slice(0, len(first)), "term": pa.array(term[order][first], pa.int32()),
+                "sums": pa.array([s.tobytes() for s in sums], pa.binary())})
+
+        parts = items.select("block", "text").mapInArrow(multiply, "block int, term int, sums binary")
+        got = parts.groupBy("block", F.pmod("term", F.lit(64))).applyInArrow(add, "block int, term int, sums binary").collect()
+        sums: dict[int, list] = {}
+        for r in sorted(got, key=lambda r: (r["block"], r["term"])):
+            sums.setdefault(r["block"], []).append(r)
+        bases = {
+            at: (np.array([r["term"] for r in rows], dtype=np.int64), np.linalg.qr(np.array([np.frombuffer(r["sums"]) for r in rows]))[0])
+            for at, rows in sums.items()}
+    return bases
 
-        parts = items.select("text").mapInArrow(multiply, "term int, sums binary")
-        got = parts.groupBy(F.pmod("term", F.lit(256))).applyInArrow(add, "term int, sums binary").collect()
-        if not got:
-            return np.zeros(0, np.int64), np.zeros((0, 1))
-        got.sort(key=lambda r: r["term"])
-        terms = np.array([r["term"] for r in got], dtype=np.int64)
-        basis, _ = np.linalg.qr(np.array([np.frombuffer(r["sums"]) for r in got]))
-    return terms, basis
+
+def randomised_basis(items: DataFrame, idf: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Terms in use and basis of items that are one block."""
+    bases = randomised_bases(items.withColumn("block", F.lit(0)), idf, {0: rank})
+    return bases.get(0, (np.zeros(0, np.int64), np.zeros((0, 1))))
 
 
 class Items:
@@ -168,8 +185,20 @@ class Items:
         place = np.zeros((len(rows), basis.shape[1]))
         np.add.at(place, row, basis[np.searchsorted(terms, term)] * weight[:, None])
         length = np.sqrt(np.bincount(row, weights=weight**2, minlength=len(rows)))
+        self.length = length.astype(np.float32)
         self.place = (place / np.maximum(length, 1e-9)[:, None]).astype(np.float32)
 
+    def places(self, term: np.ndarray, block: np.ndarray, total: int) -> np.ndarray:
+        """Latent place of every block of words."""
+        slot = self.slot[term]
+        used = np.flatnonzero(slot >= 0)
+        place = np.zeros((total, self.latent.shape[1]), dtype=np.float32)
+        for a in range(0, len(used), 100_000):  # bounds the rows gathered at once
+            part = used[a : a + 100_000]
+            edge = np.flatnonzero(np.append(True, np.diff(block[part]) != 0))
+            place[block[part][edge]] += np.add.reduceat(self.latent[slot[part]], edge, axis=0)
+        return place
+
     @staticmethod
     def _answer(row) -> np.ndarray:
         text = row["answer"] if "answer" in row and row["answer"] else None
@@ -185,53 +214,51 @@ def _share(want: np.ndarray, have: np.ndarray) -> tuple[float, int, int]:
     return (len(at) / len(want), at[0], at[-1] + 1) if at else (0.0, 0, 0)
 
 
-def search(docs: DataFrame, items: Items, least_cosine: float, likely: float, sure: float) -> DataFrame:
+def search(docs: DataFrame, items: list[Items], least_cosine: float, likely: float, sure: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it = shared.value
         for rows in slices(batches):
             hashed, term, doc = word_terms(rows.column("text"))
             if not len(doc):
                 continue
             block, first, blocks = blocks_of(doc, rows.num_rows)
             total = int(blocks.sum())
-            slot = it.slot[term]
-            used = np.flatnonzero(slot >= 0)
-            place = np.zeros((total, it.latent.shape[1]), dtype=np.float32)
-            for a in range(0, len(used), 100_000):  # bounds the rows gathered at once
-                part = used[a : a + 100_000]
-                edge = np.flatnonzero(np.append(True, np.diff(block[part]) != 0))
-                place[block[part][edge]] += np.add.reduceat(it.latent[slot[part]], edge, axis=0)
-            length = np.bincount(block, weights=it.idf[term] ** 2, minlength=total)
             last = np.zeros(total, dtype=bool)
             last[(first + blocks - 1)[blocks > 0]] = True
             pair = np.where(last, np.arange(total), np.arange(total) + 1).clip(max=total - 1)
-            place += np.where(last[:, None], 0, place[pair])
+            length = np.bincount(block, weights=shared.value[0].idf[term] ** 2, minlength=total)
             length += np.where(last, 0, length[pair])
-            cosine = (place @ it.place.T) / np.sqrt(np.maximum(length, 1e-9))[:, None]
-            window, item = np.nonzero(cosine >= least_cosine)
-            if not len(window):
-                continue
+            length = np.sqrt(np.maximum(length, 1e-9))[:, None]
             starts = np.searchsorted(block, np.arange(total + 1))
-            owner = np.searchsorted(first + blocks, window, side="right")
             ends = np.append(np.searchsorted(doc, np.arange(rows.num_rows)), len(doc))
-            best: dict[tuple[int, int], tuple] = {}
-            for w, k, d in zip(window.tolist(), item.tolist(), owner.tolist()):
-                want = it.words[k]
-                if not len(want):
-                    continue
-                low = max(int(ends[d]), int(starts[w]) - len(want))
-                high = min(int(ends[d + 1]), int(starts[w]) + 2 * BLOCK + len(want))
-                share, a, z = _share(want, hashed[low:high])
-                if share < likely:
-                    continue
-                answer = len(it.answers[k]) > 0 and _share(it.answers[k], hashed[low:high])[0] >= 0.8
-                if share >= sure or answer:
-                    row = (share, -(low + a), float(cosine[w, k]), answer, low + a - int(ends[d]), low + z - int(ends[d]))
-                    best[d, k] = max(best.get((d, k), row), row)
+            best: dict[tuple[int, int, int], tuple] = {}
+            for part, it in enumerate(shared.value):
+                place = it.places(term, block, total)
+                place += np.where(last[:, None], 0, place[pair])
+                product = place @ it.place.T  # with the item's direction
+                held = (product >= 0.5 * it.length) & (it.length > 0)
+                holds = (product * it.length >= 0.5 * length**2) & ~last[:, None]
+                window, item = np.nonzero((product >= least_cosine * length) | held | holds)
+                owner = np.searchsorted(first + blocks, window, side="right")
+                for w, k, d in zip(window.tolist(), item.tolist(), owner.tolist()):
+                    want = it.words[k]
+                    if not len(want):
+                        continue
+                    low = max(int(ends[d]), int(starts[w]) - len(want))
+                    high = min(int(ends[d + 1]), int(starts[w]) + 2 * BLOCK + len(want))
+                    if np.isin(want, hashed[low:high]).sum() / len(want) < likely:  # no common subsequence is longer
+                        continue
+                    share, a, z = _share(want, hashed[low:high])
+                    if share < likely:
+                        continue
+                    answer = len(it.answers[k]) > 0 and _share(it.answers[k], hashed[low:high])[0] >= 0.8
+                    if share >= sure or answer:
+                        cosine = float(product[w, k] / length[w, 0])
+                        row = (share, -(low + a), cosine, answer, low + a - int(ends[d]), low + z - int(ends[d]))
+                        best[d, part, k] = max(best.get((d, part, k), row), row)
             ids = rows.column("doc_id").to_pylist()
-            out = [(ids[d], it.ids[k], r[2], r[0], bool(r[3]), r[4], r[5]) for (d, k), r in sorted(best.items())]
+            out = [(ids[d], shared.value[part].ids[k], r[2], r[0], bool(r[3]), r[4], r[5]) for (d, part, k), r in sorted(best.items())]
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays(
@@ -242,6 +269,21 @@ def search(docs: DataFrame, items: Items, least_cosine: float, likely: float, su
     return rows.mapInArrow(find, LEAKS)
 
 
+def passes(sizes: list, block_items: int) -> Iterator[dict[int, int]]:
+    """Blocks with their ranks, as many at a time as one pass over the documents takes along."""
+    group, items, held = {}, 0, 0
+    for r in sizes:
+        rank = r["texts"] + 8  # a few more random directions than texts, so that all of them are met
+        size = min(1 << BITS, r["chars"] // 6 + 1) * rank * 4
+        if group and (items + r["items"] > block_items or held + size > PASS_BYTES):
+            yield group
+            group, items, held = {}, 0, 0
+        group[r["block"]] = rank
+        items, held = items + r["items"], held + size
+    if group:
+        yield group
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, rank: int = 192, least_cosine: float = 0.1, likely: float = 0.55, sure: float = 0.7,
     block_items: int = 2000,
@@ -254,18 +296,25 @@ def leaks(
         columns.append(F.col("answer").cast("string").alias("answer"))
     items = stored(benchmark.select(*columns).withColumn("block", F.lit(0)), "benchmark")
     count = items.count()
-    if count > block_items:
-        items = stored(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(-(-2 * count // block_items)))), "benchmark")
+    full = min(rank, block_items)
+    if count > full:  # blocks are three quarters full on average; one that gets more has a higher rank
+        block = F.pmod(F.xxhash64("item_id", "text"), F.lit(-(-4 * count // (3 * full)))).cast("int")
+        items = stored(items.withColumn("block", block), "benchmark")
     found = spark.createDataFrame([], LEAKS)
     if not count:
         return found
     idf = inverse_frequency(docs)
-    for block in sorted(r["block"] for r in items.select("block").distinct().collect()):
-        some = items.where(F.col("block") == block)
-        terms, basis = randomised_basis(some, idf, rank)
-        if len(terms):
-            rows = sorted(some.collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
-            found = found.unionByName(search(docs, Items(rows, idf, terms, basis), least_cosine, likely, sure))
+    sizes = items.groupBy("block").agg(
+        F.count(F.lit(1)).alias("items"), F.countDistinct("text").alias("texts"), F.sum(F.length("text")).alias("chars"))
+    for group in passes(sizes.orderBy("block").collect(), block_items):  # one row per block
+        some = items.where(F.col("block").isin(list(group)))
+        bases = randomised_bases(some, idf, group)
+        rows: dict[int, list] = {}
+        for r in sorted(some.collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"])):
+            rows.setdefault(r["block"], []).append(r)
+        if bases:
+            found = found.unionByName(
+                search(docs, [Items(rows[at], idf, *basis) for at, basis in sorted(bases.items())], least_cosine, likely, sure))
     return found
 
 

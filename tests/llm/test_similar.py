@@ -240,6 +240,18 @@ def test_latent_cosine_is_the_full_one_at_full_rank(bench):
         assert np.isclose(np.linalg.norm(place), np.linalg.norm(weight[here]))
 
 
+def test_copies_of_thousands_of_items_are_found(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghijkl", k=rng.randint(3, 8))) for _ in range(4000)]
+    items = [words(rng, rng.choice([6, 24, 90]), vocabulary) for _ in range(2500)] + [words(rng, 9000, vocabulary)]
+    rows = [[*words(rng, 40, vocabulary), *items[k], *words(rng, 40, vocabulary)] for k in range(0, 2500, 5)] + [items[-1]]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(rows)], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()}
+    inside = {(d, k) for d, w in enumerate(rows) for k, i in enumerate(items) if " ".join(i) in " ".join(w)}
+    assert len(inside) >= 501 and inside <= got
+
+
 def test_empty_tables(spark, near, bench):
     none, items = near.limit(0), bench[1]
     assert ngram_join.jaccard_classes(none).count() == 0
