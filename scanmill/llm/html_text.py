@@ -3,9 +3,10 @@
 A page is parsed into lines, one per block, each marked by where it stands: inside an ``article`` or ``main`` container, inside
 chrome (menus, headers, footers, asides, forms, adverts, notices, comments, by tag, role or class), or in neither ("open"). Pages
 are ordered by host and path; each is paired with its nearest URL of the same host (the longer common path prefix of its two
-neighbours, the earlier on ties), the lines of the pair are aligned by longest common subsequence, and shared open lines go.
-Lines of a container are never deleted for being shared: an article may be published under two URLs. Nor are open lines deleted if
-nearly all of a page is shared, as then the two pages are copies. The text is the container's lines, or else the open lines left.
+neighbours, the earlier on ties), the lines of the pair are aligned by longest common subsequence, and shared lines go. The text is
+what is left of the container's lines, or else of the open ones.
+An article may be published under two URLs: a neighbour is a copy if what the two do not share is nearly nothing of either, in
+words. Then the other neighbour decides, and a page with no neighbour but copies stays whole.
 
 Rows and ties: a null or empty page has an empty text. Pages that repeat a URL are neighbours in the order of page_id; pages without
 a URL share the host "". Broken markup is read as browsers do in the cases listed at :class:`PageLines`. An empty table gives no
@@ -15,6 +16,7 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -176,35 +178,47 @@ def _prefix(a: str, b: str) -> int:
     return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
-PARSED = "page_id long, url string, host string, path string, text string, places array<byte>, lines array<string>, digests array<long>"
+def is_copy(words: list[int], shared: list[int], copy_share: float) -> bool:
+    """Whether the lines at ``shared`` hold at least ``copy_share`` of the words."""
+    return sum(words[k] for k in shared) >= copy_share * sum(words)
 
 
-def extract(pages: DataFrame, copy_share: float = 0.8, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def shared_lines(page: dict, near: list[dict], copy_share: float) -> list[int]:
+    """Positions of the page's lines that its nearest neighbour which is no copy has too."""
+    for other in sorted(near, key=lambda x: -_prefix(x["path"], page["path"])):
+        shared = common_subsequence(page["digests"], other["digests"])
+        if not is_copy(page["words"], shared, copy_share) or not is_copy(
+                other["words"], common_subsequence(other["digests"], page["digests"]), copy_share):
+            return shared
+    return []
+
+
+PARSED = "page_id long, url string, host string, path string, text binary, words array<int>, digests array<long>"
+
+
+def extract(pages: DataFrame, copy_share: float = 0.95, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` per page.
 
-    A page is parsed once; its text is stored if a container gives it, or else its lines. What is ordered and joined is the digests
-    of the lines: by range partitioning on (host, path, page_id), so a host with a third of all pages is cut into many
-    ranges; positions come from one count per range, and each page meets its two neighbours by position, a unique key.
-    Neither step gathers a host. Only lines of pages without a container are shuffled.
+    A page is parsed once and its text stored, compressed for the last join. What is ordered and joined is the digests of all lines with the words of those that
+    stand in the text (0 for others): by range partitioning on (host, path, page_id), so a host with a third of all pages is cut
+    into many ranges; positions come from one count per range, and each page meets its two neighbours by position, a unique key.
+    Neither step gathers a host. A line of the text holds no line feed, so texts are cut into their lines again at the end.
     """
     ready(pages.sparkSession)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches, "html"):
-            texts, places, lines, digests = [], [], [], []
+            texts, words, digests = [], [], []
             for html in rows.column("html").to_pylist():
                 got = PageLines().read(html) if html else []
-                main = [t for p, t in got if p == MAIN]
-                whole = main or not got
-                texts.append("\n\n".join(main) if whole else None)
-                places.append(None if whole else [p for p, _ in got])
-                lines.append(None if whole else [t for _, t in got])
+                place = MAIN if any(p == MAIN for p, _ in got) else OPEN
+                texts.append(zlib.compress("\n\n".join(t for p, t in got if p == place).encode("utf-8", "replace")))
+                words.append([t.count(" ") + 1 if p == place else 0 for p, t in got])
                 digests.append([int.from_bytes(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for _, t in got])
             yield pa.RecordBatch.from_arrays(
                 [rows.column(c) for c in ("page_id", "url", "host", "path")]
-                + [pa.array(texts, pa.string()), pa.array(places, pa.list_(pa.int8())), pa.array(lines, pa.list_(pa.string())),
-                   pa.array(digests, pa.list_(pa.int64()))],
-                names=["page_id", "url", "host", "path", "text", "places", "lines", "digests"])
+                + [pa.array(texts, pa.binary()), pa.array(words, pa.list_(pa.int32())), pa.array(digests, pa.list_(pa.int64()))],
+                names=["page_id", "url", "host", "path", "text", "words", "digests"])
 
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
@@ -214,7 +228,7 @@ def extract(pages: DataFrame, copy_share: float = 0.8, id_col: str = "page_id",
         F.col(html_col).cast("string").alias("html"))
     # the number of a row is stored with it, so it stays what it is
     parsed = stored(rows.mapInArrow(parse, PARSED).withColumn("row", F.monotonically_increasing_id()), "page-lines")
-    small = parsed.select("row", "host", "path", "page_id", "digests")
+    small = parsed.select("row", "host", "path", "page_id", "words", "digests")
     ordered = small.repartitionByRange("host", "path", "page_id", "row").sortWithinPartitions("host", "path", "page_id", "row")
     ordered = stored(ordered.withColumns({"range": F.spark_partition_id(), "step": F.monotonically_increasing_id()}), "pages-by-url")
     ranges = ordered.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min("step").alias("first"))
@@ -225,31 +239,33 @@ def extract(pages: DataFrame, copy_share: float = 0.8, id_col: str = "page_id",
     offsets = pages.sparkSession.createDataFrame(before, "range int, first long, before long")
     placed = ordered.join(F.broadcast(offsets), "range").withColumn("at", F.col("before") + F.col("step") - F.col("first"))
     side = lambda step, name: placed.select(
-        (F.col("at") + step).alias("at"), F.struct("host", "path", "digests").alias(name))
+        (F.col("at") + step).alias("at"), F.struct("host", "path", "words", "digests").alias(name))
     paired = placed.join(side(1, "earlier"), "at", "left").join(side(-1, "later"), "at", "left")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared = []
-            for r in batch.select(["host", "path", "digests", "earlier", "later"]).to_pylist():
+            gone = []
+            for r in batch.select(["host", "path", "words", "digests", "earlier", "later"]).to_pylist():
                 near = [x for x in (r["earlier"], r["later"]) if x and x["host"] == r["host"]]
-                best = max(near, key=lambda x: _prefix(x["path"], r["path"])) if near else None
-                shared.append(common_subsequence(r["digests"], best["digests"]) if best else [])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(shared, pa.list_(pa.int32()))], names=["row", "shared"])
+                shared = set(shared_lines(r, near, copy_share))
+                standing = [k for k, n in enumerate(r["words"]) if n]
+                gone.append([j for j, k in enumerate(standing) if k in shared])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(gone, pa.list_(pa.int32()))], names=["row", "gone"])
 
-    aligned = paired.select("row", "host", "path", "digests", "earlier", "later").mapInArrow(align, "row long, shared array<int>")
-    aligned = aligned.where(F.size("shared") > 0)
+    aligned = paired.select("row", "host", "path", "words", "digests", "earlier", "later").mapInArrow(align, "row long, gone array<int>")
+    aligned = aligned.where(F.size("gone") > 0)
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for places, lines, shared in zip(*(batch.column(c).to_pylist() for c in ("places", "lines", "shared"))):
-                gone, stand = set(shared or ()), [k for k, p in enumerate(places) if p == OPEN]
-                copy = len(gone.intersection(stand)) >= copy_share * len(stand)
-                texts.append("\n\n".join(lines[k] for k in stand if copy or k not in gone))
+            for packed, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
+                text = zlib.decompress(packed).decode()
+                if gone:
+                    out = set(gone)
+                    text = "\n\n".join(t for j, t in enumerate(text.split("\n\n")) if j not in out)
+                texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    loose = parsed.where("text is null").join(aligned, "row", "left").select("page_id", "url", "places", "lines", "shared")
-    loose = loose.mapInArrow(difference, "page_id long, url string, text string")
-    out = parsed.where("text is not null").select("page_id", "url", "text").unionByName(loose)
+    whole = parsed.select("row", "page_id", "url", "text").join(aligned, "row", "left").select("page_id", "url", "text", "gone")
+    out = whole.mapInArrow(difference, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

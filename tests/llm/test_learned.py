@@ -175,3 +175,12 @@ def test_shared_lines_of_neighbours_go(spark):
     assert got[104]["text"] == "no address" and got[105]["text"] == got[106]["text"] == ""
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_shared_lines_go_inside_containers_too(spark):
+    page = lambda own: f"<nav>Menu</nav><main><p>Subscribe to our letter</p><p>{own}</p><p>All rights reserved</p></main>"
+    rows = [(k, f"http://a.example/p/{k}", page(f"A story of number {k} alone")) for k in range(5)]
+    rows += [(5, "http://a.example/p/2b", page("A story of number 2 alone"))]  # the article of page 2 under another URL
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    assert got == {k: f"A story of number {2 if k == 5 else k} alone" for k in range(6)}
