@@ -184,3 +184,11 @@ def test_shared_lines_go_inside_containers_too(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
     assert got == {k: f"A story of number {2 if k == 5 else k} alone" for k in range(6)}
+
+
+def test_pages_of_much_template_are_no_copies(spark):
+    chrome = "".join(f"<div>Site line {k}</div>" for k in range(10))
+    rows = [(k, f"http://a.example/{k}", f"{chrome}<div>First of {k}</div><div>Second of {k}</div>") for k in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    assert got == {k: f"First of {k}\n\nSecond of {k}" for k in range(4)}
