@@ -33,7 +33,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "__sha": F.unhex(F.md5(text)), "__text": text})
 
 
-def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Units to remove: ``id, sha, start, stop``. A digest is reduced in every task before it is shuffled; on the way
     back a digest that fills a third of all units is split by AQE, as its other side is one row."""
     ready(docs.sparkSession)
@@ -81,7 +81,7 @@ def _spans(repeats: DataFrame) -> DataFrame:
     return grouped.select(F.col("id").alias("__id"), F.col("sha").alias("__sha"), joined.alias("spans"))
 
 
-def mark_units(docs: DataFrame, unit: str = "line", min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mark_units(docs: DataFrame, unit: str = "line", min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All documents with their columns and ``spans`` (removed [start, stop), in order) and ``kept_text``."""
     repeats = repeated_units(docs, unit, min_words, id_col, text_col)
     rows = _keyed(docs, id_col, text_col).join(_spans(repeats), ["__id", "__sha"], "left")
@@ -97,14 +97,14 @@ def mark_units(docs: DataFrame, unit: str = "line", min_words: int = 20, id_col:
     return rows.select(*[docs[c] for c in docs.columns], F.col("__spans").alias("removed_spans"), kept.alias("kept_text"))
 
 
-def drop_units(docs: DataFrame, unit: str = "line", min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_units(docs: DataFrame, unit: str = "line", min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with repeated units taken out of their text; all other columns as they are."""
     out = mark_units(docs.withColumnsRenamed({}), unit, min_words, id_col, text_col)
     changed = F.when(F.size("removed_spans") > 0, F.col("kept_text")).otherwise(F.col(text_col))
     return out.withColumn(text_col, changed).select(docs.columns)
 
 
-def unit_report(docs: DataFrame, unit: str = "line", min_words: int = 20) -> DataFrame:
+def unit_report(docs: DataFrame, unit: str = "line", min_words: int = 5) -> DataFrame:
     """Per document: ``doc_id, n_chars, n_removed, n_spans, removed_spans, kept_sha256``."""
     out = mark_units(docs.select("doc_id", "text"), unit, min_words)
     removed = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda a, x: a + (x["stop"] - x["start"]))

@@ -240,6 +240,28 @@ def test_latent_cosine_is_the_full_one_at_full_rank(bench):
         assert np.isclose(np.linalg.norm(place), np.linalg.norm(weight[here]))
 
 
+def test_short_and_wrapped_lines_go_at_the_production_value(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    short, passage = words(rng, 9, vocabulary), words(rng, 60, vocabulary)
+    wrapped = "\n".join(" ".join(passage[k : k + 12]) for k in range(0, 60, 12))
+    texts = []
+    for d in range(30):
+        own = [" ".join(words(rng, rng.randint(1, 40), vocabulary)) for _ in range(rng.randint(0, 6))] + [" ".join(short), "see also"]
+        texts.append("\n".join(own + [wrapped] * (d % 3 == 0) + [" ".join(words(rng, 7, vocabulary))]))
+    seen, want = set(), {}
+    for d, text in enumerate(texts):
+        kept = []
+        for line in text.splitlines(keepends=True):
+            key = " ".join(line.split())
+            if len(key.split()) < 5 or key not in seen:
+                kept.append(line)
+            seen.add(key)
+        want[d] = hashlib.sha256("".join(kept).encode()).hexdigest()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["kept_sha256"] for r in unit_dedup.unit_report(docs).collect()} == want
+
+
 def test_copies_of_thousands_of_items_are_found(spark):
     rng = random.Random(5)
     vocabulary = ["".join(rng.choices("abcdefghijkl", k=rng.randint(3, 8))) for _ in range(4000)]
