@@ -1,7 +1,7 @@
 """Benchmark passages in documents, also paraphrased: latent semantic retrieval, then subsequence and answer checks.
 
 1. Words (letters only, lower case) are hashed to ``2**BITS`` terms. Document frequencies are counted over all blocks of 32 words of all
-   documents and summed per term, a table of fixed size. Terms of more than a tenth of the blocks weigh nothing.
+   documents and summed per term, a table of fixed size. Every term has a positive weight.
 2. The benchmark is dealt into blocks of about ``rank`` items, and the TF-IDF matrix of each gets a distributed randomised SVD: each
    task multiplies its rows with a random block, partial sums are added per term, and a second round sharpens the basis. A block's
    rank is the number of its different texts, so the basis spans all of them and no item loses weight in it.
@@ -59,11 +59,8 @@ def blocks_of(doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return first[doc] + within // BLOCK, first, blocks
 
 
-def inverse_frequency(docs: DataFrame, max_share: float = 0.1, max_blocks: int = 1000) -> np.ndarray:
-    """log((blocks + 1) / (blocks with the term + 1)) + 0.05 for every term, over all documents.
-
-    Terms in more than ``max_share`` of the blocks, and in more than ``max_blocks``, weigh nothing, as stop words do.
-    """
+def inverse_frequency(docs: DataFrame) -> np.ndarray:
+    """log((blocks + 1) / (blocks with the term + 1)) + 0.05 for every term, over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, df = 0, np.zeros(1 << BITS, dtype=np.int64)
@@ -84,9 +81,7 @@ def inverse_frequency(docs: DataFrame, max_share: float = 0.1, max_blocks: int =
             total = n
         else:
             df[term] = n
-    idf = np.log((total + 1) / (df + 1)) + 0.05
-    idf[df > max(max_share * total, max_blocks)] = 0
-    return idf
+    return np.log((total + 1) / (df + 1)) + 0.05
 
 
 def _tfidf(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,8 +89,7 @@ def _tfidf(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     _, term, doc = word_terms(texts)
     cell, tf = np.unique((doc << BITS) | term, return_counts=True)
     term = cell & ((1 << BITS) - 1)
-    used = idf[term] > 0
-    return (cell >> BITS)[used], term[used], (tf * idf[term])[used]
+    return cell >> BITS, term, tf * idf[term]
 
 
 def randomised_bases(

@@ -274,6 +274,16 @@ def test_copies_of_thousands_of_items_are_found(spark):
     assert len(inside) >= 501 and inside <= got
 
 
+def test_a_large_group_of_copies_of_an_item_is_found(spark):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefghijkl", k=rng.randint(3, 8))) for _ in range(2000)]
+    item = " ".join(words(rng, 30, vocabulary))
+    rows = [(d, item if d < 1100 else " ".join(words(rng, 60, vocabulary))) for d in range(3300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = decontaminate.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {r["doc_id"] for r in got.collect()} == set(range(1100))
+
+
 def test_empty_tables(spark, near, bench):
     none, items = near.limit(0), bench[1]
     assert ngram_join.jaccard_classes(none).count() == 0
