@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_text, langid, ngram_join, packing, suffix_dedup, token_frames, toxicity, unit_dedup
+from . import (
+    decontaminate, exact_dedup, html_text, langid, mixing, ngram_join, packing, suffix_dedup, token_frames, toxicity, unit_dedup,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +80,41 @@ def op8(spark, sf_dir):
 @query("op10_unit_dedup")
 def op10(spark, sf_dir):
     return unit_dedup.unit_report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_mixing", r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS draw
+  FROM documents),
+s AS (
+  SELECT source, rank, source_size, CASE rank % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS weight
+  FROM (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
+        FROM d GROUP BY source)),
+l AS (
+  SELECT source_size, weight, 3 * source_size / weight::DOUBLE AS ratio, rank,
+         sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER
+           (ORDER BY 3 * source_size / weight::DOUBLE, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+         sum(weight) OVER (ORDER BY 3 * source_size / weight::DOUBLE, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share
+  FROM s),
+v AS (SELECT rest, share FROM l WHERE 3 * source_size * share >= weight * rest ORDER BY ratio, rank LIMIT 1),
+t AS (
+  SELECT s.*, CASE WHEN 3 * source_size * share < weight * rest THEN (3 * source_size)::DOUBLE
+                   ELSE weight::DOUBLE * rest::DOUBLE / share::DOUBLE END AS target
+  FROM s, v),
+p AS (
+  SELECT doc_id, size, draw, rank, source_size, target,
+         sum(size) OVER (PARTITION BY rank ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS served
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (
+  SELECT *, sum(size) OVER (ORDER BY (pass * source_size + served)::DOUBLE / target, rank, pass, draw, served
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start
+  FROM p, (VALUES (0), (1), (2)) AS r(pass) WHERE size > 0),
+b AS (SELECT sum(size) AS budget FROM d)
+SELECT doc_id, size, source_size, target, sum(greatest(0, least(size, budget - start)))::BIGINT AS taken
+FROM q, b GROUP BY rank, served, doc_id, size, source_size, target
+UNION ALL
+SELECT doc_id, size, source_size, target, 0 FROM p WHERE size = 0
+""")
+def op12(spark, sf_dir):
+    return mixing.mix_report(table(spark, sf_dir, "documents"), weights=(1, 2, 3), limit=3)
