@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    decontaminate, exact_dedup, html_text, langid, mixing, ngram_join, packing, suffix_dedup, token_frames, toxicity, unit_dedup,
+    align, decontaminate, exact_dedup, html_text, langid, merkle, mixing, ngram_join, packing, suffix_dedup, token_frames,
+    toxicity, unit_dedup,
 )
 from .common import table
 
@@ -82,6 +83,57 @@ def op10(spark, sf_dir):
     return unit_dedup.unit_report(table(spark, sf_dir, "documents"))
 
 
+@query("op11_merkle", """
+WITH RECURSIVE f AS (
+  SELECT doc_id, source,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS body,
+         coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') AS low,
+         xor(4294967295, list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)),
+           lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) AS crc
+  FROM documents),
+h AS (SELECT doc_id, source, sha256(head || body) AS leaf, sha256(head || CASE WHEN crc % 5 = 0 THEN low ELSE body END) AS altered FROM f),
+d AS (
+  SELECT doc_id, leaf, altered, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+         count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree
+  FROM h),
+lv AS (
+  SELECT tree, 0 AS level, idx, leaf AS digest, n FROM d
+  UNION ALL
+  SELECT tree, max(level) + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (max(n) + 15) // 16
+  FROM lv WHERE n > 1 GROUP BY tree, idx // 16),
+sub AS (SELECT tree, digest FROM lv WHERE n = 1),
+tv AS (
+  SELECT 0 AS level, tree AS idx, digest, (SELECT count(*) FROM sub) AS n FROM sub
+  UNION ALL
+  SELECT max(level) + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (max(n) + 15) // 16
+  FROM tv WHERE n > 1 GROUP BY idx // 16),
+up AS (
+  SELECT tree, idx AS leaf_idx, 0 AS level, idx, n, altered AS folded, '' AS proof FROM d
+  UNION ALL
+  SELECT up.tree, leaf_idx, max(up.level) + 1, up.idx // 16, (max(up.n) + 15) // 16,
+         sha256(string_agg(CASE WHEN lv.idx = up.idx THEN folded ELSE digest END, '' ORDER BY lv.idx)),
+         any_value(proof) || coalesce(string_agg(digest, '' ORDER BY lv.idx) FILTER (lv.idx <> up.idx), '')
+  FROM up JOIN lv ON lv.tree = up.tree AND lv.level = up.level AND lv.idx // 16 = up.idx // 16
+  WHERE up.n > 1 GROUP BY up.tree, leaf_idx, up.idx),
+crown AS (
+  SELECT tree, leaf_idx, 0 AS level, tree AS idx, (SELECT count(*) FROM sub) AS n, folded, proof FROM up WHERE n = 1
+  UNION ALL
+  SELECT crown.tree, leaf_idx, max(crown.level) + 1, crown.idx // 16, (max(crown.n) + 15) // 16,
+         sha256(string_agg(CASE WHEN tv.idx = crown.idx THEN folded ELSE digest END, '' ORDER BY tv.idx)),
+         any_value(proof) || coalesce(string_agg(digest, '' ORDER BY tv.idx) FILTER (tv.idx <> crown.idx), '')
+  FROM crown JOIN tv ON tv.level = crown.level AND tv.idx // 16 = crown.idx // 16
+  WHERE crown.n > 1 GROUP BY crown.tree, leaf_idx, crown.idx)
+SELECT d.doc_id, d.leaf, sub.digest AS subroot, tv.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+       folded = tv.digest AS verified
+FROM d JOIN sub USING (tree) JOIN crown ON crown.tree = d.tree AND leaf_idx = d.idx AND crown.n = 1 JOIN tv ON tv.n = 1
+""")
+def op11(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 @query("op12_mixing", r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
@@ -118,3 +170,8 @@ SELECT doc_id, size, source_size, target, 0 FROM p WHERE size = 0
 """)
 def op12(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"), weights=(1, 2, 3), limit=3)
+
+
+@query("op13_alignment")
+def op13(spark, sf_dir):
+    return align.report(table(spark, sf_dir, "documents"))
