@@ -3,7 +3,7 @@
 The levels are built from below, one grouping each, and stored as node rows that name their parent and hold their children's
 digests. A recursive query then climbs from the leaves: a step joins the rows under way with their parent's node row, appends the siblings
 found there and folds the digests of the leaves under test. The leaves of one run have all siblings above the run in common, so they
-climb in one row, each with its own fold; what travels is a sixteenth of the proofs.
+climb in one row, each with its own fold; what travels is a sixteenth of the proofs, and digests travel as bytes.
 
 H is the lowercase hex SHA-256 of its inputs one after the other, digests as hex text. A value goes in as its UTF-8 byte count, ``:``
 and the value, a null as ``-``.
@@ -27,9 +27,9 @@ from scanmill.operators.ordinal import with_ordinal
 from .common import fold_ascii, stored
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
-#: nodes of a run, and characters of a digest
+#: nodes of a run, and bytes of a digest
 FAN = 16
-HEX = 64
+WIDTH = 32
 #: tree number of the tree over the sources; the sources' trees count from 0
 TOP = -1
 _ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
@@ -42,7 +42,11 @@ def framed(value: Column) -> Column:
 
 
 def leaf_digest(*values: Column) -> Column:
-    return F.sha2(F.concat(*[framed(v) for v in values]), 256)
+    return F.unhex(F.sha2(F.concat(*[framed(v) for v in values]), 256))
+
+
+def as_text(digests: Column) -> Column:
+    return F.lower(F.hex(digests))
 
 
 def tampered_rows(doc_id: Column) -> Column:
@@ -73,9 +77,10 @@ def _levels(nodes: DataFrame, most: int) -> tuple[list[DataFrame], DataFrame]:
         level, most = level + 1, -(-most // FAN)
         run = F.array_sort(F.collect_list(F.struct("idx", "digest")))
         runs = nodes.where("n > 1").groupBy("tree", F.expr(f"idx div {FAN}").alias("run")).agg(
-            F.array_join(F.transform(run, lambda s: s["digest"]), "").alias("kids"), F.first("n").alias("n"))
+            F.unhex(F.array_join(F.transform(run, lambda s: F.hex(s["digest"])), "")).alias("kids"), F.first("n").alias("n"))
         runs = runs.select(
-            "tree", F.lit(level).alias("level"), F.col("run").alias("idx"), F.sha2("kids", 256).alias("digest"), "kids",
+            "tree", F.lit(level).alias("level"), F.col("run").alias("idx"), F.unhex(F.sha2(as_text(F.col("kids")), 256)).alias("digest"),
+            "kids",
             F.expr(f"(n + {FAN - 1}) div {FAN}").alias("n"))
         nodes = stored(runs, f"merkle-level-{level}")
         built.append(nodes)
@@ -111,21 +116,23 @@ def build(docs: DataFrame, fields: Sequence[str] = FIELDS) -> tuple[DataFrame, D
         F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("idx"), "digest", F.lit(sources).cast("long").alias("n"))
     above, _ = _levels(crown, sources)
     spark = docs.sparkSession
-    inner = spark.createDataFrame([], "tree long, level int, idx long, digest string, kids string, n long")
+    inner = spark.createDataFrame([], "tree long, level int, idx long, digest binary, kids binary, n long")
     for part in built + above:
         inner = inner.unionByName(part)
     nodes = stored(_link(inner, sources), "merkle-nodes")
     return _link(rows.withColumn("level", F.lit(0)), sources), nodes
 
 
+_FOLD = f"""transform({{members}}, m -> named_struct('doc_id', m.doc_id, 'place', m.place, 'folded', unhex(sha2(lower(hex(concat(
+  substring({{kids}}, 1, {WIDTH} * {{place}}), m.folded, substring({{kids}}, {WIDTH} * ({{place}} + 1) + 1)))), 256))))"""
+
 _CLIMB = f"""
 WITH RECURSIVE climb AS (
   SELECT up_tree, up_level, up_idx, place, kids, above, members, subroot, root FROM {{start}}
   UNION ALL
   SELECT n.up_tree, n.up_level, n.up_idx, n.place, c.kids,
-         concat(c.above, substring(n.kids, 1, {HEX} * c.place), substring(n.kids, {HEX} * (c.place + 1) + 1)),
-         transform(c.members, m -> named_struct('doc_id', m.doc_id, 'place', m.place, 'folded',
-           sha2(concat(substring(n.kids, 1, {HEX} * c.place), m.folded, substring(n.kids, {HEX} * (c.place + 1) + 1)), 256))),
+         concat(c.above, substring(n.kids, 1, {WIDTH} * c.place), substring(n.kids, {WIDTH} * (c.place + 1) + 1)),
+         {_FOLD.format(members="c.members", kids="n.kids", place="c.place")},
          coalesce(c.subroot, CASE WHEN n.tree <> {TOP} AND n.n = 1 THEN n.digest END),
          CASE WHEN n.up_level IS NULL THEN n.digest END
   FROM climb c JOIN {{nodes}} n ON c.up_tree = n.tree AND c.up_level = n.level AND c.up_idx = n.idx)
@@ -133,11 +140,6 @@ SELECT kids, above, members, subroot, root FROM climb WHERE up_level IS NULL
 """
 
 
-def _without(kids: str, place: str) -> tuple[Column, Column]:
-    """Digests before and behind a place."""
-    return (F.expr(f"substring({kids}, 1, {HEX} * {place})"), F.expr(f"substring({kids}, {HEX} * ({place} + 1) + 1)"))
-
-
 def climb(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row a run of leaves, arrived at the root: ``kids, above`` (siblings above the run), ``members, subroot, root``."""
     spark = rows.sparkSession
@@ -147,17 +149,15 @@ def climb(rows: DataFrame, nodes: DataFrame) -> DataFrame:
         F.col("up_idx").alias("next_idx"), F.col("place").alias("next_place"))
     alone = rows.where("up_level IS NULL").select(
         F.lit(None).cast("long").alias("up_tree"), F.lit(None).cast("int").alias("up_level"), F.lit(None).cast("long").alias("up_idx"),
-        F.lit(None).cast("int").alias("place"), F.col("digest").alias("kids"), F.lit("").alias("above"),
+        F.lit(None).cast("int").alias("place"), F.col("digest").alias("kids"), F.lit(b"").alias("above"),
         F.array(F.struct("doc_id", F.lit(0).alias("place"), F.col("altered").alias("folded"))).alias("members"),
-        F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root"))
+        F.lit(None).cast("binary").alias("subroot"), F.col("digest").alias("root"))
     runs = rows.where("up_level IS NOT NULL").groupBy("up_tree", "up_level", "up_idx").agg(
         F.collect_list(F.struct("doc_id", "place", F.col("altered").alias("folded"))).alias("members"))
     first = runs.join(parent, ["up_tree", "up_level", "up_idx"])
-    fold = f"""transform(members, m -> named_struct('doc_id', m.doc_id, 'place', m.place, 'folded', sha2(concat(
-        substring(kids, 1, {HEX} * m.place), m.folded, substring(kids, {HEX} * (m.place + 1) + 1)), 256)))"""
     first = first.select(
         F.col("next_tree").alias("up_tree"), F.col("next_level").alias("up_level"), F.col("next_idx").alias("up_idx"),
-        F.col("next_place").alias("place"), "kids", F.lit("").alias("above"), F.expr(fold).alias("members"),
+        F.col("next_place").alias("place"), "kids", F.lit(b"").alias("above"), F.expr(_FOLD.format(members="members", kids="kids", place="m.place")).alias("members"),
         F.when((F.col("up_tree") != TOP) & (F.col("made_n") == 1), F.col("made")).alias("subroot"),
         F.when(F.col("next_level").isNull(), F.col("made")).alias("root"))
     start = stored(first.unionByName(alone), "merkle-start")
@@ -176,8 +176,9 @@ def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     """One row per document: ``doc_id, leaf, subroot, root, proof_sha256, folded_root, verified``."""
     rows = climb(*build(docs, fields)).withColumn("m", F.explode("members"))
     rows = rows.select("kids", "above", "subroot", "root", F.col("m.doc_id"), F.col("m.place"), F.col("m.folded").alias("folded_root"))
-    leaf = F.expr(f"substring(kids, {HEX} * place + 1, {HEX})")
+    leaf = F.expr(f"substring(kids, {WIDTH} * place + 1, {WIDTH})")
+    left, right = F.expr(f"substring(kids, 1, {WIDTH} * place)"), F.expr(f"substring(kids, {WIDTH} * (place + 1) + 1)")
     return rows.select(
-        "doc_id", leaf.alias("leaf"), F.coalesce("subroot", leaf).alias("subroot"), "root",
-        F.sha2(F.concat(*_without("kids", "place"), "above"), 256).alias("proof_sha256"),
-        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+        "doc_id", as_text(leaf).alias("leaf"), as_text(F.coalesce("subroot", leaf)).alias("subroot"), as_text(F.col("root")).alias("root"),
+        F.sha2(as_text(F.concat(left, right, "above")), 256).alias("proof_sha256"),
+        as_text(F.col("folded_root")).alias("folded_root"), (F.col("folded_root") == F.col("root")).alias("verified"))
