@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -73,8 +74,10 @@ class Aligner:
             self.bytes_b.append(
                 bytes([int(piece[3:5], 16)]) if self.b.is_byte(number) else piece.replace(_SPACE, " ").encode())
         self.space_b = [self.b.piece_to_id(_SPACE)]
-        self.shift = np.uint64(pair_bits(len(self.bytes_b)))
-        self.packed = np.dtype("<u4" if pair_bits(len(self.bytes_a)) + pair_bits(len(self.bytes_b)) <= 32 else "<u8")
+        self.sizes_a, self.sizes_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
+        self.names = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
+        self.shift = pair_bits(len(self.bytes_b))
+        self.packed = "I" if pair_bits(len(self.bytes_a)) + self.shift <= 32 else "Q"
         self.known: dict[str, tuple | None] = {}
 
     def align(self, a: list[int], b: list[int], want: bytes) -> tuple | None:
@@ -82,21 +85,28 @@ class Aligner:
         parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
         if b"".join(parts_a) != want or b"".join(parts_b) != want:
             return None
-        if len(a) == 1 and len(b) == 1:
-            return 1, 1, 1, (a[0] << int(self.shift) | b[0]).to_bytes(self.packed.itemsize, "little"), f"{a[0]}|{b[0]}"
-        ends_a = np.cumsum([len(p) for p in parts_a])
-        ends_b = np.cumsum([len(p) for p in parts_b])
         # both cut the same bytes, so every stretch between two cuts of either is one link
-        ends = np.union1d(ends_a, ends_b)
-        ids_a, ids_b = np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)
-        links = (ids_a[np.searchsorted(ends_a, ends)] << self.shift) | ids_b[np.searchsorted(ends_b, ends)]
-        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        stops_a, stops_b = np.searchsorted(ends_a, common) + 1, np.searchsorted(ends_b, common) + 1
-        groups, i, j = [], 0, 0
-        for p, q in zip(stops_a.tolist(), stops_b.tolist()):
-            groups.append(",".join(map(str, a[i:p])) + "|" + ",".join(map(str, b[j:q])))
-            i, j = p, q
-        return len(a), len(b), len(groups), links.astype(self.packed).tobytes(), ";".join(groups)
+        sizes_a, sizes_b, names, shift = self.sizes_a, self.sizes_b, self.names, self.shift
+        links, groups = [], []
+        i, j, from_a, from_b = 0, 0, 0, 0
+        end_a, end_b, last = sizes_a[a[0]], sizes_b[b[0]], len(a)
+        while True:
+            links.append(a[i] << shift | b[j])
+            if end_a < end_b:
+                i += 1
+                end_a += sizes_a[a[i]]
+            elif end_b < end_a:
+                j += 1
+                end_b += sizes_b[b[j]]
+            else:
+                i, j = i + 1, j + 1
+                groups.append(f"{','.join([names[k] for k in a[from_a:i]])}|{','.join([names[k] for k in b[from_b:j]])}")
+                if i == last:
+                    break
+                from_a, from_b = i, j
+                end_a += sizes_a[a[i]]
+                end_b += sizes_b[b[j]]
+        return last, len(b), len(groups), array(self.packed, links).tobytes(), ";".join(groups)
 
     def _ask(self, parts: Iterable[str]) -> dict[str, tuple | None]:
         parts = list(parts)
@@ -138,12 +148,12 @@ def _aligner(path_a: str, path_b: str) -> Aligner:
     return known[path_a, path_b]
 
 
-def _weighed(links: list[bytes], copies: list[int], packed: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+def _weighed(links: list[bytes], copies: list[int], packed: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of a chunk and how many links have them, copies counted."""
     keys = np.frombuffer(b"".join(links), dtype=packed)
     if all(c == 1 for c in copies):
         return np.unique(keys, return_counts=True)
-    weights = np.repeat(np.array(copies, dtype=np.int64), [len(b) // packed.itemsize for b in links])
+    weights = np.repeat(np.array(copies, dtype=np.int64), [len(b) // array(packed).itemsize for b in links])
     order = np.argsort(keys, kind="stable")
     keys, weights = keys[order], weights[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, dtype=np.int64)
@@ -155,6 +165,7 @@ def _encoder(path_a: str, path_b: str, chunk_bytes: int, keep_groups: bool, sche
         aligner = _aligner(path_a, path_b)
         task = TaskContext.get().partitionId()
         chunk, held, links, copies = 0, 0, [], []
+        size = array(aligner.packed).itemsize
 
         def emit(rows: list[dict]) -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -174,7 +185,7 @@ def _encoder(path_a: str, path_b: str, chunk_bytes: int, keep_groups: bool, sche
                     continue
                 rows.append({
                     "chunk": f"{task}-{chunk}", "digest": digest, "n_a": got[0], "n_b": got[1], "n_groups": got[2],
-                    "n_links": len(got[3]) // aligner.packed.itemsize, "groups_sha256": hashlib.sha256(got[4].encode()).hexdigest(),
+                    "n_links": len(got[3]) // size, "groups_sha256": hashlib.sha256(got[4].encode()).hexdigest(),
                     "groups": got[4] if keep_groups else None, "links": got[3]})
                 links.append(got[3])
                 copies.append(n)
