@@ -3,7 +3,7 @@
 from importlib import import_module
 from importlib.util import find_spec
 
-_MODULES = ("warp_queries", "grid_queries", "cost_queries", "metric_queries", "job_queries", "sample_queries")
+_MODULES = ("warp_queries", "grid_queries", "cost_queries", "metric_queries", "job_queries", "sample_queries", "raster_queries")
 
 
 def load_all() -> None:

@@ -82,39 +82,57 @@ def decode_png(data: bytes) -> np.ndarray:
         raise ValueError(f"unsupported PNG: colour type {color}, {bits} bits, interlace {interlaced}")
     step = channels * bits // 8
     raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, 1 + width * step)
-    rows = np.zeros((height, width * step), np.uint8)
-    above = np.zeros(width * step, np.uint8)
-    for y in range(height):
-        above = rows[y] = _unfilter(int(raw[y, 0]), raw[y, 1:], above, step)
+    rows = _unfilter(raw[:, 0], raw[:, 1:].reshape(height, width, step))
     samples = rows.view(">u2") if bits == 16 else rows
     return samples.reshape(height, width, channels)
 
 
-def _unfilter(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
-    """Undo one PNG row filter; bytes wrap around."""
-    if kind == 0:
-        return line
-    if kind == 2:
-        return line + above
-    pixels = line.reshape(-1, step)
-    if kind == 1:
-        return np.cumsum(pixels, axis=0, dtype=np.uint8).reshape(-1)
-    up = above.reshape(-1, step).astype(np.int32)
-    out = np.zeros(pixels.shape, np.int32)
-    left = np.zeros(step, np.int32)
-    corner = np.zeros(step, np.int32)
-    for x in range(len(pixels)):
-        if kind == 3:
-            guess = (left + up[x]) // 2
-        elif kind == 4:
-            base = left + up[x] - corner
-            da, db, dc = abs(base - left), abs(base - up[x]), abs(base - corner)
-            guess = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, up[x], corner))
-        else:
-            raise ValueError(f"unknown PNG filter {kind}")
-        left = out[x] = (pixels[x] + guess) & 255
-        corner = up[x]
-    return out.astype(np.uint8).reshape(-1)
+def _unfilter(kinds: np.ndarray, pixels: np.ndarray) -> np.ndarray:
+    """Undo the PNG row filters of ``pixels`` (height, width, bytes of a pixel); bytes wrap around.
+
+    Filters 3 and 4 need the left neighbour, so a line cannot be undone at once. A pixel needs its left, upper and corner neighbour
+    only, all of earlier anti-diagonals: each anti-diagonal is one step for all its lines, height + width steps in all.
+    """
+    if kinds.max(initial=0) > 4:
+        raise ValueError(f"unknown PNG filter {kinds.max()}")
+    height, width, step = pixels.shape
+    if not (kinds > 2).any():
+        out = np.zeros((height, width * step), np.uint8)
+        above = np.zeros(width * step, np.uint8)
+        for y, kind in enumerate(kinds.tolist()):
+            line = pixels[y]
+            if kind == 1:
+                line = np.cumsum(line, axis=0, dtype=np.uint8)
+            above = out[y] = line.reshape(-1) + above if kind == 2 else line.reshape(-1)
+        return out
+    # one line above and one column on the left are zero; walking down a line and back a column is a fixed stride
+    grid = np.zeros((height + 1, width + 1, step), np.int16)
+    grid[1:, 1:] = pixels
+    flat, row = grid.reshape(-1, step), width + 1
+    kinds = np.concatenate([[0], kinds])[:, None]
+    of = [kinds == k for k in range(5)]
+    for d in range(2, height + width + 1):
+        low, high = max(1, d - width), min(height, d - 1)
+
+        def at(shift: int) -> np.ndarray:
+            first = d + low * width - shift
+            return flat[first : first + (high - low) * width + 1 : width]
+
+        left, up, corner = at(1), at(row), at(row + 1)
+        to_left, to_up = np.abs(up - corner), np.abs(left - corner)
+        to_corner = np.abs(left + up - 2 * corner)
+        nearest = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+        lines = slice(low, high + 1)
+        guess = of[1][lines] * left + of[2][lines] * up + of[3][lines] * ((left + up) >> 1) + of[4][lines] * nearest
+        here = at(0)
+        here += guess
+        here &= 255
+    return grid[1:, 1:].astype(np.uint8).reshape(height, width * step)
+
+
+def _failed(path: str, error: str) -> pd.DataFrame:
+    none = {c: [None] for c in ("ch", "y", "h", "w", "vals")}
+    return pd.DataFrame({"path": [path], **none, "error": [error]}).astype({c: "Int32" for c in ("ch", "y", "h", "w")})
 
 
 def _decode_files(decoder: Decoder) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -136,10 +154,7 @@ def _decode_files(decoder: Decoder) -> Callable[[Iterator[pd.DataFrame]], Iterat
                 try:
                     image = decoder(content)
                 except Exception as exc:  # one bad file must not end the job
-                    yield pd.DataFrame(
-                        {"path": [path], "ch": [None], "y": [None], "h": [None], "w": [None], "vals": [None],
-                         "error": [str(exc) or type(exc).__name__]}
-                    ).astype({"ch": "Int32", "y": "Int32", "h": "Int32", "w": "Int32"})
+                    yield _failed(path, str(exc) or type(exc).__name__)
                     continue
                 yield from rows(path, image)
 
@@ -182,6 +197,9 @@ def read_images(spark: SparkSession, paths, rgb: bool = True) -> DataFrame:
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, h, w, n, data in batch.itertuples(index=False):
+                if h < 1 or w < 1 or n < 1:  # what the source gives for a file it cannot decode
+                    yield _failed(path, "not an image")
+                    continue
                 pixels = np.frombuffer(data, np.uint8).reshape(h, w, n)
                 # blue, green, red, then alpha if there is one
                 order = [2, 1, 0, 3][:n] if rgb and n >= 3 else list(range(n))
