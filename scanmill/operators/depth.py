@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from scanmill.functions.arrays import let
 from scanmill.functions.scalar import uniform
+from scanmill.operators.envelope import forward_interpolate  # noqa: F401
 from scanmill.operators.lookup import lookup_join
 from scanmill.operators.stencil import dilate, sobel, with_rows_around
-from scanmill.session import pin
 
 EDGE_LIMIT = 3.0  # fixed value: gradient magnitude above which a disparity edge is cut
 
@@ -230,100 +230,3 @@ def nearest_fill(lines: DataFrame, hole: str = "hole", fill_value: float | None
     return joined.withColumn(
         "vals", F.when(F.size("__holes") == 0, F.col("vals")).otherwise(filled)
     ).drop("__holes")
-
-
-
-
-# --- scattered points -------------------------------------------------------------------------
-
-TILE = 64  # columns of a line that are searched together
-_ANSWER = "struct<d2:double,sy:int,sx:int,dx:double,dy:double>"
-
-
-def forward_interpolate(flow: DataFrame, fill_value: float = 0.0, first_reach: int = 2) -> DataFrame:
-    """Carry a flow field forward: each pixel takes the flow of the nearest moved pixel.
-
-    ``flow(image_id, y, h, w, dx, dy)`` has one array per component. A pixel moves
-    by its flow and counts if it stays strictly inside the image; ties go to the
-    smaller source (y, x). Images where nothing stays inside get ``fill_value``.
-
-    Lines are searched in tiles of columns. A tile looks at the moved pixels
-    within ``reach`` rows and columns and accepts an answer closer than ``reach``,
-    which nothing further away can beat. Tiles with pixels still open look again
-    with twice the reach, until it covers the image; each round only handles what
-    the round before left open.
-    """
-    cells = F.arrays_zip(F.col("dx").alias("dx"), F.col("dy").alias("dy"))
-
-    def move(c: Column, x: Column) -> Column:
-        return F.struct(
-            (x + c["dx"]).alias("px"), (F.col("y") + c["dy"]).alias("py"),
-            F.col("y").alias("sy"), x.alias("sx"), c["dx"].alias("dx"), c["dy"].alias("dy"),
-        )
-
-    moved = flow.select("image_id", "h", "w", F.explode_outer(F.transform(cells, move)).alias("p"))
-    points = pin(
-        moved.filter("p.px > 0 AND p.px < w AND p.py > 0 AND p.py < h")
-        .groupBy(
-            "image_id", F.floor("p.py").cast("int").alias("row"), F.floor(F.col("p.px") / TILE).cast("int").alias("tile")
-        )
-        .agg(F.collect_list("p").alias("points"))
-    )
-    size = flow.agg(F.max(F.greatest("h", "w"))).first()[0] or 0
-    last_tile = F.floor((F.col("w") - 1) / TILE).cast("int")
-    blank = F.array_repeat(F.lit(None).cast(_ANSWER), F.least(F.lit(TILE), F.col("w") - F.col("tile") * TILE))
-    open_tiles = flow.select("image_id", "y", "h", "w", F.explode(F.sequence(F.lit(0), last_tile)).alias("tile")).withColumn(
-        "best", blank
-    )
-    finished, reach = None, first_reach
-    while True:
-        covers_all = reach >= size
-        searched = pin(_search(open_tiles, points, reach, covers_all))
-        is_open = F.exists("best", lambda b: b.isNull())
-        done = searched if covers_all else searched.filter(~is_open)
-        finished = done if finished is None else finished.unionByName(done)
-        if covers_all:
-            break
-        open_tiles = searched.filter(is_open)
-        if open_tiles.isEmpty():
-            break
-        reach *= 2
-    parts = F.sort_array(F.collect_list(F.struct("tile", "best")))
-    out = finished.groupBy("image_id", "y", "h", "w").agg(F.flatten(F.transform(parts, lambda t: t["best"])).alias("best"))
-    value = lambda name: F.transform("best", lambda b: F.coalesce(b[name], F.lit(fill_value)))
-    return out.select("image_id", "y", "h", "w", value("dx").alias("dx"), value("dy").alias("dy"))
-
-
-def _search(tiles: DataFrame, points: DataFrame, reach: int, covers_all: bool) -> DataFrame:
-    """Fill the open pixels of ``tiles`` with points at most ``reach`` rows and columns away."""
-    span = lambda low, high: F.explode(F.sequence(F.greatest(low, F.lit(0)).cast("int"), high.cast("int")))
-    left = F.floor((F.col("tile") * TILE - reach) / TILE)
-    right = F.least(F.floor((F.col("tile") * TILE + TILE - 1 + reach) / TILE), F.floor((F.col("w") - 1) / TILE))
-    wanted = tiles.select(
-        "image_id", "y", "w", "tile",
-        span(F.col("y") - reach - 1, F.least(F.col("y") + reach, F.col("h") - 1)).alias("row"),
-    ).select("image_id", "y", F.col("tile").alias("of"), "row", span(left, right).alias("tile"))
-    near = (
-        wanted.join(points, ["image_id", "row", "tile"])
-        .groupBy("image_id", "y", F.col("of").alias("tile"))
-        .agg(F.flatten(F.collect_list("points")).alias("__near"))
-    )
-    both = tiles.join(near, ["image_id", "y", "tile"], "left")
-
-    def closest(x: Column, near: Column) -> Column:
-        def distance(p: Column) -> Column:
-            ex, ey = p["px"] - x, p["py"] - F.col("y")
-            return F.struct(
-                (ex * ex + ey * ey).alias("d2"), p["sy"].alias("sy"), p["sx"].alias("sx"), p["dx"].alias("dx"), p["dy"].alias("dy")
-            )
-
-        found = F.array_min(F.transform(near, distance))
-        return found if covers_all else F.when(found["d2"] < reach * reach, found)
-
-    filled = let(
-        F.col("__near"),
-        lambda near: F.transform(
-            "best", lambda b, i: F.coalesce(b, closest(F.col("tile") * TILE + i, near).cast(_ANSWER))
-        ),
-    )
-    return both.withColumn("best", filled).drop("__near")

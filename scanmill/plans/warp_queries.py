@@ -8,6 +8,7 @@ from scanmill.operators.depth import (
     adaptive_disparity,
     confidence,
     cut_edges,
+    forward_interpolate,
     minmax,
     nearest_fill,
     normalize_depth,
@@ -236,3 +237,29 @@ def kept_pixels(spark, sf_dir):
         F.sum(F.size(F.filter("keep", lambda k: k)).cast("long")).alias("kept"),
         F.sum(F.size("keep").cast("long")).alias("pixels"),
     )
+
+
+@query("forward_interpolate", f"""
+WITH fl AS (
+  SELECT vec_id // 64 AS image_id, CAST(vec_id % 64 AS INTEGER) AS y, x,
+         floor((CAST(embedding[x + 1] AS DOUBLE) + 0.6) * 40) / 4 - 6 AS dx,
+         (floor((CAST(embedding[x + 33] AS DOUBLE) + 0.6) * 40) / 4 - 6) * 2 AS dy
+  FROM embeddings, (SELECT CAST(unnest(range(32)) AS INTEGER) AS x)),
+{HT},
+mv AS (
+  SELECT image_id, y, x, x + dx AS px, y + dy AS py, dx, dy FROM fl JOIN ht USING (image_id)
+  WHERE x + dx > 0 AND x + dx < 32 AND y + dy > 0 AND y + dy < h),
+best AS (
+  SELECT f.image_id, f.y, f.x, min(((m.px - f.x) * (m.px - f.x) + (m.py - f.y) * (m.py - f.y)) * 16 * 4096 + m.y * 64 + m.x) AS place
+  FROM fl f JOIN mv m USING (image_id) GROUP BY ALL)
+SELECT b.image_id, b.y, b.x, {r6_sql('m.dx')} AS dx, {r6_sql('m.dy')} AS dy
+FROM best b JOIN mv m ON m.image_id = b.image_id AND m.y * 64 + m.x = CAST(b.place AS BIGINT) % 4096
+""")
+def nearest_moved(spark, sf_dir):
+    """A line of 64 values read as the flow of 32 pixels, in quarter pixels, so that many moved pixels are equally near."""
+    step = lambda part, scale: F.transform(part, lambda v: (F.floor((v + 0.6) * 40) / 4 - 6) * scale)
+    flow = raster(spark, sf_dir).select(
+        "image_id", "y", "h", F.lit(32).alias("w"), step(F.slice("vals", 1, 32), 1).alias("dx"), step(F.slice("vals", 33, 32), 2).alias("dy"))
+    found = forward_interpolate(flow)
+    cells = F.posexplode(F.arrays_zip("dx", "dy")).alias("x", "c")
+    return found.select("image_id", "y", cells).select("image_id", "y", "x", r6(F.col("c.dx")).alias("dx"), r6(F.col("c.dy")).alias("dy"))

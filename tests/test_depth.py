@@ -107,3 +107,41 @@ def test_forward_interpolate_matches_plain_search(spark, size):
 def test_forward_interpolate_when_all_leave(spark):
     df = lines(spark, {0: np.full((3, 4), 99.0)}).select("image_id", "y", "h", "w", F.col("vals").alias("dx"), F.col("vals").alias("dy"))
     assert all(v == 0 for r in forward_interpolate(df).collect() for v in r["dx"] + r["dy"])
+
+
+def flow_of(spark, images):
+    rows = [(k, y, dx.shape[0], dx.shape[1], [float(v) for v in dx[y]], [float(v) for v in dy[y]])
+            for k, (dx, dy) in images.items() for y in range(dx.shape[0])]
+    return spark.createDataFrame(rows, "image_id long, y int, h int, w int, dx array<double>, dy array<double>")
+
+
+@pytest.mark.parametrize("kind", ["steps", "still", "one corner", "one point", "to the middle"])
+def test_forward_interpolate_over_several_bands_with_ties(spark, kind):
+    rng = np.random.default_rng(3)
+    h, w = 150, 23
+    y, x = np.mgrid[0:h, 0:w].astype(float)
+    dx, dy = {
+        "steps": (rng.integers(-16, 17, (h, w)) / 4, rng.integers(-400, 401, (h, w)) / 4),  # many equally near points
+        "still": (np.zeros((h, w)), np.zeros((h, w))),
+        "one corner": (np.where((x < 3) & (y < 3), 0.25, 900.0), np.full((h, w), 0.5)),
+        "one point": (11.5 - x, 75.0 - y),
+        "to the middle": ((11.5 - x) * 0.999, (75.0 - y) * 0.999),
+    }[kind]
+    out = {r["y"]: r for r in forward_interpolate(flow_of(spark, {5: (dx, dy)})).collect()}
+    px, py = (x + dx).ravel(), (y + dy).ravel()
+    inside = np.flatnonzero((px > 0) & (px < w) & (py > 0) & (py < h))
+    assert sorted(out) == list(range(h))
+    for line in range(h):
+        for column in range(w):
+            d2 = (px[inside] - column) ** 2 + (py[inside] - line) ** 2
+            best = inside[np.argmin(d2)]  # sources are in the order of (y, x)
+            assert out[line]["dx"][column] == dx.ravel()[best] and out[line]["dy"][column] == dy.ravel()[best]
+
+
+def test_forward_interpolate_keeps_images_apart_and_gathers_no_image(spark):
+    rng = np.random.default_rng(4)
+    images = {k: (rng.normal(size=(n, 9)), rng.normal(size=(n, 9))) for k, n in ((1, 3), (2, 70))}
+    df = forward_interpolate(flow_of(spark, images))
+    assert {(r["image_id"], r["y"]) for r in df.collect()} == {(k, y) for k, (dx, _) in images.items() for y in range(len(dx))}
+    assert "collect_list" not in df._jdf.queryExecution().toString()
+    assert forward_interpolate(flow_of(spark, {})).count() == 0
