@@ -5,8 +5,9 @@ one space between them. Of units with one 128-bit digest the occurrence with the
 one is removed with the line feed behind it. Offsets are code points of the original text.
 
 Rows and ties: null and empty texts have no units. Rows that repeat both id and text are one occurrence and get the same result.
-A row without an id ranks behind all others. Empty tables give empty results; other columns pass through untouched in
-:func:`drop_units` and are ignored in :func:`repeated_units`.
+A row without an id ranks behind all others. Empty tables give empty results; other columns pass through untouched, whatever
+their names, but for ``removed_spans`` and ``kept_text``, in whose place :func:`mark_units` puts its own. They are ignored in
+:func:`repeated_units`.
 """
 
 from __future__ import annotations
@@ -23,10 +24,35 @@ from .common import ready, slices, stored
 
 UNITS = "id long, sha binary, start int, stop int, digest binary"
 _WORD = re.compile(r"\w+")
+_VISIBLE = re.compile(r"\S")
+#: what a unit is; the second pattern takes quadratic time on blanks, so :data:`_SPLIT` finds the same units by other means
 _UNIT = {"line": re.compile(r"[^\n]+\n?"), "paragraph": re.compile(r"(?:[^\n]*\S[^\n]*(?:\n|$))+\s*")}
 LAST = (1 << 63) - 1
 
 
+def _lines(text: str) -> Iterator[tuple[int, int]]:
+    for found in _UNIT["line"].finditer(text):
+        yield found.span()
+
+
+def _paragraphs(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of lines that are not blank, each with the white space behind it; every character is looked at a fixed number of times."""
+    at = 0
+    while first := _VISIBLE.search(text, at):
+        start = stop = max(at, text.rfind("\n", at, first.start()) + 1)
+        while stop < len(text):
+            end = text.find("\n", stop) + 1 or len(text)
+            if text[stop:end].isspace():
+                break
+            stop = end
+        behind = _VISIBLE.search(text, stop)
+        at = behind.start() if behind else len(text)
+        yield start, at
+
+
+_SPLIT = {"line": _lines, "paragraph": _paragraphs}
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.withColumns({
@@ -37,19 +63,19 @@ def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = 5, id_c
     """Units to remove: ``id, sha, start, stop``. A digest is reduced in every task before it is shuffled; on the way
     back a digest that fills a third of all units is split by AQE, as its other side is one row."""
     ready(docs.sparkSession)
-    pattern = _UNIT[unit]
+    units_of = _SPLIT[unit]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches):
             ids, shas, starts, stops, digests = [], [], [], [], []
             for doc_id, sha, text in zip(*(rows.column(c).to_pylist() for c in ("id", "sha", "text"))):
-                for found in pattern.finditer(text):
-                    words = _WORD.findall(found.group().lower())
+                for start, stop in units_of(text):
+                    words = _WORD.findall(text[start:stop].lower())
                     if len(words) >= min_words:
                         ids.append(doc_id)
                         shas.append(sha)
-                        starts.append(found.start())
-                        stops.append(found.end())
+                        starts.append(start)
+                        stops.append(stop)
                         digests.append(hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(shas, pa.binary()), pa.array(starts, pa.int32()),
@@ -78,15 +104,15 @@ def _spans(repeats: DataFrame) -> DataFrame:
                 F.slice(done, 1, F.size(done) - 1),
                 F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), x["stop"].alias("stop")))),
         ).otherwise(F.concat(done, F.array(x))))
-    return grouped.select(F.col("id").alias("__id"), F.col("sha").alias("__sha"), joined.alias("spans"))
+    return grouped.select(F.col("id").alias("__id"), F.col("sha").alias("__sha"), joined.alias("__found"))
 
 
-def mark_units(docs: DataFrame, unit: str = "line", min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All documents with their columns and ``spans`` (removed [start, stop), in order) and ``kept_text``."""
+def _marked(docs: DataFrame, unit: str, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """All documents with their columns, ``__spans`` and ``__kept``."""
     repeats = repeated_units(docs, unit, min_words, id_col, text_col)
     rows = _keyed(docs, id_col, text_col).join(_spans(repeats), ["__id", "__sha"], "left")
     none = F.array().cast("array<struct<start:int,stop:int>>")
-    rows = rows.withColumn("__spans", F.coalesce("spans", none))
+    rows = rows.withColumn("__spans", F.coalesce("__found", none))
     text = F.col("__text")
     # what lies between the spans, and behind the last one
     parts = F.transform("__spans", lambda x, k: F.substring(
@@ -94,20 +120,27 @@ def mark_units(docs: DataFrame, unit: str = "line", min_words: int = 5, id_col:
         (x["start"] - F.when(k == 0, 0).otherwise(F.get(F.col("__spans"), k - 1)["stop"])).cast("int")))
     rest = F.substring(text, (F.element_at("__spans", -1)["stop"] + 1).cast("int"), F.length(text))
     kept = F.when(F.size("__spans") == 0, text).otherwise(F.concat(F.array_join(parts, ""), rest))
-    return rows.select(*[docs[c] for c in docs.columns], F.col("__spans").alias("removed_spans"), kept.alias("kept_text"))
+    return rows.withColumn("__kept", kept).drop("__id", "__sha", "__text", "__found")
+
+
+def mark_units(docs: DataFrame, unit: str = "line", min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All documents with their columns and ``removed_spans`` ([start, stop), in order) and ``kept_text``."""
+    own = {"__spans": "removed_spans", "__kept": "kept_text"}
+    return _marked(docs, unit, min_words, id_col, text_col).drop(*own.values()).withColumnsRenamed(own)
 
 
 def drop_units(docs: DataFrame, unit: str = "line", min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with repeated units taken out of their text; all other columns as they are."""
-    out = mark_units(docs.withColumnsRenamed({}), unit, min_words, id_col, text_col)
-    changed = F.when(F.size("removed_spans") > 0, F.col("kept_text")).otherwise(F.col(text_col))
+    out = _marked(docs, unit, min_words, id_col, text_col)
+    changed = F.when(F.size("__spans") > 0, F.col("__kept")).otherwise(F.col(text_col))
     return out.withColumn(text_col, changed).select(docs.columns)
 
 
 def unit_report(docs: DataFrame, unit: str = "line", min_words: int = 5) -> DataFrame:
-    """Per document: ``doc_id, n_chars, n_removed, n_spans, removed_spans, kept_sha256``."""
+    """Per document: ``doc_id, n_chars, n_removed, n_spans, removed_spans, kept_sha256, kept_text``."""
     out = mark_units(docs.select("doc_id", "text"), unit, min_words)
     removed = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda a, x: a + (x["stop"] - x["start"]))
     return out.select(
         "doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), removed.alias("n_removed"),
-        F.size("removed_spans").cast("long").alias("n_spans"), "removed_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
+        F.size("removed_spans").cast("long").alias("n_spans"), "removed_spans", F.sha2("kept_text", 256).alias("kept_sha256"),
+        "kept_text")
