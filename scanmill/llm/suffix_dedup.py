@@ -239,6 +239,8 @@ def covered(
     alone = loose.where("digest is not null").join(across, string)
     inside = inside.unionByName(alone.select("anchor", "digest", "low", F.col("low").alias("high")))
     spans = inside.groupBy("anchor", "digest").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    # stored, so that the join is one of plain shuffles, which AQE splits where an anchor is hot
+    spans = stored(spans, "string-spans")
     parts = runs.select("id", "sha", "anchor", "digest", "at").join(spans, ["anchor", "digest"])
     parts = parts.select("id", "sha", "at", F.explode("spans").alias("s")).select(
         "id", "sha", (F.col("at") + F.col("s.low")).alias("start"), (F.col("at") + F.col("s.high") + length).alias("stop"))
@@ -283,4 +285,6 @@ def dedup(docs: DataFrame, length: int = 400, chunk: int = 128, **sizes) -> Data
 
 
 def report(docs: DataFrame, length: int = 400) -> DataFrame:
-    return dedup(docs, length).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+    """The contract's columns, the spans, and what remains as ``kept``, with cut characters replaced."""
+    kept = F.make_valid_utf8(F.col("kept").cast("string")).alias("kept")
+    return dedup(docs, length).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", kept)
