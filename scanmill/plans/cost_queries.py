@@ -74,19 +74,23 @@ def feature_lookup(spark, sf_dir):
 
 @query(
     "combined_lookup",
-    f"""{_BASE}, co AS (SELECT a.image_id, a.y, a.x, b.x AS x2, list_dot_product(a.l, b.r) AS c FROM ft a JOIN ft b ON a.image_id = b.image_id AND a.y = b.y),
-    ge AS (SELECT a.image_id, a.y, a.x, a.x - b.x AS d, g, list_dot_product(a.l[g * 4 + 1:g * 4 + 4], b.r[g * 4 + 1:g * 4 + 4]) / 4 AS c
-      FROM ft a JOIN ft b ON a.image_id = b.image_id AND a.y = b.y AND b.x BETWEEN a.x - 3 AND a.x CROSS JOIN (SELECT unnest([0, 1]) AS g)),
-    lv AS (SELECT image_id, y, x, 0 AS lvl, 2 AS part, x2 AS j, c FROM co
+    # all joins are on equal whole numbers, and every step that is used twice is materialised
+    f"""WITH {PX}, {PAIR}, {FEAT.replace('ft AS (', 'ft AS MATERIALIZED (', 1)},
+    co AS MATERIALIZED (SELECT a.image_id, a.y, a.x, b.x AS x2, list_dot_product(a.l, b.r) AS c FROM ft a JOIN ft b ON a.image_id = b.image_id AND a.y = b.y),
+    ge AS MATERIALIZED (SELECT a.image_id, a.y, a.x, a.d, g, list_dot_product(a.l[g * 4 + 1:g * 4 + 4], b.r[g * 4 + 1:g * 4 + 4]) / 4 AS c
+      FROM (SELECT image_id, y, x, l, CAST(unnest(range(4)) AS INTEGER) AS d FROM ft) a
+      JOIN ft b ON a.image_id = b.image_id AND a.y = b.y AND b.x = a.x - a.d CROSS JOIN (SELECT unnest([0, 1]) AS g)),
+    lv AS MATERIALIZED (SELECT image_id, y, x, 0 AS lvl, 2 AS part, x2::BIGINT AS j, c FROM co
       UNION ALL SELECT image_id, y, x, 1, 2, x2 // 2, avg(c) FROM co GROUP BY image_id, y, x, x2 // 2
       UNION ALL SELECT image_id, y, x, 0, g, d, c FROM ge
       UNION ALL SELECT image_id, y, x, 1, g, d // 2, sum(c) / 2 FROM ge GROUP BY image_id, y, x, g, d // 2),
-    q AS (SELECT image_id, y, x, lvl, part, k, CASE WHEN part = 2 THEN x / pow(2, lvl) - (1 + (y % 3) * 0.4::DOUBLE) / pow(2, lvl) ELSE (1 + (y % 3) * 0.4::DOUBLE) / pow(2, lvl) END + k AS p
-      FROM ft CROSS JOIN (SELECT unnest([0, 1]) AS lvl) CROSS JOIN (SELECT unnest([0, 1, 2]) AS part) CROSS JOIN (SELECT unnest([-1, 0, 1]) AS k))
-    SELECT q.image_id, q.y, q.x, CAST(q.lvl * 9 + q.part * 3 + q.k + 1 AS INTEGER) AS k,
-      {r6_sql('coalesce(a.c, 0) * (1 - (p - floor(p))) + coalesce(b.c, 0) * (p - floor(p))')} AS c FROM q
-    LEFT JOIN lv a ON a.image_id = q.image_id AND a.y = q.y AND a.x = q.x AND a.lvl = q.lvl AND a.part = q.part AND a.j = floor(p)
-    LEFT JOIN lv b ON b.image_id = q.image_id AND b.y = q.y AND b.x = q.x AND b.lvl = q.lvl AND b.part = q.part AND b.j = floor(p) + 1""",
+    taps AS (SELECT image_id, y, x, lvl, part, k, CASE WHEN part = 2 THEN x / pow(2, lvl) - (1 + (y % 3) * 0.4::DOUBLE) / pow(2, lvl) ELSE (1 + (y % 3) * 0.4::DOUBLE) / pow(2, lvl) END + k AS p
+      FROM ft CROSS JOIN (SELECT unnest([0, 1]) AS lvl) CROSS JOIN (SELECT unnest([0, 1, 2]) AS part) CROSS JOIN (SELECT unnest([-1, 0, 1]) AS k)),
+    ends AS (SELECT image_id, y, x, lvl, part, k, floor(p)::BIGINT + s AS j, CASE s WHEN 0 THEN 1 - (p - floor(p)) ELSE p - floor(p) END AS share
+      FROM taps CROSS JOIN (SELECT unnest([0, 1]) AS s))
+    SELECT e.image_id, e.y, e.x, CAST(e.lvl * 9 + e.part * 3 + e.k + 1 AS INTEGER) AS k, {r6_sql('sum(coalesce(lv.c, 0) * share)')} AS c
+    FROM ends e LEFT JOIN lv ON lv.image_id = e.image_id AND lv.y = e.y AND lv.x = e.x AND lv.lvl = e.lvl AND lv.part = e.part AND lv.j = e.j
+    GROUP BY e.image_id, e.y, e.x, e.lvl, e.part, e.k""",
 )
 def combined(spark, sf_dir):
     """Both the group volume around the disparity and the correlation around x - disparity."""

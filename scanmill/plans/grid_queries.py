@@ -105,13 +105,10 @@ def pool4(spark, sf_dir):
 
 @query(
     "avg_pool_pairs",
-    f"""WITH {PX}, odd AS (SELECT * FROM px WHERE x < 63)
-    SELECT image_id, y, CAST(x // 2 AS INTEGER) AS x, {r6_sql('avg(v)')} AS v FROM odd WHERE x < 62 GROUP BY image_id, y, x // 2""",
+    f"""WITH {PX} SELECT image_id, y, CAST(x // 2 AS INTEGER) AS x, {r6_sql('avg(v)')} AS v FROM px GROUP BY image_id, y, x // 2""",
 )
 def pool_pairs(spark, sf_dir):
-    """Lines of 63 samples, so the last one has no partner and is dropped."""
-    odd = raster(spark, sf_dir).withColumn("vals", F.slice("vals", 1, 63))
-    return _out(stencil.avg_pool_x(odd))
+    return _out(stencil.avg_pool_x(raster(spark, sf_dir)))
 
 
 @query(
