@@ -143,37 +143,35 @@ def cross_shard_mean(metrics: DataFrame) -> DataFrame:
 # --- photometric error ------------------------------------------------------------------------
 
 
-def ssim_distance(lines: DataFrame, a: str, b: str, radius: int = 3, out: str = "ssim") -> DataFrame:
-    """(1 - SSIM) / 2 clamped to 0..1 from mirrored box means of both views."""
-    near = with_rows_around(lines, [a, b], radius, "reflect")
-    area = float((2 * radius + 1) ** 2)
-    width = F.col("w")
+def _box_mean(rows: Sequence[Column], width: Column, radius: int, f) -> Column:
+    """Box mean of f over one or two views: summed down the rows, then along the line."""
     zero = F.array_repeat(F.lit(0.0), width)
+    if len(rows) == 1:
+        sums = F.aggregate(rows[0], zero, lambda acc, r: F.zip_with(acc, r, lambda s, v: s + f(v)))
+    else:
+        pairs = F.arrays_zip(rows[0].alias("p"), rows[1].alias("q"))
+        sums = F.aggregate(pairs, zero, lambda acc, r: F.zip_with(acc, F.zip_with(r["p"], r["q"], f), lambda s, v: s + v))
+    area = float((2 * radius + 1) ** 2)
+    return let(sums, lambda s: F.transform(slide(s, width, radius, "reflect"), lambda v: v / area))
 
-    def column_sums(f) -> Column:
-        """Sum down the rows of f(a, b)."""
-        pairs = F.arrays_zip(F.col(f"{a}_rows").alias("p"), F.col(f"{b}_rows").alias("q"))
-        return F.aggregate(
-            pairs,
-            zero,
-            lambda acc, r: F.zip_with(acc, F.zip_with(r["p"], r["q"], f), lambda s, v: s + v),
-        )
 
-    def mean_of(f) -> Column:
-        return let(
-            column_sums(f),
-            lambda s: F.transform(slide(s, width, radius, "reflect"), lambda v: v / area),
-        )
+def own_means(rows: Column, width: Column, radius: int) -> Column:
+    """Box means of one view and of its squares."""
+    return F.arrays_zip(
+        _box_mean([rows], width, radius, lambda p: p).alias("m"), _box_mean([rows], width, radius, lambda p: p * p).alias("sq"))
 
-    moments = near.select(
-        *[c for c in near.columns if c not in (f"{a}_rows", f"{b}_rows")],
-        F.arrays_zip(
-            mean_of(lambda p, q: p).alias("mx"),
-            mean_of(lambda p, q: q).alias("my"),
-            mean_of(lambda p, q: p * p).alias("xx"),
-            mean_of(lambda p, q: q * q).alias("yy"),
-            mean_of(lambda p, q: p * q).alias("xy"),
-        ).alias("__m"),
+
+def ssim_values(a_rows: Column, b_rows: Column, width: Column, radius: int, a_means: Column | None = None) -> Column:
+    """(1 - SSIM) / 2 of one line, from the 2*radius+1 lines of both views around it.
+
+    ``a_means`` are the :func:`own_means` of the first view, if it is compared more than once.
+    """
+    moments = F.zip_with(
+        F.zip_with(
+            own_means(a_rows, width, radius) if a_means is None else a_means, own_means(b_rows, width, radius),
+            lambda a, b: F.struct(a["m"].alias("mx"), a["sq"].alias("xx"), b["m"].alias("my"), b["sq"].alias("yy"))),
+        _box_mean([a_rows, b_rows], width, radius, lambda p, q: p * q),
+        lambda m, xy: F.struct(m["mx"].alias("mx"), m["xx"].alias("xx"), m["my"].alias("my"), m["yy"].alias("yy"), xy.alias("xy")),
     )
 
     def distance(m: Column) -> Column:
@@ -184,7 +182,14 @@ def ssim_distance(lines: DataFrame, a: str, b: str, radius: int = 3, out: str =
         bottom = (mx * mx + my * my + SSIM_C1) * (var + SSIM_C2)
         return F.least(F.greatest((1 - top / bottom) / 2, F.lit(0.0)), F.lit(1.0))
 
-    return moments.withColumn(out, F.transform("__m", distance)).drop("__m")
+    return F.transform(moments, distance)
+
+
+def ssim_distance(lines: DataFrame, a: str, b: str, radius: int = 3, out: str = "ssim") -> DataFrame:
+    """(1 - SSIM) / 2 clamped to 0..1 from mirrored box means of both views."""
+    near = with_rows_around(lines, [a, b], radius, "reflect")
+    ssim = ssim_values(F.col(f"{a}_rows"), F.col(f"{b}_rows"), F.col("w"), radius)
+    return near.withColumn(out, ssim).drop(f"{a}_rows", f"{b}_rows")
 
 
 def photometric(lines: DataFrame, a: str, b: str, beta: float = 0.85, out: str = "photo") -> DataFrame:
@@ -249,52 +254,85 @@ def _complete_sum(part: Column, n: int) -> Column:
 
 
 def _confidence_loss_terms(
-    preds: DataFrame, maps: DataFrame, views: DataFrame, max_disp: float, smooth: bool
+    preds: DataFrame, maps: DataFrame, views: DataFrame, max_disp: float, iters: Sequence[int], smooth: Sequence[int] = (),
+    beta: float = 0.85, radius: int = 3,
 ) -> DataFrame:
     """Per iteration: mean confidence-weighted error and mean photometric error.
 
     ``preds(iter, image_id, y, disp)``, ``maps(image_id, y, gt, conf, mask_nocc,
     mask_inpaint, valid)``, ``views(image_id, ch, y, h, w, left, right)``. The
-    iteration rides along as part of the image key, so all iterations share one
-    plan.
+    iterations of a line travel together: three tables meet on (image, line), and
+    one exchange by bands brings each line its neighbours, the left view once for
+    all iterations. The terms are null if a line lacks an iteration, has one
+    twice or one that is not in ``iters``. Errors of the iterations in ``smooth`` are smooth-L1.
     """
-    tagged = preds.select(
-        "iter", "image_id", "y", F.col("disp").alias("pred")
-    )
-    warped = views.join(tagged, ["image_id", "y"]).select(
-        F.struct("image_id", "iter").alias("image_id"),
-        "ch", "y", "h", "w", "left",
-        backward_warp(F.col("right"), F.col("pred")).alias("warped"),
-    )
-    photo = photometric(warped, "left", "warped").select(
-        F.col("image_id.image_id").alias("image_id"), F.col("image_id.iter").alias("iter"), "y", "photo"
+    by = ["image_id", "y"]
+    steps = preds.groupBy(*by).agg(F.collect_list(F.struct("iter", "disp")).alias("__steps"))
+    views = views.groupBy(*by).agg(
+        F.max("h").alias("h"), F.max("w").alias("w"),
+        F.sort_array(F.collect_list(F.struct("ch", "left", "right"))).alias("__views"),
     )
-    seen = maps.withColumn("real", warped_real_mask(F.col("mask_inpaint"), F.col("gt")))
-    both = tagged.join(seen, ["image_id", "y"]).join(photo, ["image_id", "iter", "y"])
-    cells = F.arrays_zip(
-        F.col("pred").alias("p"), F.col("gt").alias("g"), F.col("conf").alias("c"),
-        F.col("mask_nocc").alias("nocc"), F.col("real").alias("real"),
-        F.col("valid").alias("valid"), F.col("photo").alias("photo"),
+    numbers = F.array(*[F.lit(i) for i in iters])
+    pred_of = lambda i: F.get(F.filter("__steps", lambda s: s["iter"] == i), F.lit(0))["disp"]
+    lines = steps.join(views, by).join(maps, by).select(
+        *by, "h", "w", "gt", "conf", "mask_nocc", "valid",
+        warped_real_mask(F.col("mask_inpaint"), F.col("gt")).alias("real"),
+        F.transform(numbers, pred_of).alias("preds"),
+        F.transform("__views", lambda v: v["left"]).alias("lefts"),
+        "__views", (F.size("__steps") != len(iters)).alias("uneven"),
     )
-    error = (lambda e: smooth_l1(e)) if smooth else (lambda e: F.abs(e))
-    d_terms = F.transform(
-        F.filter("__c", lambda c: loss_valid(c["valid"].cast("double"), c["g"], max_disp)),
-        lambda c: error(c["p"] - c["g"]) * c["c"],
-    )
-    p_terms = F.transform(
-        F.filter("__c", lambda c: c["nocc"].cast("boolean") & c["real"]),
-        lambda c: c["photo"] * (1 - c["c"]),
-    )
-    per_line = (
-        both.select("iter", cells.alias("__c"))
-        .select("iter", d_terms.alias("d"), p_terms.alias("p"))
-        .select(
-            "iter",
-            F.size("d").cast("long").alias("dn"), _sum(F.col("d")).alias("ds"),
-            F.size("p").cast("long").alias("pn"), _sum(F.col("p")).alias("ps"),
+    warped = F.transform("preds", lambda p: F.transform("__views", lambda v: backward_warp(v["right"], p)))
+    lines = lines.withColumn("warped", warped).drop("__views")
+    near = with_rows_around(lines, ["lefts", "warped"], radius, "reflect", keys=("image_id",))
+    width, n_views = F.col("w"), F.size("lefts")
+
+    channels = F.sequence(F.lit(0), n_views - 1)
+    left_rows = lambda c: F.transform("lefts_rows", lambda r: F.get(r, c))
+    left_means = F.transform(channels, lambda c: let(left_rows(c), lambda rows: own_means(rows, width, radius)))
+
+    def photo(k: Column, means: Column) -> Column:
+        """Weighted SSIM distance and absolute difference of iteration ``k``, both averaged over channels."""
+
+        def of(c: Column) -> Column:
+            other = F.transform("warped_rows", lambda r: F.get(F.get(r, k), c))
+            apart = F.zip_with(F.get("lefts", c), F.get(F.get("warped", k), c), lambda p, q: F.abs(p - q))
+            ssim = let(left_rows(c), lambda a: let(other, lambda b: ssim_values(a, b, width, radius, F.get(means, c))))
+            return F.zip_with(ssim, apart, lambda s, d: beta * s + (1 - beta) * d)
+
+        total = F.aggregate(
+            channels, F.array_repeat(F.lit(0.0), width), lambda acc, c: F.zip_with(acc, of(c), lambda s, v: s + v)
         )
-    )
-    return per_line.groupBy("iter").agg(_mean("ds", "dn").alias("d_loss"), _mean("ps", "pn").alias("p_loss"))
+        return F.transform(total, lambda v: v / n_views)
+
+    def terms(k: Column, means: Column) -> Column:
+        cells = F.arrays_zip(
+            F.get("preds", k).alias("p"), F.col("gt").alias("g"), F.col("conf").alias("c"),
+            F.col("mask_nocc").alias("nocc"), F.col("real").alias("real"), F.col("valid").alias("valid"), photo(k, means).alias("photo"),
+        )
+        number = F.get(numbers, k)
+
+        def error(e: Column) -> Column:
+            return F.when(number.isin(*smooth), smooth_l1(e)).otherwise(F.abs(e)) if smooth else F.abs(e)
+
+        def sums(c: Column) -> Column:
+            d = F.transform(
+                F.filter(c, lambda x: loss_valid(x["valid"].cast("double"), x["g"], max_disp)), lambda x: error(x["p"] - x["g"]) * x["c"]
+            )
+            p = F.transform(
+                F.filter(c, lambda x: x["nocc"].cast("boolean") & x["real"]), lambda x: x["photo"] * (1 - x["c"])
+            )
+            return F.struct(
+                number.alias("iter"), (F.col("uneven") | F.get("preds", k).isNull()).alias("lost"),
+                F.size(d).cast("long").alias("dn"), _sum(d).alias("ds"), F.size(p).cast("long").alias("pn"), _sum(p).alias("ps"),
+            )
+
+        return let(cells, sums)
+
+    all_terms = let(left_means, lambda m: F.transform(F.sequence(F.lit(0), F.lit(len(iters) - 1)), lambda k: terms(k, m)))
+    per_line = near.select(F.explode_outer(all_terms).alias("t")).select("t.*")
+    whole = ~F.bool_or("lost")
+    return per_line.groupBy("iter").agg(
+        F.when(whole, _mean("ds", "dn")).alias("d_loss"), F.when(whole, _mean("ps", "pn")).alias("p_loss"))
 
 
 def confidence_loss_flow(
@@ -303,7 +341,7 @@ def confidence_loss_flow(
 ) -> DataFrame:
     """Confidence-weighted loss for flow predictions (negative disparities)."""
     flipped = preds.withColumn("disp", F.transform("disp", lambda v: -v))
-    terms = _confidence_loss_terms(flipped, maps, views, max_disp, smooth=False)
+    terms = _confidence_loss_terms(flipped, maps, views, max_disp, range(n))
     weight = iteration_weight(F.col("iter"), F.lit(n), gamma)
     return terms.agg(_complete_sum(weight * (F.col("d_loss") + mu * F.col("p_loss")), n).alias("loss"))
 
@@ -313,11 +351,10 @@ def confidence_loss_disp(
     gamma: float = 0.9, mu: float = 0.1, max_disp: float = 700.0,
 ) -> DataFrame:
     """The same for disparity predictions, plus a smooth-L1 term of the initial one."""
-    start = _confidence_loss_terms(
-        init.withColumn("iter", F.lit(0)), maps, views, max_disp, smooth=True
-    ).select((F.col("d_loss") + 0.1 * F.col("p_loss")).alias("part"))
+    # the initial prediction goes as one more iteration through the same plan
+    both = preds.select("iter", "image_id", "y", "disp").unionByName(init.select(F.lit(-1).alias("iter"), "image_id", "y", "disp"))
+    terms = _confidence_loss_terms(both, maps, views, max_disp, range(-1, n), smooth=(-1,))
     weight = iteration_weight(F.col("iter"), F.lit(n), gamma)
-    later = _confidence_loss_terms(preds, maps, views, max_disp, smooth=False).select(
-        (weight * (F.col("d_loss") + mu * F.col("p_loss"))).alias("part")
-    )
-    return start.unionByName(later).agg(_complete_sum(F.col("part"), n + 1).alias("loss"))
+    part = F.when(F.col("iter") < 0, F.col("d_loss") + 0.1 * F.col("p_loss")).otherwise(
+        weight * (F.col("d_loss") + mu * F.col("p_loss")))
+    return terms.agg(_complete_sum(part, n + 1).alias("loss"))

@@ -39,6 +39,25 @@ def test_confidence_losses_are_null_then_too(spark, loss):
     assert run(p, m) is not None
     assert run(p.filter("iter = 0"), m) is None
     assert run(p, m.withColumn("mask_nocc", F.transform("mask_nocc", lambda x: F.lit(False)))) is None
+    assert run(p.filter("iter = 0 OR y <> 2"), m) is None  # one line lacks an iteration
+    assert run(p.unionByName(p.filter("iter = 1 AND y = 2")), m) is None  # one has it twice
+    assert run(p.unionByName(p.filter("iter = 1").withColumn("iter", F.lit(7))), m) is None  # nobody asked for the seventh
+
+
+def test_confidence_losses_take_four_exchanges(spark):
+    p = spark.range(4).selectExpr("0 AS iter", "id AS image_id", "0 AS y", "array(1.0D, 2.0D) AS disp")
+    m = spark.range(4).selectExpr("id AS image_id", "0 AS y", "array(1.0D, 2.0D) AS gt", "array(0.5D, 0.5D) AS conf", "array(true, true) AS mask_nocc",
+                                  "array(false, false) AS mask_inpaint", "array(true, true) AS valid")
+    v = spark.range(4).selectExpr("id AS image_id", "0 AS ch", "0 AS y", "1 AS h", "2 AS w", "array(1.0D, 2.0D) AS left", "array(1.0D, 2.0D) AS right")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for loss in (metrics.confidence_loss_flow(p, m, v, 1), metrics.confidence_loss_disp(p.drop("iter"), p, m, v, 1)):
+            plan = loss._jdf.queryExecution().executedPlan().toString()
+            # two of them are the last sums: per iteration, and over iterations
+            assert plan.count("Exchange hashpartitioning") <= 5 and plan.count("Exchange SinglePartition") == 1, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_listed_names_have_rules(spark):
