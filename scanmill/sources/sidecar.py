@@ -23,8 +23,11 @@ def _read_settings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = []
         for folder in batch["dir"]:
             store, base = fs.FileSystem.from_uri(folder)
-            with store.open_input_stream(f"{base}/{SETTINGS_FILE}") as handle:
-                texts.append(handle.read().decode("utf-8"))
+            try:
+                with store.open_input_stream(f"{base}/{SETTINGS_FILE}") as handle:
+                    texts.append(handle.read().decode("utf-8"))
+            except (OSError, UnicodeDecodeError):  # one missing or broken file must not end the job
+                texts.append(None)
         yield pd.DataFrame({"dir": batch["dir"], "text": texts})
 
 
@@ -38,7 +41,8 @@ def read_cameras(depth_files: DataFrame, path: str = "path") -> DataFrame:
     """cameras(dir, fx): the settings file of every directory that holds depth files.
 
     Names that start with an underscore are hidden to Spark's file index, so the
-    directories are derived from the depth files and opened inside tasks.
+    directories are derived from the depth files and opened inside tasks. A
+    directory whose file is missing or cannot be read has a null ``fx``.
     """
     dirs = depth_files.select(dirname(F.col(path)).alias("dir")).distinct()
     ship_package(depth_files.sparkSession)

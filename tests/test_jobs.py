@@ -170,3 +170,43 @@ def test_queue_from_submit_to_retry(spark, tmp_path):
     results = queue.read_results(spark, out)
     assert queue.pending(tasks, results).count() == 0
     assert queue.next_task(tasks, results).count() == 0
+
+
+def content_of(spark, out):
+    return sorted((r["filename"], bytes(r["content"])) for r in queue.read_results(spark, out).collect())
+
+
+def test_a_new_checkpoint_adds_to_earlier_runs_and_a_replay_replaces_its_batch(spark, tmp_path):
+    folder, out = str(tmp_path / "tasks"), str(tmp_path / "results")
+    drain = lambda check, apply: queue.drain(queue.task_stream(spark, folder), out, str(tmp_path / check), lambda: None, apply).awaitTermination()
+    queue.submit(spark, folder, spark.createDataFrame([("/in/a.jpg", b"a")], "path string, content binary"))
+    drain("one", lambda m, c: c + b"1" if c == b"a" else None)
+    queue.submit(spark, folder, spark.createDataFrame([("/in/b.jpg", b"b")], "path string, content binary"))
+    drain("two", lambda m, c: c + b"2" if c == b"b" else None)  # also starts with batch 0
+    assert content_of(spark, out) == [("result_a.jpg", b"a1"), ("result_b.jpg", b"b2")]
+    commits = {(r["run"], r["batch"]): r for r in queue.read_commits(spark, out).collect()}
+    assert len(commits) == 2 and {b for _, b in commits} == {0}
+    assert sorted((r["results"], r["failures"]) for r in commits.values()) == [(1, 0), (1, 1)]
+    assert {(r["filename"], r["error"]) for r in queue.read_failures(spark, out).collect()} == {("result_a.jpg", "no result")}
+
+    # the batch of the first run is worked off once more, as after a lost driver: its own results are replaced, the others stay
+    run = next(r for (r, _), row in commits.items() if row["failures"] == 0)
+    tasks = queue.read_tasks(spark, folder).where("filename = 'a.jpg'")
+    queue.publish(queue.outcomes(tasks, lambda: None, lambda m, c: c + b"3"), out, run, 0)
+    assert content_of(spark, out) == [("result_a.jpg", b"a3"), ("result_b.jpg", b"b2")]
+    # an attempt that was written but not committed is not read
+    queue.outcomes(tasks, lambda: None, lambda m, c: b"x").write.parquet(f"{out}/data/run={run}/batch=5/attempt=y")
+    assert content_of(spark, out) == [("result_a.jpg", b"a3"), ("result_b.jpg", b"b2")]
+
+
+def test_a_failing_load_leaves_tasks_waiting(spark, tmp_path):
+    folder, out = str(tmp_path / "tasks"), str(tmp_path / "results")
+    queue.submit(spark, folder, spark.createDataFrame([("/in/a.jpg", b"a"), ("/in/b.jpg", b"b")], "path string, content binary"))
+
+    def load():
+        raise RuntimeError("no such weights")
+
+    queue.drain(queue.task_stream(spark, folder), out, str(tmp_path / "c"), load, lambda m, c: c).awaitTermination()
+    tasks, results = queue.read_tasks(spark, folder), queue.read_results(spark, out)
+    assert queue.pending(tasks, results).count() == 2
+    assert {r["error"] for r in queue.read_failures(spark, out).collect()} == {"load: no such weights"}

@@ -102,6 +102,9 @@ def test_sidecar(spark, tmp_path):
     lines = readers.disparity_lines(sidecar.with_camera(depth, cameras), "falling_things")
     got = {os.path.basename(os.path.dirname(r["path"])): r["disp"] for r in lines.collect()}
     assert np.allclose(got["s1"], 700.5 * 6) and np.allclose(got["s2"], 300 * 6)
+    write(str(tmp_path / "s3" / "0.left.depth.png"), png(np.full((1, 2), 100), 16))  # a folder without settings
+    cameras = sidecar.read_cameras(listings.list_files(spark, str(tmp_path / "*" / "*.depth.png")))
+    assert {os.path.basename(r["dir"]): r["fx"] for r in cameras.collect()} == {"s1": 700.5, "s2": 300.0, "s3": None}
 
 
 def test_readers_handle_zero_and_far_values(spark):
