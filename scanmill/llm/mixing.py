@@ -1,9 +1,9 @@
 """Mixing sources to target weights by weighted fair queueing. DataFrame functions only.
 
 Each source serves its documents in an order shuffled by hash, up to ``limit`` times over. An occurrence's virtual finish time is
-the words its source has served by then, over the source's target. All occurrences are sorted by that time and the sort is
-cut where the words reach the budget, which is the size of the whole table. So at every point of the mix, and at its end, each source
-is at its share but for the document it is in.
+the words its source has served by then, over the source's target. All occurrences are sorted by that time and cut where the words
+reach the budget, which is the size of the whole table: at virtual time 1. Documents that are being served then are taken up to that
+point, so every source ends within a word of its target, and the words taken are the budget to the word.
 
 The sorts never run in one task: the shuffle order of a source is cut by the leading bits of the hash, and the queue by ranges of
 virtual time that hold about as many words each; a range needs only the sum of the ranges before it.
@@ -69,9 +69,12 @@ def running_total(rows: DataFrame, group: Sequence[str], slot: str, order: Seque
 
 
 def fair_targets(sources: DataFrame, limit: int = 3) -> DataFrame:
-    """Add ``target`` to ``source, source_size, weight``: shares of all words by weight, no more than ``limit`` times the
-    source, and what is above that shared again among the others until none is above. A round is one aggregate."""
+    """Add ``target`` to ``rank, source_size, weight``: shares of all words by weight, no more than ``limit`` times the
+    source, and what is above that shared again among the others until none is above. A round is one aggregate.
+
+    ``quota`` is the target in whole words: shares are rounded at their ends, one behind the other by rank, so none is lost."""
     size, weight = F.col("source_size").cast(WIDE), F.col("weight").cast(WIDE)
+    slots = F.expr("rank div 4096")
     total = sources.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weights")).first()
     left, share = int(total["words"] or 0), int(total["weights"] or 0)
     while True:
@@ -84,7 +87,13 @@ def fair_targets(sources: DataFrame, limit: int = 3) -> DataFrame:
             break
         left, share = now
     shared = F.col("weight").cast("double") * F.lit(left).cast("double") / F.lit(max(share, 1)).cast("double")
-    return sources.withColumn("target", F.when(above, (limit * F.col("source_size")).cast("double")).otherwise(shared))
+    placed = sources.withColumns({
+        "target": F.when(above, (limit * F.col("source_size")).cast("double")).otherwise(shared),
+        "__full": above, "__open": F.when(above, 0).otherwise(F.col("weight")).cast("long"), "__slot": slots})
+    placed = running_total(placed, [], "__slot", ["rank"], "__open", "__upto")
+    mark = lambda end: F.expr(f"cast({end} as {WIDE}) * cast({left} as {WIDE}) div cast({max(share, 1)} as {WIDE})")
+    quota = F.when(F.col("__full"), limit * F.col("source_size")).otherwise(mark("__upto") - mark("(__upto - __open)"))
+    return placed.withColumn("quota", quota.cast("long")).drop("__full", "__open", "__slot", "__upto")
 
 
 def queue(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), limit: int = 3,
@@ -104,32 +113,36 @@ def queue(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), limit: int = 3,
     n, budget = int(seen["rows"] or 0), int(seen["words"] or 0)
 
     bits = max(0, (n // SLOT_ROWS).bit_length())
-    facts = sources.select("source", "rank", "source_size", "target")
+    facts = sources.select("source", "rank", "source_size", "target", "quota")
     placed = lookup_join(rows, facts, ["source"], null_safe=True).withColumn("slot", F.shiftright("draw", DRAW_BITS - bits))
     placed = running_total(placed, ["rank"], "slot", ["draw", "doc_id", "size"], "size", "served")
     placed = stored(placed.drop("slot"), "mix-served")
 
-    finish = (F.col("pass") * F.col("source_size") + F.col("served")).cast("double") / F.col("target")
+    done = F.col("pass") * F.col("source_size") + F.col("served")
     ranges = max(1, budget // RANGE_WORDS)
     served = placed.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(limit - 1))))
-    served = served.withColumn("finish", finish).withColumn("range", F.floor(F.col("finish") * F.lit(float(ranges))))
-    queued = running_total(
-        served, [], "range", ["finish", "rank", "pass", "draw", "served"], "size", "end")
-    start = F.col("end") - F.col("size")
-    taken = F.greatest(F.lit(0), F.least(F.col("size"), F.lit(budget) - start)).cast("long")
-    return placed, queued.withColumns({"start": start, "words": taken}).drop("range", "end")
+    # what the cut leaves of an occurrence; at virtual time 1 a source has served its target
+    words = F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - (done - F.col("size")))).cast("long")
+    served = served.withColumns({"finish": done.cast("double") / F.col("target"), "words": words})
+    served = served.withColumn("range", F.floor(F.col("finish") * F.lit(float(ranges))))
+    queued = running_total(served, [], "range", ["finish", "rank", "pass", "draw", "served"], "words", "end")
+    return placed, queued.withColumn("start", (F.col("end") - F.col("words")).cast("long")).drop("range", "end")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), limit: int = 3, **columns: str) -> DataFrame:
-    """The mix in its order: ``doc_id, source, pass, start, words``; ``words`` is less than the document at the cut alone."""
+    """The mix in its order: ``doc_id, source, pass, start, words``; ``words`` is less than the document only at the cut."""
     _, queued = queue(docs, weights, limit, **columns)
     return queued.where("words > 0").select("doc_id", "source", "pass", "start", "words").orderBy("start")
 
 
 def mix_report(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), limit: int = 3, **columns: str) -> DataFrame:
-    """One row per document: ``doc_id, size, source_size, target, taken``."""
+    """One row per document: ``doc_id, size, source_size, target, taken`` and ``first_start``, the words of the mix before it is
+    first taken (null if it never is)."""
     placed, queued = queue(docs, weights, limit, **columns)
     facts = ["doc_id", "size", "source_size", "target"]
     # documents with words differ in the words served up to them, whatever their ids
-    found = queued.groupBy("rank", "served", *facts).agg(F.sum("words").alias("taken")).select(*facts, "taken")
-    return found.unionByName(placed.where("size = 0").select(*facts, F.lit(0).cast("long").alias("taken")))
+    found = queued.groupBy("rank", "served", *facts).agg(
+        F.sum("words").alias("taken"), F.min(F.when(F.col("words") > 0, F.col("start"))).alias("first_start"))
+    without = placed.where("size = 0").select(
+        *facts, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_start"))
+    return found.select(*facts, "taken", "first_start").unionByName(without)

@@ -150,23 +150,30 @@ l AS (
          sum(weight) OVER (ORDER BY 3 * source_size / weight::DOUBLE, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share
   FROM s),
 v AS (SELECT rest, share FROM l WHERE 3 * source_size * share >= weight * rest ORDER BY ratio, rank LIMIT 1),
-t AS (
-  SELECT s.*, CASE WHEN 3 * source_size * share < weight * rest THEN (3 * source_size)::DOUBLE
-                   ELSE weight::DOUBLE * rest::DOUBLE / share::DOUBLE END AS target
+u AS (
+  SELECT s.*, rest, share, 3 * source_size * share < weight * rest AS is_full,
+         sum(CASE WHEN 3 * source_size * share < weight * rest THEN 0 ELSE weight END) OVER (ORDER BY rank) AS upto
   FROM s, v),
+t AS (
+  SELECT source, rank, source_size,
+         CASE WHEN is_full THEN (3 * source_size)::DOUBLE ELSE weight::DOUBLE * rest::DOUBLE / share::DOUBLE END AS target,
+         CASE WHEN is_full THEN 3 * source_size ELSE upto * rest // share - (upto - weight) * rest // share END AS quota
+  FROM u),
 p AS (
-  SELECT doc_id, size, draw, rank, source_size, target,
+  SELECT doc_id, size, source_size, target, quota, rank, draw,
          sum(size) OVER (PARTITION BY rank ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS served
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 q AS (
-  SELECT *, sum(size) OVER (ORDER BY (pass * source_size + served)::DOUBLE / target, rank, pass, draw, served
-                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start
+  SELECT *, greatest(0, least(size, quota - pass * source_size - served + size)) AS words,
+         (pass * source_size + served)::DOUBLE / target AS finish
   FROM p, (VALUES (0), (1), (2)) AS r(pass) WHERE size > 0),
-b AS (SELECT sum(size) AS budget FROM d)
-SELECT doc_id, size, source_size, target, sum(greatest(0, least(size, budget - start)))::BIGINT AS taken
-FROM q, b GROUP BY rank, served, doc_id, size, source_size, target
+o AS (
+  SELECT *, sum(words) OVER (ORDER BY finish, rank, pass, draw, served ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - words AS start
+  FROM q)
+SELECT doc_id, size, source_size, target, sum(words)::BIGINT AS taken, min(CASE WHEN words > 0 THEN start END)::BIGINT AS first_start
+FROM o GROUP BY rank, served, doc_id, size, source_size, target
 UNION ALL
-SELECT doc_id, size, source_size, target, 0 FROM p WHERE size = 0
+SELECT doc_id, size, source_size, target, 0, NULL FROM p WHERE size = 0
 """)
 def op12(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"), weights=(1, 2, 3), limit=3)
