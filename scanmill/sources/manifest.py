@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanmill.functions.paths import join_path
@@ -15,14 +15,12 @@ from scanmill.session import pin
 COLUMNS = ("left_path", "right_path", "disp_path", "conf_path", "mask_nocc_path", "mask_inpaint_path")
 
 
-def read_manifest(
-    spark: SparkSession, path: str, root: str, cols: Sequence[int] = (0, 1, 2, 3, 4, 5)
-) -> DataFrame:
-    """samples(manifest, sample_id, ...) up to the first blank line of each file.
+def _place() -> Column:
+    return F.struct("__block", "__row")
 
-    Line order is the file offset of the split a line was read from, then its
-    place in the split, so a large manifest is read by many tasks.
-    """
+
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their place in their file and the place of its first blank line."""
     raw = spark.read.option("lineSep", "\n").text(path)
     placed = pin(
         raw.select(
@@ -32,10 +30,20 @@ def read_manifest(
             "value",
         )
     )
-    place = F.struct("__block", "__row")
     # one row per manifest file
-    stops = placed.groupBy("manifest").agg(F.min(F.when(F.col("value") == "", place)).alias("__stop"))
-    kept = placed.join(stops, "manifest").filter(F.col("__stop").isNull() | (place < F.col("__stop")))
+    stops = placed.groupBy("manifest").agg(F.min(F.when(F.col("value") == "", _place())).alias("__stop"))
+    return placed.join(stops, "manifest")
+
+
+def read_manifest(
+    spark: SparkSession, path: str, root: str, cols: Sequence[int] = (0, 1, 2, 3, 4, 5)
+) -> DataFrame:
+    """samples(manifest, sample_id, ...) up to the first blank line of each file; :func:`left_out` names what lies behind it.
+
+    Line order is the file offset of the split a line was read from, then its
+    place in the split, so a large manifest is read by many tasks.
+    """
+    kept = _placed(spark, path).filter(F.col("__stop").isNull() | (_place() < F.col("__stop")))
     lines = with_ordinal(kept, ["__block", "__row"], ["manifest"], name="sample_id")
     parts = F.split("value", " ")
     need = max(cols) + 1
@@ -47,3 +55,7 @@ def read_manifest(
     )
 
 
+def left_out(spark: SparkSession, path: str) -> DataFrame:
+    """(manifest, lines) of the files that have lines with paths behind their first blank line, which no sample is made of."""
+    behind = _placed(spark, path).filter((_place() > F.col("__stop")) & (F.col("value") != ""))
+    return behind.groupBy("manifest").agg(F.count(F.lit(1)).alias("lines"))

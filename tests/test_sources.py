@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanmill.sources import listings, rasters, readers, sidecar
-from scanmill.sources.manifest import read_manifest
+from scanmill.sources.manifest import left_out, read_manifest
 
 
 def write(path, data):
@@ -205,6 +205,8 @@ def test_manifest_stops_at_blank_line(spark, tmp_path):
         (0, "/data/l/a.png", "/data/d/a.npy"),
         (1, "/data/l/b.png", "/abs/b.npy"),
     ]
+    write(str(tmp_path / "whole.txt"), b"l/a.png r/a.png d/a.npy\n\n")
+    assert [(os.path.basename(r["manifest"]), r["lines"]) for r in left_out(spark, str(tmp_path / "*.txt")).collect()] == [("m.txt", 2)]
 
 
 def test_manifest_order_holds_over_splits(spark, tmp_path):
