@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -14,8 +17,24 @@ DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: splitting here never cuts a word of the tokenizer: its pattern has no white space inside a word
 _CUT = re.compile("[ \t\n\r\f\v]+")
 _UNSURE = re.compile("[\x1c-\x1f]")
-#: words a worker remembers, about 250 MB
-_MEMORY = 1_200_000
+#: words a worker remembers, about 210 MB
+_MEMORY = 1_000_000
+#: pieces of words a worker remembers, about 30 MB
+_PIECE_MEMORY = 200_000
+
+# fixed values: how word_bpe_49k.json normalises and cuts texts
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_CUTTER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+#: words whose characters have one form only, so NFC leaves them alone and each lower-cases by itself
+_PLAIN = re.compile("[!-~\xa1-\xac\xae-\xff]+").fullmatch
+#: that cutter on such characters
+_PIECES = re.compile(
+    "'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|"
+    "[^\\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+").findall
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -33,15 +52,32 @@ class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        #: whether plain words may be cut here and handed to the tokenizer's model piece by piece
+        self.cuts = rules["normalizer"] == _NORMALIZER and rules["pre_tokenizer"] == _CUTTER and rules["post_processor"] is None
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.byte_chars = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x100)}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
         self.between_ids = self.tokenizer.encode("0", add_special_tokens=False).ids
         self.between = self.between_ids[0] if self.between_ids else -1
 
     def encode(self, texts: Iterable[str | None], end_id: int) -> list[bytes]:
         """Ids of each text and the end id, as little-endian bytes of :attr:`dtype`; a null text is empty."""
+        collecting = gc.isenabled()
+        gc.disable()  # what is made here has no cycles, and walks over so many small objects take as long as the work
+        try:
+            return self._encode(texts, np.array([end_id], dtype=self.dtype).tobytes())
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: Iterable[str | None], last: bytes) -> list[bytes]:
         cut = [(_CUT.split(t) if _UNSURE.search(t) else t.split()) if t else [] for t in texts]
         look = self.known.get
         parts = [list(map(look, words)) for words in cut]
@@ -54,19 +90,19 @@ class WordEncoder:
             # the words met first are the frequent ones: once the memory is full it stays as it is
             if len(self.known) < _MEMORY:
                 self.known.update(fresh)
-        last = np.array([end_id], dtype=self.dtype).tobytes()
         return [b"".join(got) + last for got in parts]
 
     def _ask(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Ids of each word. Words go to the tokenizer many at once, with a word between them that none of them holds."""
-        plain = [w for w in words if "0" not in w and "<|" not in w]
-        out = {}
-        for at in range(0, len(plain), 2048):
-            part = plain[at : at + 2048]
-            ids = np.array(self.tokenizer.encode(" 0 ".join(part), add_special_tokens=False).ids, dtype=self.dtype)
+        """Ids of each word. Plain words go to the tokenizer's model; others to the tokenizer, many at once, with a word between
+        them that none of them holds."""
+        out = self._cut([w for w in words if _PLAIN(w) and "<|" not in w]) if self.cuts else {}
+        others = [w for w in words if w not in out and "0" not in w and "<|" not in w]
+        for at in range(0, len(others), 256):
+            part = others[at : at + 256]
+            text = self.tokenizer.encode_batch_fast([" 0 ".join(part)], add_special_tokens=False)[0]
+            ids = np.array(text.ids, dtype=self.dtype)
             ends = [*np.flatnonzero(ids == self.between).tolist(), len(ids)]
             if len(self.between_ids) != 1 or len(ends) != len(part):
-                plain = plain[:at]
                 break
             start = 0
             for word, end in zip(part, ends):
@@ -77,6 +113,23 @@ class WordEncoder:
             out[word] = np.array(got.ids, dtype=self.dtype).tobytes()
         return out
 
+    def _cut(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of plain words: normalising and cutting them is most of the tokenizer's work, and simple on their characters."""
+        model, chars, known, fresh = self.tokenizer.model.tokenize, self.byte_chars, self.pieces, {}
+        code, out = "H" if self.dtype.itemsize == 2 else "I", {}
+        for word in words:
+            low, found = word.lower(), []
+            for piece in [low] if low.isascii() and low.isalpha() else _PIECES(low):
+                ids = known.get(piece) or fresh.get(piece)
+                if ids is None:
+                    ids = array(code, [t.id for t in model(piece if piece.isascii() else piece.translate(chars))]).tobytes()
+                    fresh[piece] = ids
+                found.append(ids)
+            out[word] = found[0] if len(found) == 1 else b"".join(found)
+        if len(known) < _PIECE_MEMORY:
+            known.update(fresh)
+        return out
+
 
 def encoder(path: str) -> WordEncoder:
     known = remembered("encoders")

@@ -155,3 +155,17 @@ def test_one_document_of_a_group_stays(docs):
     texts = [norm(r["text"]) for r in left]
     assert len(texts) == len(set(texts)) and set(texts) == {norm(r["text"]) for r in docs.collect()}
     assert next(r["doc_id"] for r in left if r["text"] == "Copied Text") == 500
+
+
+def test_words_are_cut_as_the_tokenizer_cuts_them():
+    words = WordEncoder(tokenizer_path())
+    assert words.cuts
+    chars = [chr(c) for c in range(0x21, 0x180)] + ["́", "Σ", "İ", " ", "\x85", "\xad"]
+    rng = random.Random(5)
+    texts = chars + [a + c + b for c in chars for a in "a'1." for b in ("b", "'S", "2", "!!")]
+    texts += ["".join(rng.choices(pool, k=rng.randint(1, 12))) for pool in (chars, "'sSTREVEmldD1.,\xb5\xdf\xc9 <|") for _ in range(4000)]
+    texts += ["<|endoftext|>", "0", "a0b", "don't WE'LL", "x" * 5000]
+    want = words.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    for _ in range(2):  # asked for, then remembered
+        for text, ids, w in zip(texts, words.encode(texts, 2), want):
+            assert np.frombuffer(ids, dtype=words.dtype).tolist() == [*w.ids, 2], text
