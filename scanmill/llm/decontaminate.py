@@ -23,6 +23,7 @@ alignment counts, the first on ties. Empty tables give no rows; other columns ar
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,6 @@ from pyspark.sql import functions as F
 
 from .bytehash import LETTER, Bytes
 from .common import ready, slices, stored
-from .html_text import common_subsequence
 
 BITS = 18
 BLOCK = 32
@@ -202,6 +202,30 @@ class Items:
         return word_terms(pa.array([text], pa.string()))[0]
 
 
+def common_subsequence(a: list[int], b: list[int]) -> list[int]:
+    """Positions in ``a`` of a longest common subsequence of ``a`` and ``b`` (matches sorted, longest rising run)."""
+    where: dict[int, list[int]] = {}
+    for j, x in enumerate(b):
+        where.setdefault(x, []).append(j)
+    tails: list[int] = []
+    at: list[tuple] = []  # per length: (position in a, link to the shorter one)
+    for i, x in enumerate(a):
+        for j in reversed(where.get(x, ())):
+            k = bisect_left(tails, j)
+            node = (i, at[k - 1] if k else None)
+            if k == len(tails):
+                tails.append(j)
+                at.append(node)
+            else:
+                tails[k] = j
+                at[k] = node
+    out, node = [], at[-1] if at else None
+    while node:
+        out.append(node[0])
+        node = node[1]
+    return out[::-1]
+
+
 def _share(want: np.ndarray, have: np.ndarray) -> tuple[float, int, int]:
     """Share of ``want`` found in order in ``have``, and where the match begins and ends there."""
     at = common_subsequence(have.tolist(), want.tolist())

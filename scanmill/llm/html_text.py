@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import blake2b
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,27 +151,53 @@ class PageLines(HTMLParser):
         return self.lines
 
 
-def common_subsequence(a: list[int], b: list[int]) -> list[int]:
-    """Positions in ``a`` of a longest common subsequence of ``a`` and ``b`` (matches sorted, longest rising run)."""
-    where: dict[int, list[int]] = {}
+#: cells of a table of matches that is kept whole, a bit each: 32 MB
+_CELLS = 1 << 28
+
+
+def _match_rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """Row by row of ``a``, a number with bit j clear where the best subsequence grows from ``b[:j]`` to ``b[:j + 1]``."""
+    full, where = (1 << len(b)) - 1, {}
     for j, x in enumerate(b):
-        where.setdefault(x, []).append(j)
-    tails: list[int] = []
-    at: list[tuple] = []  # per length: (position in a, link to the shorter one)
-    for i, x in enumerate(a):
-        for j in reversed(where.get(x, ())):
-            k = bisect_left(tails, j)
-            node = (i, at[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                at.append(node)
-            else:
-                tails[k] = j
-                at[k] = node
-    out, node = [], at[-1] if at else None
-    while node:
-        out.append(node[0])
-        node = node[1]
+        where[x] = where.get(x, 0) | 1 << j
+    row = full
+    for x in a:
+        met = row & where.get(x, 0)
+        row = (row + met | row - met) & full
+        yield row
+
+
+def _grown(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` and each head of ``b``."""
+    row = (1 << len(b)) - 1
+    for row in _match_rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def common_subsequence(a: list[int], b: list[int]) -> list[int]:
+    """Positions in ``a`` of a longest common subsequence of ``a`` and ``b``.
+
+    A machine word holds 64 columns of the table, so lines that repeat thousands of times cost no more than others. A table of more
+    than ``_CELLS`` is halved where heads and tails of ``b`` add up best, so its memory is bounded as well.
+    """
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > _CELLS:
+        half = len(a) // 2
+        cut = int(np.argmax(_grown(a[:half], b) + _grown(a[half:][::-1], b[::-1])[::-1]))
+        return common_subsequence(a[:half], b[:cut]) + [half + k for k in common_subsequence(a[half:], b[cut:])]
+    rows, out = list(_match_rows(a, b)), []
+    i, j = len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            out.append(i)
     return out[::-1]
 
 
@@ -183,14 +210,95 @@ def is_copy(words: list[int], shared: list[int], copy_share: float) -> bool:
     return sum(words[k] for k in shared) >= copy_share * sum(words)
 
 
-def shared_lines(page: dict, near: list[dict], copy_share: float) -> list[int]:
-    """Positions of the page's lines that its nearest neighbour which is no copy has too."""
-    for other in sorted(near, key=lambda x: -_prefix(x["path"], page["path"])):
-        shared = common_subsequence(page["digests"], other["digests"])
-        if not is_copy(page["words"], shared, copy_share) or not is_copy(
-                other["words"], common_subsequence(other["digests"], page["digests"]), copy_share):
-            return shared
-    return []
+def verdicts(one: dict, two: dict, copy_share: float) -> tuple[int, list[int] | None, list[int] | None]:
+    """Length of the common path, and which standing lines either page shares with the other: None for both if they are copies."""
+    first = common_subsequence(one["digests"], two["digests"])
+    second = common_subsequence(two["digests"], one["digests"])
+    near = _prefix(one["path"], two["path"])
+    if is_copy(one["words"], first, copy_share) and is_copy(two["words"], second, copy_share):
+        return near, None, None
+    return near, _standing(one["words"], first), _standing(two["words"], second)
+
+
+def _standing(words: list[int], shared: list[int]) -> list[int]:
+    """Positions of the shared lines among those that stand in the text."""
+    out = set(shared)
+    return [j for j, k in enumerate(k for k, n in enumerate(words) if n) if k in out]
+
+
+WALKED = ("row long, gone array<int>, near int, range int, first boolean, last boolean,"
+          " host string, path string, words array<int>, digests array<long>")
+VERDICTS = "row long, near int, later boolean, gone array<int>"
+
+
+def _walk(batches: Iterator[pa.RecordBatch], copy_share: float) -> Iterator[pa.RecordBatch]:
+    """One range of pages in the order of their URLs: what each page shares with the nearer of its two neighbours that is no copy.
+
+    The first and the last page of the range have a neighbour elsewhere, so they go on with their digests and what the walk found.
+    """
+    part = TaskContext.get().partitionId()
+    schema = pa.schema([("row", pa.int64()), ("gone", pa.list_(pa.int32())), ("near", pa.int32()), ("range", pa.int32()),
+                        ("first", pa.bool_()), ("last", pa.bool_()), ("host", pa.string()), ("path", pa.string()),
+                        ("words", pa.list_(pa.int32())), ("digests", pa.list_(pa.int64()))])
+
+    def result(page, earlier, later, first, last):
+        found = sorted((x for x in (earlier, later) if x and x[1] is not None), key=lambda x: -x[0])
+        near, gone = found[0] if found else (None, None)
+        out = {"row": page["row"], "gone": gone, "near": near, "range": part, "first": first, "last": last}
+        if first or last:
+            out |= {c: page[c] for c in ("host", "path", "words", "digests")}
+        return out if gone or first or last else None
+
+    page, before, first = None, None, True
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            out = []
+            for after in batch.slice(at, 256).to_pylist():
+                if page is not None:
+                    near, mine, its = verdicts(page, after, copy_share) if page["host"] == after["host"] else (0, None, None)
+                    out.append(result(page, before, (near, mine), first, False))
+                    before, first = (near, its), False
+                page = after
+            out = [r for r in out if r]
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+    if page is not None:
+        yield pa.RecordBatch.from_pylist([result(page, before, None, first, True)], schema)
+
+
+def shared_lines(ordered: DataFrame, copy_share: float) -> DataFrame:
+    """``row, gone`` for the pages that lose lines, from pages in ranges sorted by URL; only the ends of ranges are exchanged."""
+    spark = ordered.sparkSession
+    walked = stored(ordered.mapInArrow(lambda batches: _walk(batches, copy_share), WALKED), "pages-by-url")
+    ends = walked.where("first or last")
+    inner = walked.where("not (first or last)").select("row", "gone")
+    # at most two rows per range, without their lines
+    places = sorted(ends.select("range", "last", "row").collect())
+    by_range: dict[int, list[int]] = {}
+    for r in places:
+        by_range.setdefault(r["range"], []).append(r["row"])
+    order = list(by_range.values())
+    met = spark.createDataFrame([(a[-1], b[0]) for a, b in zip(order, order[1:])], "one long, two long")
+    side = lambda name: ends.select(
+        F.col("row").alias(name), F.struct("host", "path", "words", "digests").alias(f"{name}_page"))
+    pairs = met.join(side("one"), "one").join(side("two"), "two").where("one_page.host = two_page.host")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                near, mine, its = verdicts(r["one_page"], r["two_page"], copy_share)
+                rows += [(r["one"], near, True, mine), (r["two"], near, False, its)]
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int32())))],
+                    names=["row", "near", "later", "gone"])
+
+    # a page at the start of its range has its later neighbour inside, one at the end its earlier one
+    inside = ends.select("row", "near", F.col("first").alias("later"), "gone")
+    heard = pairs.mapInArrow(meet, VERDICTS).unionByName(inside).where("gone is not null")
+    outer = heard.groupBy("row").agg(F.min_by("gone", F.struct(-F.col("near"), "later")).alias("gone"))
+    return inner.unionByName(outer).where(F.size("gone") > 0)
 
 
 PARSED = "page_id long, url string, host string, path string, text binary, words array<int>, digests array<long>"
@@ -199,10 +307,10 @@ PARSED = "page_id long, url string, host string, path string, text binary, words
 def extract(pages: DataFrame, copy_share: float = 0.95, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` per page.
 
-    A page is parsed once and its text stored, compressed for the last join. What is ordered and joined is the digests of all lines with the words of those that
-    stand in the text (0 for others): by range partitioning on (host, path, page_id), so a host with a third of all pages is cut
-    into many ranges; positions come from one count per range, and each page meets its two neighbours by position, a unique key.
-    Neither step gathers a host. A line of the text holds no line feed, so texts are cut into their lines again at the end.
+    A page is parsed once and its text stored, compressed for the last join. What is ordered is the digests of all lines with the
+    words of those that stand in the text (0 for others): by range partitioning on (host, path, page_id), so a host with a third of
+    all pages is cut into many ranges. Each range is walked once, and only the pages at its ends are joined with those of the next
+    range; nothing gathers a host. A line of the text holds no line feed, so texts are cut into their lines again at the end.
     """
     ready(pages.sparkSession)
 
@@ -230,30 +338,7 @@ def extract(pages: DataFrame, copy_share: float = 0.95, id_col: str = "page_id",
     parsed = stored(rows.mapInArrow(parse, PARSED).withColumn("row", F.monotonically_increasing_id()), "page-lines")
     small = parsed.select("row", "host", "path", "page_id", "words", "digests")
     ordered = small.repartitionByRange("host", "path", "page_id", "row").sortWithinPartitions("host", "path", "page_id", "row")
-    ordered = stored(ordered.withColumns({"range": F.spark_partition_id(), "step": F.monotonically_increasing_id()}), "pages-by-url")
-    ranges = ordered.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min("step").alias("first"))
-    before, at = [], 0
-    for r in ranges.orderBy("range").collect():  # one row per range
-        before.append((r["range"], r["first"], at))
-        at += r["n"]
-    offsets = pages.sparkSession.createDataFrame(before, "range int, first long, before long")
-    placed = ordered.join(F.broadcast(offsets), "range").withColumn("at", F.col("before") + F.col("step") - F.col("first"))
-    side = lambda step, name: placed.select(
-        (F.col("at") + step).alias("at"), F.struct("host", "path", "words", "digests").alias(name))
-    paired = placed.join(side(1, "earlier"), "at", "left").join(side(-1, "later"), "at", "left")
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gone = []
-            for r in batch.select(["host", "path", "words", "digests", "earlier", "later"]).to_pylist():
-                near = [x for x in (r["earlier"], r["later"]) if x and x["host"] == r["host"]]
-                shared = set(shared_lines(r, near, copy_share))
-                standing = [k for k, n in enumerate(r["words"]) if n]
-                gone.append([j for j, k in enumerate(standing) if k in shared])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(gone, pa.list_(pa.int32()))], names=["row", "gone"])
-
-    aligned = paired.select("row", "host", "path", "words", "digests", "earlier", "later").mapInArrow(align, "row long, gone array<int>")
-    aligned = aligned.where(F.size("gone") > 0)
+    aligned = shared_lines(ordered, copy_share)
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -192,3 +192,39 @@ def test_pages_of_much_template_are_no_copies(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
     assert got == {k: f"First of {k}\n\nSecond of {k}" for k in range(4)}
+
+
+@pytest.mark.parametrize("cells", [4, 30, 1 << 28])
+def test_common_subsequence_of_halved_tables(monkeypatch, cells):
+    monkeypatch.setattr(html_text, "_CELLS", cells)
+    test_common_subsequence_is_longest()
+    assert html_text.common_subsequence([1] * 300, [1] * 200 + [2]) and len(html_text.common_subsequence([1] * 300, [1] * 200)) == 200
+
+
+def test_lines_that_repeat_cost_no_more():
+    assert len(html_text.common_subsequence([7] * 20_000, [7] * 20_000)) == 20_000  # hours if every match were looked at
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 40])
+def test_ranges_may_end_anywhere(spark, ranges):
+    """Pages meet both neighbours wherever a range ends; ranges of one page and empty ones included."""
+    rng = random.Random(ranges)
+    rows = []
+    for k in range(30):
+        own = [rng.randrange(50, 10_000) for _ in range(rng.randint(0, 4))] if k % 5 else [99, 98]
+        lines = [1, 2, *own, 3] if k % 7 else [1, 2, 3]
+        rows.append((k, "ab"[k // 17], f"/{k // 4}/{k:02d}", [1] * len(lines), lines))
+    pages = spark.createDataFrame(rows, "row long, host string, path string, words array<int>, digests array<long>")
+    ordered = pages.repartitionByRange(ranges, F.col("host"), F.col("path")).sortWithinPartitions("host", "path")
+    got = {r["row"]: r["gone"] for r in html_text.shared_lines(ordered, 0.95).collect()}
+    as_page = [dict(zip(("row", "host", "path", "words", "digests"), r)) for r in rows]
+    for k, page in enumerate(as_page):
+        found = []
+        if k and as_page[k - 1]["host"] == page["host"]:
+            near, _, gone = html_text.verdicts(as_page[k - 1], page, 0.95)
+            found.append((-near, 0, gone))
+        if k + 1 < len(as_page) and as_page[k + 1]["host"] == page["host"]:
+            near, gone, _ = html_text.verdicts(page, as_page[k + 1], 0.95)
+            found.append((-near, 1, gone))
+        found = sorted((f for f in found if f[2] is not None), key=lambda f: f[:2])
+        assert got.get(k, []) == (found[0][2] if found else [])
