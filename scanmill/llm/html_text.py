@@ -177,7 +177,7 @@ def _grown(a: list[int], b: list[int]) -> np.ndarray:
 
 
 def common_subsequence(a: list[int], b: list[int]) -> list[int]:
-    """Positions in ``a`` of a longest common subsequence of ``a`` and ``b``.
+    """Positions in ``a`` of a longest common subsequence of ``a`` and ``b``; of lines that repeat, late ones are taken.
 
     A machine word holds 64 columns of the table, so lines that repeat thousands of times cost no more than others. A table of more
     than ``_CELLS`` is halved where heads and tails of ``b`` add up best, so its memory is bounded as well.
@@ -191,13 +191,13 @@ def common_subsequence(a: list[int], b: list[int]) -> list[int]:
     rows, out = list(_match_rows(a, b)), []
     i, j = len(a), len(b)
     while i and j:
-        if rows[i - 1] >> (j - 1) & 1:
-            j -= 1
-            continue
-        i -= 1
-        if not i or rows[i - 1] >> (j - 1) & 1:
-            j -= 1
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
             out.append(i)
+        elif rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
     return out[::-1]
 
 
