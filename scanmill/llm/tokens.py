@@ -17,8 +17,8 @@ DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: splitting here never cuts a word of the tokenizer: its pattern has no white space inside a word
 _CUT = re.compile("[ \t\n\r\f\v]+")
 _UNSURE = re.compile("[\x1c-\x1f]")
-#: words a worker remembers, about 125 MB
-_MEMORY = 600_000
+#: words a worker remembers, about 85 MB
+_MEMORY = 400_000
 #: pieces of words a worker remembers, about 30 MB
 _PIECE_MEMORY = 200_000
 
