@@ -175,13 +175,21 @@ def crop(lines: DataFrame, y0: Column, x0: Column, height: int, width: int) -> D
 # --- tiles ------------------------------------------------------------------------------------
 
 
-def split_tiles(lines: DataFrame, p: int) -> DataFrame:
-    """Non-overlapping p x p tiles; sizes must divide. ``token`` is the row-major tile number."""
-    divides = (F.pmod(F.col("h"), F.lit(p)) == 0) & (F.pmod(F.col("w"), F.lit(p)) == 0)
-    checked = F.when(divides, F.col("vals")).otherwise(
-        F.raise_error(F.lit(f"image size is not a multiple of {p}")).cast("array<double>")
-    )
-    across = F.floor(F.col("w") / p).cast("int")
+def split_tiles(lines: DataFrame, p: int, border: str = "fail") -> DataFrame:
+    """Non-overlapping p x p tiles. ``token`` is the row-major tile number.
+
+    Sizes must divide, as a network's patches ask; with ``border="keep"`` they need not, and the last
+    tiles of a line or column hold what is there.
+    """
+    if border not in ("fail", "keep"):
+        raise ValueError(f"border must be fail or keep, not {border}")
+    checked = F.col("vals")
+    if border == "fail":
+        divides = (F.pmod(F.col("h"), F.lit(p)) == 0) & (F.pmod(F.col("w"), F.lit(p)) == 0)
+        checked = F.when(divides, checked).otherwise(
+            F.raise_error(F.lit(f"image size is not a multiple of {p}")).cast("array<double>")
+        )
+    across = F.ceil(F.col("w") / p).cast("int")
     pieces = F.transform(
         indices(across),
         lambda t: F.struct(t.alias("tile_x"), F.slice(checked, t * p + 1, F.lit(p)).alias("part")),
@@ -206,10 +214,12 @@ def split_tiles(lines: DataFrame, p: int) -> DataFrame:
 
 
 def join_tiles(tiles: DataFrame, p: int) -> DataFrame:
-    """Put tiles back together into lines."""
+    """Put tiles back together into lines; tiles at the border may be smaller."""
+    high = F.least(F.lit(p), F.col("h") - F.col("tile_y") * p)
+    wide = F.least(F.lit(p), F.col("w") - F.col("tile_x") * p)
     rows = F.transform(
-        indices(F.lit(p)),
-        lambda r: F.struct(r.alias("row"), F.slice("vals", r * p + 1, F.lit(p)).alias("part")),
+        indices(high),
+        lambda r: F.struct(r.alias("row"), F.slice("vals", r * wide + 1, wide).alias("part")),
     )
     parts = tiles.select("image_id", "ch", "tile_y", "tile_x", "h", "w", F.explode_outer(rows).alias("__r"))
     across = F.sort_array(F.collect_list(F.struct("tile_x", F.col("__r.part").alias("part"))))

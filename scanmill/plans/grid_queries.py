@@ -170,13 +170,13 @@ def pad_unpad(spark, sf_dir):
       CAST((y % 4) * 4 + x % 4 AS INTEGER) AS k, {r6_sql('v')} AS v FROM px""",
 )
 def tiles(spark, sf_dir):
-    cut = grid.split_tiles(raster(spark, sf_dir), 4)
+    cut = grid.split_tiles(raster(spark, sf_dir), 4, border="keep")
     return cut.select("image_id", "token", F.posexplode_outer("vals").alias("k", "v")).withColumn("v", r6(F.col("v")))
 
 
 @query("tile_round_trip", f"WITH {PX} SELECT image_id, y, x, {r6_sql('v')} AS v FROM px")
 def tile_trip(spark, sf_dir):
-    return _out(grid.join_tiles(grid.split_tiles(raster(spark, sf_dir), 4), 4))
+    return _out(grid.join_tiles(grid.split_tiles(raster(spark, sf_dir), 4, border="keep"), 4))
 
 
 @query(

@@ -37,6 +37,32 @@ def test_tiles_must_divide(spark):
         grid.split_tiles(lines(spark, {0: np.zeros((4, 5))}), 2).collect()
 
 
+@pytest.mark.parametrize("h, w", [(4, 5), (7, 8), (3, 2), (9, 11)])
+def test_border_tiles_hold_what_is_there(spark, h, w):
+    image = np.random.default_rng(8).normal(size=(h, w))
+    cut = grid.split_tiles(lines(spark, {0: image}), 4, border="keep")
+    for r in cut.collect():
+        part = image[r["tile_y"] * 4 : r["tile_y"] * 4 + 4, r["tile_x"] * 4 : r["tile_x"] * 4 + 4]
+        assert r["vals"] == part.ravel().tolist() and r["token"] == r["tile_y"] * -(-w // 4) + r["tile_x"]
+    assert np.array_equal(images(grid.join_tiles(cut, 4))[0, 0], image)
+
+
+@pytest.mark.parametrize("name", ["tile_split", "tile_round_trip"])
+@pytest.mark.parametrize("rows", [65, 130, 191])
+def test_tile_queries_take_any_number_of_vectors(spark, tmp_path, name, rows):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    spark.range(rows).selectExpr("id AS vec_id", "transform(sequence(0, 63), i -> CAST(id * 64 + i AS FLOAT)) AS embedding").write.parquet(
+        str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(entry.oracle_sql()[name]).fetchall())
+    got = entry.queries()[name](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) == rows * 64
+
+
 def test_box_mean_is_mirrored(spark):
     image = np.random.default_rng(2).normal(size=(70, 8))
     want = np.pad(image, 3, mode="reflect")
