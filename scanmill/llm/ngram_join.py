@@ -2,7 +2,7 @@
 
 A document's set is its distinct shingles (hashed to 64 bits). Two sets can only reach the threshold if they share a token of
 their prefixes: the first ``n - ceil(threshold * n) + 1`` tokens in one order for all documents. The order puts frequent tokens
-(from a bounded sample; any order is right, this one is fast) last, so passages that many documents share hardly count.
+(from a tenth of the documents; any order is right, this one is fast) last, so passages that many documents share hardly count.
 
 1. Equal sets are one node, the smallest id of theirs. Only nodes that share a prefix token with another go on.
 2. Similar nodes are partitioned into groups: nodes with the same least prefix token under a hash compare with one leader
@@ -35,6 +35,7 @@ from .common import ready, slices, stored
 SIGNATURES = "doc_id long, n long, sid binary, prefix array<long>"
 SETS = "node long, n long, tokens binary"
 LINKS = "a long, b long"
+SLOT_BITS = 25
 
 
 def token_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -65,7 +66,11 @@ def prefix(tokens: np.ndarray, hot: np.ndarray, rank: np.ndarray, percent: int)
 
 
 def frequent_tokens(docs: DataFrame, size: int, sample_docs: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of at least three documents of a bounded sample, sorted, and their rank by frequency."""
+    """Tokens of at least three documents of a sample, sorted, and their rank by frequency.
+
+    The sample is a tenth of the documents, ``sample_docs`` at least: with a fixed number of them, the documents that share a
+    token which is just too rare to be met thrice grow with the table, and their pairs with its square.
+    """
     count = docs.count()
     if not count:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -78,9 +83,9 @@ def frequent_tokens(docs: DataFrame, size: int, sample_docs: int, most: int) ->
                 [pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                  pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["sid", "tokens"])
 
-    sample = docs.where(draw < min(1.0, sample_docs / count)).mapInArrow(emit, "sid binary, tokens array<long>").dropDuplicates(["sid"])
+    sample = docs.where(draw < min(1.0, max(sample_docs / count, 0.1))).mapInArrow(emit, "sid binary, tokens array<long>").dropDuplicates(["sid"])
     counts = sample.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    rows = counts.orderBy(F.desc("n"), "token").limit(most).collect()  # bounded by the sample and by ``most``
+    rows = stored(counts.orderBy(F.desc("n"), "token").limit(most), "frequent-tokens").collect()  # bounded by ``most``
     token = np.array([r["token"] for r in rows], dtype=np.int64).view(np.uint64)
     rank = np.arange(len(rows), 0, -1)
     order = np.argsort(token)
@@ -117,6 +122,20 @@ def _least_shared(n: Column, m: Column, percent: int) -> Column:
     return F.greatest(F.lit(1.0), overlap - F.greatest(n, m) * percent / F.lit(100.0) - F.lit(1e-6))
 
 
+def maybe_among(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows whose ``doc_id`` is a ``node``, and few others: a filter before a join, so that not all texts are shuffled.
+
+    Hashed ids are bits of bitmaps that together have a fixed size, 4 MB at most.
+    """
+    slot = lambda name: F.pmod(F.xxhash64(name), F.lit(1 << SLOT_BITS)) + 1
+    maps = nodes.groupBy(F.bitmap_bucket_number(slot("node")).alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot("node"))).alias("__bits"))
+    place = F.bitmap_bit_position(slot("doc_id"))
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("__bucket", F.bitmap_bucket_number(slot("doc_id"))).join(F.broadcast(maps), "__bucket")
+    return met.where(F.getbit(byte, (place % 8).cast("int")) == 1).drop("__bucket", "__bits")
+
+
 def _pack(sets: list[np.ndarray]) -> pa.Array:
     return pa.array([s.tobytes() for s in sets], pa.binary())
 
@@ -174,7 +193,7 @@ LINK_NAMES = ["a", "b"]
 
 def jaccard_classes(
     docs: DataFrame, size: int = 5, percent: int = 80, leaf_size: int = 128, queries_per_task: int = 512, seeds: int = 2,
-    sample_docs: int = 5000, hot_tokens: int = 50_000, id_col: str = "doc_id", text_col: str = "text",
+    sample_docs: int = 5000, hot_tokens: int = 100_000, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per document."""
     spark = docs.sparkSession
@@ -215,7 +234,8 @@ def jaccard_classes(
 
     def fetch(nodes: DataFrame) -> DataFrame:
         """Token sets of the nodes, from their whole texts."""
-        texts = rows.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("doc_id").alias("node"), "text")
+        nodes = stored(nodes, "wanted")
+        texts = maybe_among(rows, nodes).join(nodes.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("doc_id").alias("node"), "text")
         return stored(texts.mapInArrow(gather, SETS), "token-sets")
 
     # groups: one leader for the nodes with the same least token under each hash

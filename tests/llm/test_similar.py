@@ -291,3 +291,21 @@ def test_empty_tables(spark, near, bench):
     assert unit_dedup.mark_units(none).count() == 0
     assert decontaminate.leaks(none, items).count() == 0
     assert decontaminate.leaks(bench[0], items.limit(0)).count() == 0
+
+
+def test_frequent_tokens_come_from_a_tenth_of_the_documents(spark):
+    rows = [(k, f"own {k} text {k * 7} words {k * 13}" + (" a line that is shared" if k % 10 == 0 else "")) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hot, rank = ngram_join.frequent_tokens(docs, 5, 5, 1000)
+    shared = ngram_join.token_sets(pa.array(["a line that is shared"]), 5)[0]
+    assert np.isin(shared, hot).all() and len(hot) == len(rank)
+
+
+def test_maybe_among_keeps_all_wanted_and_few_others(spark):
+    rows = spark.range(-500, 50_000).selectExpr("id AS doc_id", "'x' AS text").unionByName(
+        spark.createDataFrame([(None, "x"), (3, "twice")], "doc_id long, text string"))
+    nodes = spark.range(-500, 50_000, 7).selectExpr("id AS node")
+    got = [r["doc_id"] for r in ngram_join.maybe_among(rows, nodes).collect()]
+    wanted = list(range(-500, 50_000, 7))
+    assert set(wanted) <= set(got) and None not in got and len(got) < len(wanted) * 1.1
+    assert ngram_join.maybe_among(rows, nodes.where("node < -1000")).count() == 0
