@@ -38,6 +38,8 @@ BITS = 18
 BLOCK = 32
 #: bytes of latent places that one pass over the documents takes along; one larger block is a pass of its own
 PASS_BYTES = 64 << 20
+#: blocks of words whose terms' places are gathered at once
+GATHERED = 64
 LEAKS = "doc_id long, item_id long, cosine double, lcs double, answer_found boolean, word_start int, word_stop int"
 _SENTENCE = re.compile(r"[^.!?\n]*\w[^.!?\n]*")
 
@@ -170,6 +172,8 @@ class Items:
         self.ids = [r["item_id"] for r in rows]
         hashed, _, doc = word_terms(pa.array(texts, pa.string()))
         self.words = [hashed[doc == k] for k in range(len(rows))]
+        self.vocabulary, number = np.unique(hashed, return_inverse=True)
+        self.numbers = [number[doc == k] for k in range(len(rows))]  # the items' words, numbered
         self.answers = [self._answer(r) for r in rows]
         self.slot = np.full(1 << BITS, -1, dtype=np.int32)
         self.slot[terms] = np.arange(len(terms))
@@ -187,12 +191,20 @@ class Items:
         slot = self.slot[term]
         used = np.flatnonzero(slot >= 0)
         place = np.zeros((total, self.latent.shape[1]), dtype=np.float32)
-        for a in range(0, len(used), 100_000):  # bounds the rows gathered at once
-            part = used[a : a + 100_000]
-            edge = np.flatnonzero(np.append(True, np.diff(block[part]) != 0))
-            place[block[part][edge]] += np.add.reduceat(self.latent[slot[part]], edge, axis=0)
+        slot, block = slot[used], block[used]
+        edges = np.flatnonzero(np.append(True, np.diff(block) != 0)) if len(used) else used
+        for a in range(0, len(edges), GATHERED):  # the rows gathered at once stay in the processor's cache
+            edge = edges[a : a + GATHERED]
+            stop = edges[a + GATHERED] if a + GATHERED < len(edges) else len(used)
+            place[block[edge]] = np.add.reduceat(self.latent[slot[edge[0] : stop]], edge - edge[0], axis=0)
         return place
 
+    def number(self, hashed: np.ndarray) -> np.ndarray:
+        """The words' numbers in the items' vocabulary; all others have the number behind the last."""
+        at = np.searchsorted(self.vocabulary, hashed).clip(max=max(len(self.vocabulary) - 1, 0))
+        met = self.vocabulary[at] == hashed if len(self.vocabulary) else np.zeros(len(hashed), dtype=bool)
+        return np.where(met, at, len(self.vocabulary))
+
     @staticmethod
     def _answer(row) -> np.ndarray:
         text = row["answer"] if "answer" in row and row["answer"] else None
@@ -259,13 +271,18 @@ def search(docs: DataFrame, items: list[Items], least_cosine: float, likely: flo
                 holds = (product * it.length >= 0.5 * length**2) & ~last[:, None]
                 window, item = np.nonzero((product >= least_cosine * length) | held | holds)
                 owner = np.searchsorted(first + blocks, window, side="right")
+                number = it.number(hashed) if len(window) else hashed
+                there = np.zeros(len(it.vocabulary) + 1, dtype=bool)
                 for w, k, d in zip(window.tolist(), item.tolist(), owner.tolist()):
                     want = it.words[k]
                     if not len(want):
                         continue
                     low = max(int(ends[d]), int(starts[w]) - len(want))
                     high = min(int(ends[d + 1]), int(starts[w]) + 2 * BLOCK + len(want))
-                    if np.isin(want, hashed[low:high]).sum() / len(want) < likely:  # no common subsequence is longer
+                    there[number[low:high]] = True
+                    met = np.count_nonzero(there[it.numbers[k]])
+                    there[number[low:high]] = False
+                    if met / len(want) < likely:  # no common subsequence is longer
                         continue
                     share, a, z = _share(want, hashed[low:high])
                     if share < likely:

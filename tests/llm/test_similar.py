@@ -309,3 +309,26 @@ def test_maybe_among_keeps_all_wanted_and_few_others(spark):
     wanted = list(range(-500, 50_000, 7))
     assert set(wanted) <= set(got) and None not in got and len(got) < len(wanted) * 1.1
     assert ngram_join.maybe_among(rows, nodes.where("node < -1000")).count() == 0
+
+
+def test_benchmark_words_are_numbered_once_and_places_summed_in_pieces():
+    texts = ["what is the capital of france paris is it", "name two rivers of spain the ebro and the tagus", None]
+    idf = np.linspace(0.5, 2.0, 1 << decontaminate.BITS)
+    terms = np.unique(decontaminate.word_terms(pa.array(texts, pa.string()))[1])
+    basis = np.linalg.qr(np.random.default_rng(4).normal(size=(len(terms), 3)))[0]
+    it = decontaminate.Items([{"item_id": k, "text": t} for k, t in enumerate(texts)], idf, terms, basis)
+    rng = random.Random(6)
+    text = " ".join(rng.choices(["the", "of", "capital", "ebro", "other", "words", "paris"], k=32 * (3 * decontaminate.GATHERED + 5)))
+    hashed, term, doc = decontaminate.word_terms(pa.array([text, "none of it", "x y"]))
+    number = it.number(hashed)
+    assert all((it.vocabulary[n] == h) if n < len(it.vocabulary) else (h not in it.vocabulary) for n, h in zip(number[:500], hashed))
+    for want, of in zip(it.words, it.numbers):
+        assert np.array_equal(it.vocabulary[of], want)
+    block, first, blocks = decontaminate.blocks_of(doc, 3)
+    want = np.zeros((int(blocks.sum()), 3), dtype=np.float32)
+    for b, t in zip(block, term):
+        if t in terms:
+            want[b] += it.latent[np.searchsorted(terms, t)]
+    assert np.allclose(it.places(term, block, len(want)), want, atol=1e-4)
+    bare = decontaminate.Items([{"item_id": 1, "text": None}], idf, terms[:0], basis[:0])
+    assert bare.number(hashed).tolist() == [0] * len(hashed)
