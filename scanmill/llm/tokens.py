@@ -17,7 +17,7 @@ DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: splitting here never cuts a word of the tokenizer: its pattern has no white space inside a word
 _CUT = re.compile("[ \t\n\r\f\v]+")
 _UNSURE = re.compile("[\x1c-\x1f]")
-#: words a worker remembers, about 85 MB
+#: words a worker remembers unless told otherwise, about 85 MB
 _MEMORY = 400_000
 #: pieces of words a worker remembers, about 30 MB
 _PIECE_MEMORY = 200_000
@@ -49,7 +49,8 @@ class WordEncoder:
     Valid for tokenizers that drop white space and split at it first; the tests compare with whole texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = _MEMORY):
+        self.memory = memory
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -88,7 +89,7 @@ class WordEncoder:
                 if None in got:
                     got[:] = [fresh[w] if p is None else p for w, p in zip(words, got)]
             # the words met first are the frequent ones: once the memory is full it stays as it is
-            if len(self.known) < _MEMORY:
+            if len(self.known) < self.memory:
                 self.known.update(fresh)
         return [b"".join(got) + last for got in parts]
 
@@ -131,8 +132,10 @@ class WordEncoder:
         return out
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, memory: int = _MEMORY) -> WordEncoder:
+    """The worker's encoder for the file, which remembers as many words as any of its users asked for."""
     known = remembered("encoders")
     if path not in known:
-        known[path] = WordEncoder(path)
+        known[path] = WordEncoder(path, memory)
+    known[path].memory = max(known[path].memory, memory)
     return known[path]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scanmill.llm import exact_dedup, packing, token_frames
 from scanmill.llm.common import shared_folder
-from scanmill.llm.tokens import WordEncoder, tokenizer_path
+from scanmill.llm.tokens import WordEncoder, encoder, tokenizer_path
 
 ODD = [
     None, "", " ", "Hello  World!\n it's 1234 don't", "ÄÖÜ straßé ﬁ İ", "a\x1cb c\x85d <|endoftext|> x<|startoftext|>y",
@@ -169,3 +169,21 @@ def test_words_are_cut_as_the_tokenizer_cuts_them():
     for _ in range(2):  # asked for, then remembered
         for text, ids, w in zip(texts, words.encode(texts, 2), want):
             assert np.frombuffer(ids, dtype=words.dtype).tolist() == [*w.ids, 2], text
+
+
+def test_a_users_memory_of_words_is_its_own():
+    few, many = WordEncoder(tokenizer_path(), memory=3), WordEncoder(tokenizer_path(), memory=10_000)
+    texts = [f"alpha{k} beta{k} gamma{k}" for k in range(2000)]
+    assert [few.encode([t], 1) for t in texts] == [many.encode([t], 1) for t in texts]
+    assert len(few.known) <= 3 + 3 and len(many.known) == 6001
+    assert encoder(tokenizer_path(), 7_000_000).memory == 7_000_000 and encoder(tokenizer_path()).memory == 7_000_000
+    assert packing.WORDS > WordEncoder(tokenizer_path()).memory
+
+
+def test_document_frequency_counts_an_id_once_a_document(spark):
+    rng = np.random.default_rng(9)
+    texts = [rng.integers(0, 50, n).astype("<u2") for n in (1, 7, 400, 9000, 3)]
+    docs = spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "ids binary")
+    df, mean, count = packing.document_frequency(docs, 60, np.dtype("<u2"))
+    assert df.tolist() == [sum(k in t for t in texts) for k in range(60)]
+    assert count == 5 and mean == sum(map(len, texts)) / 5
