@@ -37,7 +37,8 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     powers = remembered("powers")
     known = powers.get(base)
     if known is None or len(known[0]) < n:
-        size = max(n, 5 << 19)
+        # full slices in tasks get tables for all that follow; the driver hashes a few words and has no room for those
+        size = max(n, 5 << 19) if n > 1 << 18 else 1 << (n - 1).bit_length()
         inverse = np.uint64(pow(int(BASES[base]), -1, 1 << 64))
         up = np.full(size, BASES[base], dtype=np.uint64)
         down = np.full(size, inverse, dtype=np.uint64)

@@ -85,9 +85,9 @@ def frequent_tokens(docs: DataFrame, size: int, sample_docs: int, most: int) ->
 
     sample = docs.where(draw < min(1.0, max(sample_docs / count, 0.1))).mapInArrow(emit, "sid binary, tokens array<long>").dropDuplicates(["sid"])
     counts = sample.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    rows = stored(counts.orderBy(F.desc("n"), "token").limit(most), "frequent-tokens").collect()  # bounded by ``most``
-    token = np.array([r["token"] for r in rows], dtype=np.int64).view(np.uint64)
-    rank = np.arange(len(rows), 0, -1)
+    rows = stored(counts.orderBy(F.desc("n"), "token").limit(most), "frequent-tokens").toArrow()  # bounded by ``most``, as arrays
+    token = rows.column("token").to_numpy().astype(np.int64).view(np.uint64)
+    rank = np.arange(len(token), 0, -1)
     order = np.argsort(token)
     return token[order], rank[order]
 

@@ -86,6 +86,7 @@ class Lexicons:
     """Feature numbers that fire the lexicon voters."""
 
     def __init__(self, mined: np.ndarray):
+        self.mined = mined
         self.flag = np.zeros(SIZE, dtype=np.uint8)
         self.flag[mined] = MINED
         twice = mined[mined >> HASH > len(STEMS)]
@@ -93,6 +94,10 @@ class Lexicons:
         self.listed = np.array([number_of(word) for word in INSULTS])
         self.flag[self.listed] |= LISTED
 
+    def __reduce__(self):
+        """Only the mined numbers travel: the table of all features would pass the driver's memory several times over."""
+        return Lexicons, (self.mined,)
+
     def clues(self, number: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (text, feature) pairs that are clues."""
         hit = np.flatnonzero(self.flag[number])
@@ -121,16 +126,22 @@ class Lexicons:
 
 def mine(rows: list[np.ndarray], toxic: np.ndarray, share: float, least: float = 0.7, most: int = 8192) -> np.ndarray:
     """Features whose odds of a toxic text are surely above three (log odds less 1.64 standard errors), and whose share of toxic
-    texts, at ``share`` of toxic texts overall, is at least ``least``; the ``most`` surest."""
+    texts, at ``share`` of toxic texts overall, is at least ``least``; the ``most`` surest. One kind of features is counted at a
+    time, as this runs in the driver."""
     if not toxic.any() or toxic.all():
         return np.zeros(0, dtype=np.int64)
-    pos, neg = np.zeros(SIZE, dtype=np.int32), np.zeros(SIZE, dtype=np.int32)
-    for r, t in zip(rows, toxic):  # a text's numbers are distinct
-        (pos if t else neg)[r] += 1
-    p, q = (pos + 0.5) / (toxic.sum() + 1), (neg + 0.5) / ((1 - toxic).sum() + 1)
-    sure = np.log(p / q) - 1.64 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    found = np.flatnonzero((sure > np.log(3)) & (share * p >= least * (share * p + (1 - share) * q)))
-    return found[np.argsort(-sure[found], kind="stable")[:most]]
+    found, surest = [], []
+    edges = [np.searchsorted(r, np.arange(KINDS + 1) << HASH) for r in rows]  # a text's numbers are distinct and ascend
+    for kind in range(KINDS):
+        pos, neg = np.zeros(1 << HASH, dtype=np.int32), np.zeros(1 << HASH, dtype=np.int32)
+        for r, edge, t in zip(rows, edges, toxic):
+            (pos if t else neg)[r[edge[kind] : edge[kind + 1]] - (kind << HASH)] += 1
+        p, q = (pos + 0.5) / (toxic.sum() + 1), (neg + 0.5) / ((1 - toxic).sum() + 1)
+        sure = np.log(p / q) - 1.64 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+        hit = np.flatnonzero((sure > np.log(3)) & (share * p >= least * (share * p + (1 - share) * q)))
+        found.append(hit + (kind << HASH))
+        surest.append(sure[hit])
+    return np.concatenate(found)[np.argsort(-np.concatenate(surest), kind="stable")[:most]]
 
 
 class LabelModel:
@@ -205,12 +216,14 @@ class LabelModel:
 
 
 class Classifier:
-    def __init__(self, lexicons: Lexicons, weights: np.ndarray, bias: float, labels: LabelModel | None):
-        self.lexicons, self.weights, self.bias, self.labels = lexicons, weights.astype(np.float32), bias, labels
+    """``numbers``: all features that can be clues, in order; ``weights``: theirs."""
+
+    def __init__(self, lexicons: Lexicons, numbers: np.ndarray, weights: np.ndarray, bias: float, labels: LabelModel | None):
+        self.lexicons, self.numbers, self.weights, self.bias, self.labels = lexicons, numbers, weights.astype(np.float32), bias, labels
 
     def score(self, texts: pa.Array) -> np.ndarray:
         _, owner, number = self.lexicons.votes(texts)
-        total = np.bincount(owner, weights=self.weights[number], minlength=len(texts)) + self.bias
+        total = np.bincount(owner, weights=self.weights[np.searchsorted(self.numbers, number)], minlength=len(texts)) + self.bias
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
@@ -257,7 +270,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Classifi
     texts = docs.where(~held_out(F.col("doc_id"))).select(F.col("text").cast("string").alias("text"))
     votes = texts.mapInArrow(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     votes = sorted((r["pattern"], r["n"]) for r in votes)  # at most one row per vote pattern
-    weights, bias = np.zeros(SIZE), float(np.log(share / (1 - share)))
+    numbers = np.unique(np.concatenate([lexicons.mined, lexicons.listed]))
+    weights, bias = np.zeros(len(numbers)), float(np.log(share / (1 - share)))
     model, both = None, bool(toxic.any()) and not toxic.all()
     clues = [r[(lexicons.flag[r] & (MINED | LISTED)) > 0].astype(np.int64) for r in rows]
     if votes and both:
@@ -275,12 +289,12 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Classifi
         used = np.unique(np.concatenate(clues))
         x = Rows([np.searchsorted(used, c) for c in clues], [np.ones(len(c)) for c in clues])
         w, bias = fit(x, target, weight, max(len(used), 1), "logistic", penalty=1e-4, steps=300, rate=1.0)
-        weights[used] = w[: len(used)]
+        weights[np.searchsorted(numbers, used)] = w[: len(used)]
     # a listed insult the sample never held speaks as the average clue does
-    listed = lexicons.listed
+    listed = np.searchsorted(numbers, lexicons.listed)
     seen = weights[listed][weights[listed] > 0]
     weights[listed[weights[listed] == 0]] = float(seen.mean()) if len(seen) else 3.0 - bias
-    return Classifier(lexicons, weights, bias, model)
+    return Classifier(lexicons, numbers, weights, bias, model)
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 1500) -> DataFrame:

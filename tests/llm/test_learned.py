@@ -1,6 +1,8 @@
 """Language, toxicity and page text on small tables: held-out accuracy, rules for odd rows, hand-checked pages."""
 
+import pickle
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -8,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from scanmill.llm import html_text, langid, toxicity
+from scanmill.llm import html_text, langid, memory, toxicity
 from scanmill.llm.common import held_out
 
 SOUNDS = {"en": ["th", "ing", "er", "wh"], "de": ["sch", "ung", "ch", "ä"], "fr": ["eau", "oi", "é", "que"], "es": ["ción", "ll", "ar", "ñ"]}
@@ -106,6 +108,32 @@ def test_toxicity_without_labels(spark, docs):
     assert toxicity.report(frame.limit(0), labels).count() == 0
 
 
+def test_mining_keeps_the_driver_small():
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, toxicity.SIZE, 400)).astype(np.int32) for _ in range(300)]
+    toxic = (np.arange(300) % 3 == 0).astype(np.int64)
+    clues = np.array([3, (2 << toxicity.HASH) - 1, 2 << toxicity.HASH, toxicity.SIZE - 1], dtype=np.int32)
+    rows = [np.union1d(r, clues[: 1 + k % 5]) if t else r for k, (r, t) in enumerate(zip(rows, toxic))]
+    # the formulas over all features at once
+    pos, neg = (np.bincount(np.concatenate([r for r, t in zip(rows, toxic) if t == y]), minlength=toxicity.SIZE) for y in (1, 0))
+    p, q = (pos + 0.5) / 101, (neg + 0.5) / 201
+    sure = np.log(p / q) - 1.64 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+    found = np.flatnonzero((sure > np.log(3)) & (0.2 * p >= 0.7 * (0.2 * p + 0.8 * q)))
+    tracemalloc.start()
+    mined = toxicity.mine(rows, toxic, 0.2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert mined.tolist() == found[np.argsort(-sure[found], kind="stable")[:8192]].tolist() and set(clues.tolist()) <= set(mined.tolist())
+    assert peak < 64 << 20
+    memory._held.clear()
+    tracemalloc.start()
+    lexicons = toxicity.Lexicons(mined)
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+    sent = pickle.dumps(lexicons)
+    assert len(sent) < 1 << 18 and np.array_equal(pickle.loads(sent).flag, lexicons.flag)
+
+
 def test_label_model_finds_accuracies_and_copies():
     rng = np.random.default_rng(4)
     toxic = rng.random(20_000) < 0.2

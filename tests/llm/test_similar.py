@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from scanmill.llm import decontaminate, ngram_join, suffix_dedup, unit_dedup
 
@@ -293,6 +295,21 @@ def test_empty_tables(spark, near, bench):
     assert decontaminate.leaks(bench[0], items.limit(0)).count() == 0
 
 
+def test_frequent_tokens_reach_the_driver_as_arrays(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(letters[k // 26**j % 26] for j in range(4)) for k in range(150_000)]
+    docs = spark.createDataFrame([(k, " ".join(words[100 * k : 100 * k + 100])) for k in range(1500)] * 3, "doc_id long, text string")
+    # three documents hold each token, and no two sets are equal
+    marked = docs.select(F.monotonically_increasing_id().alias("doc_id"), F.concat("text", F.lit(" x"), F.monotonically_increasing_id()).alias("text"))
+    tracemalloc.start()
+    hot, rank = ngram_join.frequent_tokens(marked, 5, 5000, 100_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(hot) == 100_000 and sorted(rank.tolist()) == list(range(1, 100_001)) and (np.diff(hot.astype(object)) > 0).all()
+    assert peak < 12 << 20
+    assert len(ngram_join.frequent_tokens(docs.limit(0), 5, 5, 10)[0]) == 0
+
+
 def test_frequent_tokens_come_from_a_tenth_of_the_documents(spark):
     rows = [(k, f"own {k} text {k * 7} words {k * 13}" + (" a line that is shared" if k % 10 == 0 else "")) for k in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
