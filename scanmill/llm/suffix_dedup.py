@@ -15,6 +15,9 @@ run is one suffix to sort, led by its anchor's tokens, and holds all strings of
 
 A fingerprint is two 64-bit polynomials of the 400 bytes; neighbours that agree are compared byte by byte inside a bucket.
 
+What repeats in fewer than ``length`` bytes is not removed but counted: :func:`passages` finds the strings of ``words`` words that
+another document holds too, by anchors of a few words in the same way. Words are those between white space, compared as they are.
+
 Rows and ties: null and empty texts, and texts shorter than ``length``, lose nothing. Rows that repeat an id are documents of their
 own, and identical rows are copies of each other. Empty tables give no rows; other columns are ignored.
 """
@@ -29,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import Bytes
+from .bytehash import Bytes, mix
 from .common import ready, slices, stored
 
 ANCHORS = "id long, sha binary, anchor long, first int, last int, at int"
 RUNS = "id long, sha binary, anchor long, digest binary, first int, last int, at int, run binary"
+PASSAGES = "id long, sha binary, anchor long, strings int"
+STRINGS = "sha binary, string long"
 FOUND = "anchor long, digest binary, low int, high int, open boolean, h1 long, h2 long"
 NO_ID = -(1 << 63)
 
@@ -79,6 +84,27 @@ def _count_up(counts: np.ndarray) -> np.ndarray:
     return np.arange(int(counts.sum()), dtype=np.int64) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def word_strings(word_hash: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of ``size`` words, those across texts included."""
+    step = np.uint64(0xA24BAED4963EE407)
+    out = np.zeros(max(len(word_hash) - size + 1, 0), dtype=np.uint64)
+    for k in range(size):
+        out = out * step + word_hash[k : k + len(out)]
+    return mix(out)
+
+
+def word_anchors(b: Bytes, words: int, chunk: int) -> tuple[np.ndarray, ...]:
+    """Text number, first word (counted over all texts) and anchor hash of every string of ``words`` words; and the words' hashes."""
+    start, end, doc = b.words()
+    hashed = b.hash(start, end)
+    if len(start) < words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), hashed
+    parts = word_strings(hashed, chunk)
+    best = sliding_argmin(parts, words - chunk + 1)
+    at = np.flatnonzero(doc[: len(best)] == doc[words - 1 :])
+    return doc[at], at, parts[best[at]].view(np.int64), hashed
+
+
 def multikey_order(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Order by the first word, then each run of ties by the next one, and so on; and the ends of the runs tied in all words."""
     order = np.argsort(words[0], kind="stable")
@@ -252,17 +278,81 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.unhex(F.md5(text)).alias("sha"), text.alias("text"))
 
 
-def dedup(docs: DataFrame, length: int = 400, chunk: int = 128, **sizes) -> DataFrame:
-    """Per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept`` (maximal spans, remaining bytes)."""
+def passages(docs: DataFrame, words: int = 51, chunk: int = 16) -> DataFrame:
+    """How many places a document has where a string of ``words`` words starts that another document holds too: ``id, sha, n``,
+    only where there are any. Of equal texts one is compared with the other texts; all strings of a text with a copy are shared."""
+    ready(docs.sparkSession)
+
+    def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in slices(batches):
+            text, _, anchor, _ = word_anchors(Bytes(rows.column("text")), words, chunk)
+            if not len(text):
+                continue
+            counts = np.bincount(text, minlength=rows.num_rows)
+            some = np.flatnonzero(counts)
+            order = np.lexsort((anchor, text))
+            text, anchor = text[order], anchor[order]
+            new = np.concatenate([[True], (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])])
+            owner = pa.array(np.concatenate([some, text[new]]))
+            # a row without an anchor stands for the document
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("id").take(owner), rows.column("sha").take(owner),
+                 pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(anchor[new], pa.int64())]),
+                 pa.concat_arrays([pa.array(counts[some].astype(np.int32)), pa.nulls(int(new.sum()), pa.int32())])],
+                names=["id", "sha", "anchor", "strings"])
+
+    rows = stored(docs.mapInArrow(find_anchors, PASSAGES), "passage-anchors")
+    whole = rows.where("anchor is null").select("id", "sha", "strings")
+    anchors = rows.where("anchor is not null").select("sha", "anchor")
+    text = F.xxhash64("sha")
+    differ = F.min(text).alias("least"), F.max(text).alias("most")
+    # stored, so that both sides of the joins are plain shuffles, which AQE splits where an anchor, a string or a text is hot
+    twice = stored(anchors.groupBy("anchor").agg(*differ).where("least <> most").select("anchor"), "passage-shared")
+    texts = stored(whole.groupBy("sha").agg(
+        F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("strings").alias("strings")), "passage-texts")
+    single = texts.where("copies = 1").select("sha")
+    wanted = anchors.join(twice, "anchor").groupBy("sha").agg(F.collect_set("anchor").alias("anchors"))
+    wanted = wanted.join(texts.select("sha", "id"), "sha")
+
+    def cut_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            b = Bytes(part.column("text"))
+            owner, at, anchor, hashed = word_anchors(b, words, chunk)
+            anchors = part.column("anchors")
+            shared = anchors.flatten().to_numpy(zero_copy_only=False)
+            lists = np.repeat(np.arange(part.num_rows), anchors.value_lengths().to_numpy(zero_copy_only=False))
+            # an anchor and its text in one number; a clash only lets a string through that is compared below
+            mine = np.isin(mix(anchor.view(np.uint64)) + owner.astype(np.uint64), mix(shared.view(np.uint64)) + lists.astype(np.uint64))
+            if not mine.any():
+                continue
+            string = word_strings(hashed, words)[at[mine]].view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("sha").take(pa.array(owner[mine])), pa.array(string, pa.int64())], names=["sha", "string"])
+
+    strings = stored(docs.join(wanted, ["id", "sha"]).select("sha", "text", "anchors").mapInArrow(cut_strings, STRINGS), "passage-strings")
+    common = stored(strings.groupBy("string").agg(*differ).where("least <> most").select("string"), "passage-common")
+    # texts that have copies share all strings, whatever others hold
+    shared = strings.join(common, "string").groupBy("sha").agg(F.count(F.lit(1)).alias("n")).join(single, "sha").select("sha", "n")
+    found = stored(shared.unionByName(texts.where("copies > 1").select("sha", F.col("strings").cast("long").alias("n"))), "passage-counts")
+    return whole.select("id", "sha").join(found, "sha")
+
+
+def dedup(docs: DataFrame, length: int = 400, chunk: int = 128, words: int = 51, **sizes) -> DataFrame:
+    """Per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated, spans, kept``: ``n_repeated`` as in
+    :func:`passages`, maximal spans, remaining bytes."""
     rows = _keyed(docs)
-    spans = covered(rows, length, chunk, **sizes).groupBy("id", "sha").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    nothing = F.lit(None).cast("int")
+    counts = passages(rows, words).select("id", "sha", nothing.alias("start"), nothing.alias("stop"), "n")
+    spans = covered(rows, length, chunk, **sizes).withColumn("n", F.lit(None).cast("long")).unionByName(counts)
+    span = F.when(F.col("start").isNotNull(), F.struct("start", "stop"))
+    spans = spans.groupBy("id", "sha").agg(F.collect_set(span).alias("spans"), F.max("n").alias("repeated"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary()]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "spans", "kept"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
         for part in slices(batches):
             out = []
-            for doc_id, text, parts in zip(*(part.column(c).to_pylist() for c in ("id", "text", "spans"))):
+            for doc_id, text, parts, repeated in zip(*(part.column(c).to_pylist() for c in ("id", "text", "spans", "repeated"))):
                 data = text.encode("utf-8", "surrogatepass")
                 merged: list[list[int]] = []
                 for start, stop in sorted((s["start"], s["stop"]) for s in parts or ()):
@@ -276,15 +366,15 @@ def dedup(docs: DataFrame, length: int = 400, chunk: int = 128, **sizes) -> Data
                     at = stop
                 kept = b"".join([*left, data[at:]])
                 out.append((None if doc_id == NO_ID else doc_id, len(data), len(data) - len(kept), len(merged),
-                            hashlib.sha256(kept).hexdigest(), [x for s in merged for x in s], kept))
+                            hashlib.sha256(kept).hexdigest(), repeated or 0, [x for s in merged for x in s], kept))
             yield _batch(out, names, kinds)
 
-    joined = rows.join(spans, ["id", "sha"], "left").select("id", "text", "spans")
+    joined = rows.join(spans, ["id", "sha"], "left").select("id", "text", "spans", "repeated")
     return joined.mapInArrow(
-        cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary")
+        cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, spans array<long>, kept binary")
 
 
 def report(docs: DataFrame, length: int = 400) -> DataFrame:
-    """The contract's columns, the spans, and what remains as ``kept``, with cut characters replaced."""
+    """The contract's columns, ``n_repeated``, the spans, and what remains as ``kept``, with cut characters replaced."""
     kept = F.make_valid_utf8(F.col("kept").cast("string")).alias("kept")
-    return dedup(docs, length).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", kept)
+    return dedup(docs, length).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "spans", kept)

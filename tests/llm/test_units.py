@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+from collections import Counter
 
 import pytest
 
@@ -131,3 +132,38 @@ def test_sentences_match_plain_python(spark):
         assert r["kept_text"] == "".join(c for k, c in enumerate(texts[i]) if k not in gone[i])
         assert (r["n_removed"], r["n_repeated"], r["n_chars"]) == (len(gone[i]), len(again[i]), len(texts[i]))
         assert r["n_spans"] == sum(k - 1 not in gone[i] for k in gone[i])
+
+
+def test_passages_below_the_removed_length_are_counted(spark):
+    rng = random.Random(7)
+    word = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    passage = " ".join(f"p{k}" for k in range(60))
+    assert len(passage) < 400
+    own = " ".join(word(80))
+    rows = [
+        (1, " ".join(word(70)) + f"\n{passage.replace(' ', '  ')}\t" + " ".join(word(5))), (2, passage), (3, own), (4, "the " * 200),
+        (5, " ".join(f"p{k}" for k in range(50))), (6, None), (7, ""), (None, own.replace("w", "v")), (None, own.replace("w", "v")),
+        (8, passage.upper()), (9, own[: len(own) // 2])]
+    got = suffix_dedup.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    found = {r["doc_id"]: (r["n_repeated"], r["n_removed"] > 0) for r in got}
+    assert len(got) == len(rows)
+    # by contract nothing under 400 bytes goes; a document that repeats only itself shares nothing
+    assert found[1] == found[2] == (10, False) and found[4] == (0, True)
+    assert found[None] == (30, True) and all(found[k] == (0, False) for k in (3, 5, 6, 7, 8, 9))
+
+
+def test_passages_match_plain_python(spark):
+    rng = random.Random(8)
+    parts = [[rng.choice("abc") for _ in range(rng.randint(4, 15))] for _ in range(12)]
+    texts = [[w for _ in range(rng.randint(0, 4)) for w in rng.choice([*parts, [str(rng.random())] * 3])] for _ in range(150)]
+    texts += [texts[5]] * 20 + [parts[0] + [str(k)] for k in range(40)]
+    rows = [(k // 2, " ".join(t)) for k, t in enumerate(texts)] + [(0, " ".join(texts[0]))] * 2
+    texts += [texts[0]] * 2
+    strings = [[tuple(t[k : k + 7]) for k in range(len(t) - 6)] for t in texts]
+    held = Counter(s for some in strings for s in set(some))
+    want = sorted((row[0], row[1], sum(held[s] > 1 for s in some)) for row, some in zip(rows, strings))
+    docs = suffix_dedup._keyed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    for chunk in (2, 7):
+        counts = suffix_dedup.passages(docs, words=7, chunk=chunk).distinct()
+        got = docs.join(counts, ["id", "sha"], "left").select("id", "text", "n").collect()
+        assert sorted((r["id"], r["text"], r["n"] or 0) for r in got) == want
